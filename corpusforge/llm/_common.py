@@ -88,3 +88,32 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 2
 
 def crc32_utf8(col):
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
+
+
+def grouped(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """``function`` (RecordBatch of one group → RecordBatch or None) for each group of equal
+    ``keys`` (longs and ints). Rows are dealt and sorted by key and read as a
+    stream, so that many small groups cost little more than their rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def each(t: pa.Table, last: bool):
+            x = t.combine_chunks()
+            k = np.stack([x.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            edges = [0, *cut.tolist(), *([len(k)] if last else [])]
+            batch = x.to_batches()[0]
+            out = [y for lo, hi in zip(edges[:-1], edges[1:], strict=True) if (y := function(batch.slice(lo, hi - lo))) is not None and y.num_rows]
+            return out, x.slice(edges[-1])
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                out, rest = each(t if rest is None or not rest.num_rows else pa.concat_tables([rest, t]), False)
+                yield from out
+        if rest is not None and rest.num_rows:
+            yield from each(rest, True)[0]
+
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import decontaminate, langid, minhash, substring, toxicity
 
 QUERIES = {
+    "op2_language_id": langid.query,
     "op3_minhash_near_dedup": minhash.query,
+    "op4_toxicity": toxicity.query,
+    "op5_substring_dedup": substring.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
