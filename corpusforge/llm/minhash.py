@@ -8,9 +8,9 @@
    member (a star, not all pairs); candidates whose signatures agree too little
    go, the others are confirmed on the full sets.
 4. Components by large-star and small-star. In buckets that still hold several
-   components, all pairs across components are tried on signatures, in blocks
-   of bounded size, so no link is lost to the star; those that agree enough are
-   confirmed like the first and the components joined.
+   components, all pairs across components are tried on signatures and then on
+   the full sets within blocks of bounded size, so no link is lost to the star and
+   no pair that is not linked ever becomes a row; the components are then joined.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import pick, pieces, store, table, text_buffers
+from ._common import grouped, pick, pieces, store, table, text_buffers
 from .components import connected_components
 
 SHINGLE = 5
@@ -110,27 +110,61 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield x.loc[(a == b).sum(1) >= LEAST_AGREEING, ["a", "b"]]
 
 
-def _across(x: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a block pair that lie across components and agree enough; a pair
-    that several buckets hold comes from the first band that it shares."""
-    sig = np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), MINIMA)
-    ids, comp, blk, n = (x[c].to_numpy() for c in ("doc_id", "component", "blk", "n_shingles"))
-    same_block = x["lo"].iat[0] == x["hi"].iat[0]
-    stray = x["stray"].to_numpy()
-    rows, band = MINIMA // BANDS, int(x["band"].iat[0])
-    found = []
-    for i in np.flatnonzero(stray):
-        ok = (comp != comp[i]) & (same_block | (blk != blk[i])) & (~stray | (ids > ids[i]))
-        ok &= 100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])
-        j = np.flatnonzero(ok)
-        eq = sig[j] == sig[i]
-        near = eq.sum(1) >= LEAST_AGREEING
-        if near.any():
-            j, eq = j[near], eq[near]
-            first = eq.reshape(len(j), BANDS, rows).all(2).argmax(1)
-            found.append(np.stack([np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])], 1)[first == band])
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+class _Block:
+    """The members of a block pair: which of them are still to be compared."""
+
+    def __init__(self, x: pa.RecordBatch):
+        col = {n: x.column(i) for i, n in enumerate(x.schema.names)}
+        self.sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint16).reshape(x.num_rows, MINIMA)
+        self.ids, self.comp, self.blk, self.n, self.stray = (col[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "blk", "n_shingles", "stray"))
+        self.same_block = col["lo"][0].as_py() == col["hi"][0].as_py()
+        self.band = col["band"][0].as_py()
+
+    def near(self):
+        """(i, partners j): pairs across components whose signatures agree enough; a
+        pair that several buckets hold comes with the first band that it shares."""
+        for i in np.flatnonzero(self.stray):
+            ok = (self.comp != self.comp[i]) & (self.same_block | (self.blk != self.blk[i])) & (~self.stray | (self.ids > self.ids[i]))
+            ok &= 100 * np.minimum(self.n, self.n[i]) >= PERCENT * np.maximum(self.n, self.n[i])
+            j = np.flatnonzero(ok)
+            if len(j):
+                eq = self.sig[j] == self.sig[i]
+                keep = eq.sum(1) >= LEAST_AGREEING
+                j, eq = j[keep], eq[keep]
+                if len(j):
+                    first = eq.reshape(len(j), BANDS, MINIMA // BANDS).all(2).argmax(1)
+                    j = j[first == self.band]
+                    if len(j):
+                        yield i, j
+
+
+def _hopeful(x: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The members of a block pair that some pair still needs."""
+    used = np.zeros(x.num_rows, bool)
+    for i, j in _Block(x).near():
+        used[i] = True
+        used[j] = True
+    return x.filter(pa.array(used)) if used.any() else None
+
+
+def _linked(x: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The pairs of a block pair whose full sets are similar enough."""
+    sets = x.column(x.schema.get_field_index("shingles"))
+    at = np.asarray(sets.offsets).astype(np.int64)
+    _, word = np.unique(np.asarray(sets.values)[at[0] : at[-1]], return_inverse=True)
+    at = at - at[0]
+    block, mark, found = _Block(x), np.zeros(word.max(initial=0) + 2, np.int64), []
+    for i, j in block.near():
+        mine = word[at[i] : at[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[word], at[:-1])[j]
+        mark[mine] = 0
+        ok = 100 * both >= PERCENT * (block.n[i] + block.n[j] - both)
+        found += [(block.ids[i], block.ids[k]) for k in j[ok]]
+    if not found:
+        return None
+    pairs = np.array(found, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +175,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "shingles"])
 
 
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, shingles`` of the documents in ``ids (doc_id)``, stored."""
+    ids = store(ids.select("doc_id").distinct(), "candidates")
+    found = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return store(found.mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` whose full shingle sets are similar enough."""
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    n = ids.count()
-    found = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = store(found.mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     x = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return x.where(100 * F.col("both") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
@@ -182,10 +220,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     named = named.withColumn("blk", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     named = named.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "doc_id", "component", "stray")
-    named = named.join(reps, "doc_id")
-    pairs = named.groupBy("band", "key", "lo", "hi").applyInPandas(_across, "a long, b long").distinct()
-    pairs = store(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-across")
-    more = confirm(docs, pairs)
+    named = named.join(reps, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "component", "stray", "n_shingles", "sig")
+    block = ["key", "band", "lo", "hi"]
+    hopeful = store(grouped(named, block, _hopeful, named.schema), "hopeful")
+    sets = sets_of(docs, hopeful)
+    more = store(grouped(hopeful.join(sets, "doc_id"), block, _linked, "a long, b long").distinct(), "links-across")
     comp = store(connected_components(links.unionByName(more)), "components")
 
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"], "left")
@@ -206,13 +245,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest doc_id.
-
-    Of rows that share a kept doc_id one stays (the smallest text); rows without
-    an id all stay."""
-    docs = store(docs, "near-input")
-    lost = store(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-lost")
-    left = docs.join(lost, "doc_id", "left_anti")
-    return left
-
+    """The rows of ``docs``, with their columns, without those of documents that are not kept.
 
+    Rows that share a kept doc_id are one document and all stay; so do rows without an id."""
+    lost = store(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
+    return docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
