@@ -105,15 +105,40 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     An empty benchmark leaves all documents clean. Other columns are not read. The
     benchmark is taken to the driver in blocks of ``block_bytes`` and each block is one
     automaton and one pass, whose hits join those before."""
+    out = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first_word:int,end_word:int,first_byte:bigint,end_byte:bigint>>)").alias("spans"))
+    for found, name in _blocks(benchmark, window, block_bytes):
+        out = out.mapInArrow(_scan(found, name), _OUT)
+    return out
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[dict, str]]:
     bench = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first_word:int,end_word:int,first_byte:bigint,end_byte:bigint>>)").alias("spans"))
     for b in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(F.col("item_id").cast("string"), "text").collect()
         found = patterns([tuple(r) for r in part], window)
-        out = out.mapInArrow(_scan(found, f"{hash(tuple(sorted(found)))}"), _OUT)
-    return out
+        yield found, f"{hash(tuple(sorted(found)))}"
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with their columns, in which no window of the benchmark occurs."""
+    at = docs.columns.index("text")
+
+    def dropper(found: dict, name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(found, name) if found else None
+            for batch in pieces(batches):
+                raw, offsets, _ = text_buffers(batch.column(at))
+                low = raw.tobytes().translate(_NORMAL)
+                clean = [auto is None or next(auto.iter((b" " + b" ".join(low[lo:hi].split()) + b" ").decode("latin-1")), None) is None for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for found, name in _blocks(benchmark, window, block_bytes):
+        docs = docs.mapInArrow(dropper(found, name), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

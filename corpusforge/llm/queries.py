@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, minhash, substring, toxicity
+from . import decontaminate, langid, minhash, mixing, mtree, sharding, substring, toxicity, warc
 
 QUERIES = {
+    "op1_warc_archives": warc.query,
     "op2_language_id": langid.query,
     "op3_minhash_near_dedup": minhash.query,
     "op4_toxicity": toxicity.query,
     "op5_substring_dedup": substring.query,
+    "op6_consistent_sharding": sharding.query,
+    "op7_mixing_weights": mixing.query,
+    "op8_exact_top_k": mtree.query,
     "op10_decontaminate": decontaminate.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_archives": warc.ORACLE_SQL,
+    "op7_mixing_weights": mixing.ORACLE_SQL,
+    "op8_exact_top_k": mtree.ORACLE_SQL,
+}

@@ -22,6 +22,8 @@ from .convnet import ConvNet
 
 BUCKETS = 1 << 16
 PREFIX = 4
+#: Rows whose id has remainder 0 by this number are never learned from.
+HELD_OUT = 5
 #: Labelled texts of either class that are taken to the driver at most.
 SAMPLE = 2500
 EPOCHS = 10
@@ -140,8 +142,22 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, that are not predicted toxic by a model of
+    the ``labels`` that aren't held out."""
+    model = train(docs, labels.where(remainder("doc_id", HELD_OUT) != 0))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=400_000):
+            data, offsets, _ = text_buffers(batch.column(at))
+            yield batch.filter(pa.array(model.score(data, offsets) < 0.5)) if model is not None else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", HELD_OUT) != 0)
     out = score(docs, train(docs, labels))
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (remainder("doc_id", HELD_OUT) == 0).alias("held_out"), "score", "predicted")
