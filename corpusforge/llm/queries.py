@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, minhash, mixing, mtree, sharding, substring, toxicity, warc
+from . import decontaminate, langid, licenses, minhash, mixing, mtree, sharding, substring, toxicity, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_consistent_sharding": sharding.query,
     "op7_mixing_weights": mixing.query,
     "op8_exact_top_k": mtree.query,
+    "op9_license_scan": licenses.query,
     "op10_decontaminate": decontaminate.query,
 }
 
