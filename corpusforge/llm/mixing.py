@@ -2,8 +2,9 @@
 
 Token counts by (source, language, topic) are raked until the three marginals of
 the weights meet their targets; a document is then kept with the probability that
-its cell's weight asks for. The targets are tempered shares, tokens ** 0.7, so a
-source that holds a third of the corpus weighs less and rare ones weigh more. The
+its cell's weight asks for. The targets are tempered shares of the tokens: to the power 0.8
+for sources and languages, so a source that holds a third of the corpus weighs less
+and rare ones weigh more, and as they are for topics. The
 probabilities are scaled so that the largest is 1: the mix is met without
 repeating a document. The table of cells is small, whatever the corpus; raking is DataFrame
 windows over it and nothing is taken to the driver.
@@ -18,8 +19,9 @@ from pyspark.sql.window import Window
 from ._common import pick, store, table
 
 ROUNDS = 8
-TEMPER = 0.7
 DIMENSIONS = ("source", "lang", "topic")
+#: Exponent of the token shares that makes each dimension's targets.
+TEMPER = {"source": 0.8, "lang": 0.8, "topic": 1.0}
 #: Rounds in one plan; then the weights are stored.
 _AT_ONCE = 4
 #: So many cells are broadcast at most; beyond, the join to documents shuffles.
@@ -48,14 +50,14 @@ def _classed(docs: DataFrame) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def rake(cells: DataFrame, rounds: int = ROUNDS, temper: dict[str, float] = TEMPER) -> DataFrame:
     """``cells (source, lang, topic, tokens)`` with ``weight``: shares whose marginals are
     the tempered shares of the tokens. A cell without tokens has weight 0."""
     everything = Window.partitionBy(F.lit(1))
     x = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
     for d in DIMENSIONS:
         x = x.withColumn("m", F.sum("weight").over(Window.partitionBy(d))).withColumn("first", F.row_number().over(Window.partitionBy(d).orderBy(*DIMENSIONS)) == 1)
-        x = x.withColumn(f"t_{d}", F.pow("m", F.lit(temper)) / F.sum(F.when(F.col("first"), F.pow("m", F.lit(temper)))).over(everything)).drop("m", "first")
+        x = x.withColumn(f"t_{d}", F.pow("m", F.lit(temper[d])) / F.sum(F.when(F.col("first"), F.pow("m", F.lit(temper[d])))).over(everything)).drop("m", "first")
     for k in range(rounds):
         for d in DIMENSIONS:
             m = F.sum("weight").over(Window.partitionBy(d))
@@ -67,7 +69,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> Data
     return x.select(*DIMENSIONS, "tokens", "weight", "prob")
 
 
-def _weighed(docs: DataFrame, rounds: int, temper: float) -> DataFrame:
+def _weighed(docs: DataFrame, rounds: int, temper: dict[str, float]) -> DataFrame:
     x = _classed(docs)
     own = [f"_{d}" for d in DIMENSIONS]
     cells = _classed(pick(docs, "doc_id", "text", "lang", "source")).groupBy(*[F.col(c).alias(d) for c, d in zip(own, DIMENSIONS, strict=True)]).agg(F.sum("_tokens").alias("tokens"))
@@ -76,7 +78,7 @@ def _weighed(docs: DataFrame, rounds: int, temper: float) -> DataFrame:
     return x.join(F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked, own)
 
 
-def mix(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, rounds: int = ROUNDS, temper: dict[str, float] = TEMPER) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, prob, sampled`` for every row of
     ``docs (doc_id, text, lang, source)``.
 
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFr
     return x.select("doc_id", *named, F.col("_tokens").alias("n_tokens"), F.round("_weight", 8).alias("weight"), F.round("_prob", 8).alias("prob"), (F.col("_draw") < F.col("_prob")).alias("sampled"))
 
 
-def keep_mixed(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def keep_mixed(docs: DataFrame, rounds: int = ROUNDS, temper: dict[str, float] = TEMPER) -> DataFrame:
     """The rows of ``docs``, with their columns, that ``mix`` samples."""
     return _weighed(docs, rounds, temper).where("_draw < _prob").select(*[f"`{c}`" for c in docs.columns])
 
@@ -97,7 +99,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def _sql(rounds: int = ROUNDS, temper: float = TEMPER) -> str:
+def _sql(rounds: int = ROUNDS, temper: dict[str, float] = TEMPER) -> str:
     w = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
     out = [
         f"""WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
@@ -108,7 +110,7 @@ def _sql(rounds: int = ROUNDS, temper: float = TEMPER) -> str:
         "w0 AS (SELECT *, tokens / sum(tokens) OVER () AS w FROM c)",
     ]
     for d in DIMENSIONS:
-        out.append(f"t_{d} AS (SELECT {d}, pow(m, {temper}) / sum(pow(m, {temper})) OVER () AS t FROM (SELECT {d}, sum(w) AS m FROM w0 GROUP BY {d}))")
+        out.append(f"t_{d} AS (SELECT {d}, pow(m, {temper[d]}) / sum(pow(m, {temper[d]})) OVER () AS t FROM (SELECT {d}, sum(w) AS m FROM w0 GROUP BY {d}))")
     n = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
