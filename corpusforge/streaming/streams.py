@@ -14,23 +14,29 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event time as a timestamp with zone, and on a stream the watermark."""
+    x = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return x.withWatermark("ts", late) if events.isStreaming else x
+
+
 def windows(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and tumbling window; works on tables and, with a watermark, on streams."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = _timed(events, late)
     x = x.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return x.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Events by user and session."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = _timed(events, late)
     x = x.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return x.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def first_seen(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
     """A row for each key; on a stream the state is dropped with the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def linted(queries: DataFrame) -> DataFrame:
