@@ -32,6 +32,7 @@ QUERY_BLOCK = 4096
 #: Every QUERY_EVERY-th vec_id is a query.
 QUERY_EVERY = 50
 _SLACK = 1e-9
+_LONG = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def _searcher(queries: list[tuple[int, list[int]]], k: int):
         flat = np.asarray(col.flatten(), np.int64).reshape(x.num_rows, size)
         both = _matrix(np.concatenate([flat, np.array([q for _, q in mine]).reshape(len(mine), size)]))
         tree = MTree(np.asarray(x.column(x.schema.get_field_index("vec_id"))), both[: x.num_rows])
-        found = [(own, v, s) for (own, _), q in zip(mine, both[x.num_rows :], strict=True) for s, v in tree.search(q, own, k)]
+        found = [(own, v, max(-_LONG, min(_LONG, s))) for (own, _), q in zip(mine, both[x.num_rows :], strict=True) for s, v in tree.search(q, own, k)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"]) if found else None
 
     return run
@@ -185,8 +186,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, query_block: int = Q
 
     Vectors of different lengths are not compared. Null vectors and those with null or non-finite
     components take no part, nor do rows without an id; of rows with one id the least
-    vector counts. Fewer than ``k`` candidates give fewer rows; an empty table none. Further
-    columns are not read."""
+    vector counts. Fewer than ``k`` candidates give fewer rows; an empty table none. Scores
+    beyond 64 bits are cut to the largest long. Further columns are not read."""
     x = store(quantised(vectors).withColumn("size", F.size("x")), "vectors")
     shards = max(1, -(-x.count() // SHARD_ROWS))
     dealt = store(x.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(max(shards, 1), "size", "shard"), "shards")
