@@ -22,6 +22,7 @@ class ConvNet:
         self.out = (r.standard_normal((len(widths) * filters, classes)) * 0.1).astype(np.float32)
         self.out_bias = np.zeros(classes, np.float32)
         self._seen: dict[int, np.ndarray] = {}
+        self.silent: int | None = None  # an item whose embedding stays zero
 
     # Every text ends with ``max(widths) - 1`` empty items, so each of its items can begin a filter.
     def pad(self) -> int:
@@ -50,14 +51,20 @@ class ConvNet:
             pooled.append(np.take_along_axis(y, at, 0))
         return e, np.concatenate(pooled, 1) + self.bias, where
 
-    def train(self, texts: list[list[np.ndarray]], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.05, seed: int = 2, weight: np.ndarray | None = None) -> None:
-        """texts: for each text its features, arrays of item numbers of equal length."""
+    def train(self, texts: list[list[np.ndarray]], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.05, seed: int = 2, weight: np.ndarray | None = None, drop: float = 0.0) -> None:
+        """texts: for each text its features, arrays of item numbers of equal length. Of the items a share
+        ``drop`` is left out at random each time, so no single item can stand for a text."""
         r = np.random.default_rng(seed)
         weight = np.ones(self.classes) if weight is None else weight
         for _ in range(epochs):
             order = r.permutation(len(texts))
             for lo in range(0, len(order), batch):
-                self._learn([texts[i] for i in order[lo : lo + batch]], y[order[lo : lo + batch]], rate, weight)
+                some = [texts[i] for i in order[lo : lo + batch]]
+                if drop:
+                    some = [[f[k] for f in t] for t in some for k in [r.random(len(t[0])) >= drop]]
+                self._learn(some, y[order[lo : lo + batch]], rate, weight)
+                if self.silent is not None:
+                    self.embedding[self.silent] = 0
 
     def flat(self, texts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         pad = self.pad()
@@ -112,6 +119,10 @@ class ConvNet:
         s[u] += total * total
         self.embedding[u] -= rate * total / (np.sqrt(s[u]) + 1e-6)
 
+    def forget(self) -> None:
+        """Drop what only training needs, before the model travels."""
+        self._seen = {}
+
     def tables(self) -> np.ndarray:
         """For each item the responses of all places of all filters, side by side."""
         return np.concatenate([self.embedding @ kern[j] for kern in self.kernels for j in range(kern.shape[0])], 1)

@@ -115,13 +115,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     cuts = [F.expr("substring(text, {}, {})".format("1 + cast(step * %d as int)" % i, WINDOW)) for i in range(WINDOWS_OF_ONE)]
     rows = docs.where(u < share).withColumn("step", step).select("lang", F.explode(F.array_distinct(F.array(*cuts))).alias("x")).orderBy("lang", "x").collect()
     number = {k: i for i, k in enumerate(langs)}
-    texts, y = [], []
+    texts, y, random = [], [], np.random.default_rng(7)
     for r in rows:
         b = fold(np.frombuffer(r["x"].encode()[:WINDOW], np.uint8))
-        texts.append([b.astype(np.int64)])
-        y.append(number[r["lang"]])
+        # A piece of any length beside each window, so that short texts are learned too.
+        n = int(np.exp(random.uniform(np.log(3), np.log(WINDOW))))
+        at = int(random.integers(0, max(1, len(b) - n)))
+        for x in (b, b[at : at + n]):
+            if len(x):
+                texts.append([x.astype(np.int64)])
+                y.append(number[r["lang"]])
     net = ConvNet(256, len(langs), embed=8, widths=(2, 3, 4), filters=12)
     net.train(texts, np.array(y), EPOCHS)
+    net.forget()
     return LanguageModel(langs, net)
 
 

@@ -27,6 +27,13 @@ HELD_OUT = 5
 #: Labelled texts of either class that are taken to the driver at most.
 SAMPLE = 2500
 EPOCHS = 10
+#: Steps of ``BATCH`` texts that training takes at least, so few texts are passed more often.
+LEAST_STEPS = 600
+BATCH = 32
+#: Share of words left out at random in each pass.
+DROP = 0.3
+#: Training texts that a word or prefix must occur in; rarer ones have no embedding.
+LEAST_TEXTS = 3
 #: Calibration texts of either class without which a language takes the common threshold.
 LEAST_TO_CALIBRATE = 8
 
@@ -47,8 +54,10 @@ class ToxicityModel:
 
     def raw(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log odds, number of the guessed language) of each text."""
-        whole, prefix, of = features(data, at)
-        n, pad, langs = len(at) - 1, self.net.pad(), self.table.shape[1] - self.net.tables_width
+        return self.raw_of(*features(data, at))
+
+    def raw_of(self, whole: np.ndarray, prefix: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, pad, langs = len(of) - 1, self.net.pad(), self.table.shape[1] - self.net.tables_width
         size = np.diff(of) + pad
         starts = np.cumsum(size) - size
         place = np.arange(len(whole)) + np.repeat(np.arange(n) * pad, np.diff(of))
@@ -64,8 +73,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.thresholds[lang]), -30, 30)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> list:
-    """At most about ``sample`` labelled texts of each class, by a hash of the id."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """At most about ``sample`` labelled texts of each class, by a hash of the id, in a fixed order."""
     marks = pick(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1e6
@@ -73,45 +82,56 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> list:
     for k, n in counts.items():
         keep = keep | ((F.col("toxic") == k) & (u < min(1.0, sample / n)))
     few = marks.where(keep)
-    return docs.where("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "text", "lang", "toxic").orderBy("doc_id", "text").collect()
+    return docs.where("text is not null").join(F.broadcast(few), "doc_id").select("text", "lang", "toxic").orderBy("doc_id", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel | None:
     """A model of the rows of ``docs (doc_id, text, lang)`` that ``labels (doc_id, toxic)`` mark.
 
-    A quarter of the sample is kept from the network and sets the thresholds, one for
+    A quarter of either class is kept from the network and sets the thresholds, one for
     each language of the training rows: half way between the scores where precision and
     recall are best. None if either class has no rows. The language label only
     groups training texts; for a new text it is guessed from its words."""
-    rows = _sample(pick(docs, "doc_id", "text", "lang"), labels, sample)
-    y = np.array([int(r["toxic"] > 0) for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
-    texts, words = [], []
-    for r in rows:
+    texts, marks, spoken = [], [], []
+    for r in _sample(pick(docs, "doc_id", "text", "lang"), labels, sample).toLocalIterator():  # one text in memory at a time
         b = r["text"].encode()
         whole, prefix, _ = features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
-        texts.append([whole, prefix])
-    langs = sorted({r["lang"] for r in rows if r["lang"] is not None})
+        texts.append([whole.astype(np.int32), prefix.astype(np.int32)])
+        marks.append(int(r["toxic"] > 0))
+        spoken.append(r["lang"])
+    y = np.array(marks, np.int64)
+    if len(set(marks)) < 2:
+        return None
+    langs = sorted({k for k in spoken if k is not None})
     seen = np.ones((BUCKETS, len(langs)), np.float64)
-    for r, t in zip(rows, texts, strict=True):
-        if r["lang"] is not None:
+    for k, t in zip(spoken, texts, strict=True):
+        if k is not None:
             for f in t:
-                np.add.at(seen[:, langs.index(r["lang"])], np.unique(f), 1)
+                np.add.at(seen[:, langs.index(k)], np.unique(f), 1)
     words = np.log(seen / seen.sum(0, keepdims=True))
     words -= words.mean(1, keepdims=True) if langs else 0
-    fit = np.arange(len(rows)) % 4 != 0
+    fit, r = np.ones(len(y), bool), np.random.default_rng(4)
+    for k in (0, 1):
+        own = r.permutation(np.flatnonzero(y == k))
+        fit[own[: len(own) // 4]] = False
     net = ConvNet(BUCKETS, 2, embed=12, widths=(1, 2, 3), filters=8)
     net.embedding *= 0.04
-    net.train([t for t, k in zip(texts, fit, strict=True) if k], y[fit], EPOCHS, batch=32, rate=0.05)
+    often = np.zeros(BUCKETS, np.int64)
+    for t, k in zip(texts, fit, strict=True):
+        for f in t if k else ():
+            often[np.unique(f)] += 1
+    rare = often < LEAST_TEXTS
+    net.silent = int(np.flatnonzero(rare)[0]) if rare.any() else None
+    net.embedding[rare] = 0
+    heard = [[np.where(rare[f], net.silent, f) if rare.any() else f for f in t] for t, k in zip(texts, fit, strict=True) if k]
+    net.train(heard, y[fit], max(EPOCHS, -(-LEAST_STEPS * BATCH // int(fit.sum()))), batch=BATCH, rate=0.05, drop=DROP)
     net.tables_width = sum(net.widths) * net.filters
     model = ToxicityModel(net, words, np.zeros(max(1, len(langs))), 1.0)
-    data = [r["text"].encode() for r in rows]
-    z, lang = (np.concatenate(v) for v in zip(*[model.raw(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in data], strict=True))
+    z, lang = (np.concatenate(v) for v in zip(*[model.raw_of(whole, prefix, np.array([0, len(whole)])) for whole, prefix in texts], strict=True))
     everyone = _cut(z[~fit], y[~fit], None)
     cuts = [_cut(z[~fit & (lang == k)], y[~fit & (lang == k)], everyone) for k in range(max(1, len(langs)))]
     model.thresholds = np.array(cuts)
-    model.slope = 1.0
+    net.forget()
     return model
 
 
