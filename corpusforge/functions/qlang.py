@@ -190,33 +190,50 @@ def features(query: Column) -> Column:
 
 
 def field_values(query: Column) -> Column:
-    """``field, value`` of each ``field:value`` in order; a value is what stands in quotes,
-    parentheses or brackets, or the bare word (X3)."""
-    pattern = r'([a-z_]+):(?:"([^"]*)"|\(([^)]*)\)|\[([^\]]*)\]|([^\s()\[\]"]+))'
+    """``field, value`` of each ``field:value`` in order; a value is what stands in quotes or
+    parentheses, a bracketed range, or all up to the next blank (X3)."""
+    pattern = r'(\w+):(?:"([^"]+)"|(\([^)]+\))|(\[[^\]]+\])|(\S+))'
     names, *parts = (F.regexp_extract_all(query, F.lit(pattern), F.lit(i)) for i in range(1, 6))
     zipped = F.arrays_zip(names.alias("f"), *[p.alias(f"v{i}") for i, p in enumerate(parts)])
-    return F.transform(zipped, lambda x: F.struct(x["f"].alias("field"), F.concat(*[x[f"v{i}"] for i in range(4)]).alias("value")))
+    bare = lambda x: F.regexp_replace(F.concat(*[x[f"v{i}"] for i in range(4)]), "^[()\"']+|[()\"']+$", "")
+    return F.transform(zipped, lambda x: F.struct(F.lower(x["f"]).alias("field"), bare(x).alias("value")))
+
+
+_CALLS = "|".join([*vocab.CALLS, "pos"])
 
 
 def calls(query: Column) -> Column:
     """Operator calls in order, with repeats."""
-    return F.regexp_extract_all(F.lower(query), F.lit(r"\b(" + "|".join(vocab.CALLS) + r")\("), F.lit(1))
+    return F.regexp_extract_all(F.lower(query), F.lit(rf"\b({_CALLS})\s*\("), F.lit(1))
 
 
 def canonicalize(query: Column) -> Column:
-    """One blank between parts, none inside parentheses, curly quotes straight."""
-    x = F.translate(query, "“”‘’", "\"\"''")
-    x = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"\(\s+", "(")
-    x = F.regexp_replace(F.regexp_replace(x, r"\s+\)", ")"), r":\s+", ":")
-    x = F.regexp_replace(x, r"(?i)\b(" + "|".join([*vocab.CALLS, "pos"]) + r")\s+\(", "$1(")
-    return F.trim(x)
+    """One blank between parts and before a parenthesis, none inside it or after a field or an
+    operator, curly quotes straight (X7; G1 as it was meant)."""
+    x = F.trim(F.regexp_replace(F.translate(query, "“”‘’", "\"\"''"), " +", " "))
+    x = F.regexp_replace(F.regexp_replace(x, r"\(\s+", "("), r"\s+\)", ")")
+    x = F.regexp_replace(F.regexp_replace(x, r"(\S)\((?!\()", "$1 ("), r"(\w): \(", "$1:(")
+    return F.rtrim(F.regexp_replace(x, rf"({_CALLS}) \(", "$1("))
+
+
+def unfielded(query: Column) -> Column:
+    """Whether a query names no field."""
+    fields = "author abs abstract title pubdate year bibstem object keyword doi arXiv orcid aff inst citation_count read_count property database doctype full body bibcode identifier bibgroup arxiv_class"
+    return ~query.rlike(rf"(?i)\b({'|'.join(fields.split())}):")
 
 
 def semantic_match(expected: Column, actual: Column) -> Column:
-    """Whether at least half of the expected ``field:value`` words occur."""
-    pick = lambda q: F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(r'([a-z_]+:[^\s()]+)'), F.lit(1)))
-    want, have = pick(expected), pick(actual)
-    return F.when(F.size(want) == 0, F.lit(True)).otherwise(F.size(F.array_intersect(want, have)) >= 0.5 * F.size(want))
+    """Whether at least half of the expected fields with values and calls occur; true if there are none."""
+
+    def parts(q: Column) -> Column:
+        low = F.lower(q)
+        named, quoted, word = (F.regexp_extract_all(low, F.lit(r'(\w+):(?:"([^"]+)"|(\S+))'), F.lit(i)) for i in (1, 2, 3))
+        values = F.transform(F.arrays_zip(named.alias("n"), quoted.alias("q"), word.alias("w")), lambda x: F.concat(x["n"], F.lit(":"), x["q"], x["w"]))
+        ops = F.transform(F.regexp_extract_all(low, F.lit("(" + "|".join(vocab.CALLS) + r")\s*\("), F.lit(1)), lambda o: F.concat(F.lit("op:"), o))
+        return F.array_distinct(F.concat(values, ops))
+
+    want = parts(expected)
+    return F.when(F.size(want) == 0, F.lit(True)).otherwise(F.size(F.array_intersect(want, parts(actual))) >= 0.5 * F.size(want))
 
 
 # ---- categories (F13) and repair that needs no loop (R1, R5) ------------------------

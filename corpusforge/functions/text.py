@@ -79,12 +79,17 @@ def swap_hyphen_space(text: Column) -> Column:
 
 
 def strip_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)[^\w\s-]", "")
+    """Letters, digits, hyphens and single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s-]", ""), r"(?U)\s+", " "))
+
+
+# Words that give no letter to an acronym.
+ACRONYM_SKIPS = "a an and the of for in on at to by".split()
 
 
 def acronym(text: Column, min_words: int = 2, max_length: int = 10) -> Column:
-    """Initials of the words that begin with a letter, or null."""
-    words = F.filter(F.split(F.trim(text), r"[\s-]+"), lambda w: w.rlike(r"^[A-Za-z]"))
+    """Initials of the words that count, or null if they are too few or too many."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*ACRONYM_SKIPS))
     letters = F.upper(F.concat_ws("", F.transform(words, lambda w: F.substring(w, 1, 1))))
     return F.when((F.size(words) >= min_words) & (F.length(letters) <= max_length), letters)
 

@@ -16,7 +16,9 @@ def norm(x: Column) -> Column:
 
 
 def is_acronym(x: Column) -> Column:
-    return x.rlike(r"^[A-Z0-9]{2,10}$")
+    """Capitals only, ten at most, hyphens and blanks aside."""
+    letters = F.regexp_replace(x, r"[ -]", "")
+    return letters.rlike(r"(?U)^\p{L}{1,10}$") & (letters == F.upper(letters))
 
 
 def variants(x: Column) -> Column:
@@ -27,7 +29,7 @@ def variants(x: Column) -> Column:
 
     def forms(b: Column) -> Column:
         hyphens = F.when(F.contains(b, F.lit("-")), F.replace(b, F.lit("-"), F.lit(" ")))
-        blanks = F.when(F.contains(b, F.lit(" ")), F.replace(b, F.lit(" "), F.lit("-")))
+        blanks = F.regexp_replace(F.trim(b), r"\s+", "-")
         return F.array(b, hyphens, blanks, strip_punctuation(b), F.when(~is_acronym(b), acronym(b)))
 
     return F.filter(F.flatten(F.transform(bases, forms)), lambda v: v.isNotNull() & (F.trim(v) != ""))

@@ -75,13 +75,25 @@ def action(issues: Column) -> Column:
     return F.when(has("remove"), "remove").when(has("fix"), "fix").when(has("review"), "review").otherwise("keep")
 
 
+# Logged queries of these forms are lookups or use calls of their own.
+SKIPPED_FORMS = (
+    r"^citations\(", r"^references\(", r"^docs\(library/", r"pubnote:\(", r"^#ERROR!$", r"^bibcode:\d{4}", r"identifier:\(", r"^similar\(",
+    r"^trending\(", r"^useful\(", r"^reviews\(", r"collection:", r'full:"\d+"', r"^\*:\*$",
+)
+
+
 def skip_query(q: Column) -> Column:
     """Whether a logged query is left out."""
     low = F.lower(q)
-    out = (F.length(q) > 300) | low.rlike("|".join(NOT_SCIENCE)) | (F.size(F.split(q, " OR ")) > 4)
+    out = q.rlike("(?i)" + "|".join(SKIPPED_FORMS)) | (F.length(q) > 300) | low.rlike("|".join(NOT_SCIENCE)) | (F.size(F.split(q, " OR ")) > 4)
     return out | q.rlike(r"year:\d{1,2}(?!\d)") | F.contains(q, F.lit("9999")) | F.contains(q, F.lit("0000"))
 
 
+def mentions_papers(nl: Column) -> Column:
+    """Whether a request speaks of papers."""
+    return nl.rlike(r"(?i)\b(" + "|".join([*PAPER_WORDS, "study", "studies"]) + r")\b")
+
+
 def clean_log_query(q: Column) -> Column:
     """Blanks collapsed, doubled apostrophes as quotes, ``year_2020`` as ``year:2020``."""
     x = F.trim(F.regexp_replace(q, r"\s+", " "))
@@ -104,7 +116,7 @@ def log_category(q: Column) -> Column:
         .when(has("pubdate:", "year:") & has("abs:", "title:"), "compound")
         .when(has("pubdate:", "year:"), "publication")
         .when(has("abs:", "title:", "full:"), "content")
-        .when(~has(":"), "unfielded")
+        .when(qlang.unfielded(q), "unfielded")
         .otherwise("compound")
     )
 

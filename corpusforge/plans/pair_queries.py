@@ -89,8 +89,8 @@ def field_values_audit(spark, sf):
 _FIELD_VALUES_SQL = (
     "WITH "
     + PAIRS_SQL
-    + """, m AS (SELECT unnest(regexp_extract_all(ads_query, '[a-z_]+:(?:"[^"]*"|\\([^)]*\\)|\\[[^\\]]*\\]|[^\\s()\\[\\]"]+)')) AS m FROM pairs)
-  SELECT split_part(m, ':', 1) AS field, regexp_replace(substr(m, strpos(m, ':') + 1), '^["(\\[]|["\\])]$', '', 'g') AS value, count(*) AS n FROM m GROUP BY 1, 2"""
+    + """, m AS (SELECT unnest(regexp_extract_all(ads_query, '\\w+:(?:"[^"]+"|\\([^)]+\\)|\\[[^\\]]+\\]|\\S+)')) AS m FROM pairs)
+  SELECT split_part(m, ':', 1) AS field, trim(substr(m, strpos(m, ':') + 1), '()"') AS value, count(*) AS n FROM m GROUP BY 1, 2"""
 )
 
 
@@ -183,7 +183,7 @@ def skip_rules(spark, sf):
 _SKIP_SQL = (
     "WITH "
     + FAULTY_SQL
-    + f""" SELECT id % 13 IN (0, 1) OR length(ads_query) > 300 OR regexp_matches(lower(ads_query), '{"|".join(curate.NOT_SCIENCE)}') OR contains(regexp_replace(ads_query, '#0+', ' '), '0000') AS skip, count(*) AS n FROM faulty GROUP BY ALL"""
+    + f""" SELECT id % 13 IN (0, 1) OR regexp_matches(ads_query, '^(citations|references|similar|trending)\\(') OR length(ads_query) > 300 OR regexp_matches(lower(ads_query), '{"|".join(curate.NOT_SCIENCE)}') OR contains(regexp_replace(ads_query, '#0+', ' '), '0000') AS skip, count(*) AS n FROM faulty GROUP BY ALL"""
 )
 
 
@@ -220,6 +220,23 @@ def repair_native(spark, sf):
 _REPAIR_SQL = "WITH " + PAIRS_SQL + " SELECT id, ads_query AS fixed, ads_query || CASE WHEN contains(ads_query, 'doctype:') THEN '' ELSE ' doctype:article' END AS typed FROM pairs"
 
 
+def strict_fixes(spark, sf):
+    """Pairs with bibcodes go; the others get a type, distinctive terms and sound text fields."""
+    u = udfs.register(spark)
+    title = F.concat(F.lit('abs:"a survey of '), F.split_part("natural_language", F.lit(" about "), F.lit(2)), F.lit(' observations in clusters" abs:(the '), "category", F.lit(" of the brightest and the largest galaxies)"))
+    x = base.pairs(spark, sf).withColumn("ads_query", F.when(F.col("id") % 3 == 0, title).when(F.col("id") % 17 == 1, "2022A&A...658L..10L").otherwise(F.col("ads_query")))
+    x = x.where(~F.col("ads_query").rlike(curate.BIBCODE))
+    typed = F.when(curate.mentions_papers(F.col("natural_language")), qlang.add_article(F.col("ads_query"))).otherwise(F.col("ads_query"))
+    return x.select("id", u["title_to_terms"](u["break_phrase"](typed)).alias("fixed"))
+
+
+def semantic_matches(spark, sf):
+    """How many repaired queries still say what the sound ones said."""
+    u = udfs.register(spark)
+    a, b = base.pairs(spark, sf).withColumnRenamed("ads_query", "want"), base.faulty(spark, sf).select("id", u["constrain_query"]("ads_query").alias("have"))
+    return a.join(b, "id").groupBy("category", qlang.semantic_match(F.col("want"), F.col("have")).alias("match")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def intent_pipeline(spark, sf):
     """Intent of each request, and the query assembled from it."""
     u = udfs.register(spark)
@@ -295,6 +312,8 @@ QUERIES = {
     "pair_gate": (pair_gate, None),
     "constrained_queries": (constrained_queries, None),
     "repair_native": (repair_native, _REPAIR_SQL),
+    "strict_fixes": (strict_fixes, None),
+    "semantic_matches": (semantic_matches, None),
     "intent_pipeline": (intent_pipeline, None),
     "eval_summary": (eval_summary, _EVAL_SQL),
     "benchmark_rollup": (benchmark_rollup, _ROLLUP_SQL),
