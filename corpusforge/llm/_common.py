@@ -48,6 +48,16 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of rows that go to a Python worker at once, so that very long texts don't gather.
+ARROW_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns with any name can't clash."""
     return df.select(*[df[f"`{n}`"] for n in names])
@@ -116,4 +126,4 @@ def grouped(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from each(rest, True)[0]
 
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return arrow_map(df.repartition(parts, *keys).sortWithinPartitions(*keys), run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import pick, pieces, table, text_buffers
+from ._common import arrow_map, pick, pieces, table, text_buffers
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark is read in blocks.
@@ -107,7 +107,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     automaton and one pass, whose hits join those before."""
     out = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first_word:int,end_word:int,first_byte:bigint,end_byte:bigint>>)").alias("spans"))
     for found, name in _blocks(benchmark, window, block_bytes):
-        out = out.mapInArrow(_scan(found, name), _OUT)
+        out = arrow_map(out, _scan(found, name), _OUT)
     return out
 
 
@@ -137,7 +137,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         return run
 
     for found, name in _blocks(benchmark, window, block_bytes):
-        docs = docs.mapInArrow(dropper(found, name), docs.schema)
+        docs = arrow_map(docs, dropper(found, name), docs.schema)
     return docs
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import pick, pieces, remainder, table, text_buffers
+from ._common import arrow_map, pick, pieces, remainder, table, text_buffers
 from .convnet import ConvNet, softmax
 
 WINDOW = 256
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     x = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return x.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow_map(x, run, "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

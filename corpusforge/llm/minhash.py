@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import grouped, pick, pieces, store, table, text_buffers
+from ._common import arrow_map, grouped, pick, pieces, store, table, text_buffers
 from .components import connected_components
 
 SHINGLE = 5
@@ -179,7 +179,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id, shingles`` of the documents in ``ids (doc_id)``, stored."""
     ids = store(ids.select("doc_id").distinct(), "candidates")
     found = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    return store(found.mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    return store(arrow_map(found, _sets, "doc_id long, shingles array<long>"), "sets")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null. Rows that share a doc_id are one document in the graph. Equal texts are
     always linked; ties fall to the smallest doc_id. Other columns are not read."""
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = store(docs.mapInArrow(_sign, _SIGNED), "signed")
+    signed = store(arrow_map(docs, _sign, _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     rest = F.struct("doc_id", "n_shingles", "bands", "sig")
     classes = store(some.groupBy("h1", "h2").agg(F.min_by(rest, "doc_id").alias("r")).select("h1", "h2", "r.*"), "classes")

@@ -92,7 +92,8 @@ def mix(docs: DataFrame, rounds: int = ROUNDS, temper: dict[str, float] = TEMPER
 
 def keep_mixed(docs: DataFrame, rounds: int = ROUNDS, temper: dict[str, float] = TEMPER) -> DataFrame:
     """The rows of ``docs``, with their columns, that ``mix`` samples."""
-    return _weighed(docs, rounds, temper).where("_draw < _prob").select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "doc_id", "text", "lang", "source")
+    return _weighed(whole, rounds, temper).where("_draw < _prob").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import drop_stored, pick, pieces, shared_dir, store, table, text_buffers
+from ._common import arrow_map, drop_stored, pick, pieces, shared_dir, store, table, text_buffers
 
 WINDOW = 50
 ANCHOR = 25
@@ -154,7 +154,7 @@ class FingerprintIndex:
     def ingest(self, batch: DataFrame) -> DataFrame:
         """``doc, version, places``: where windows of the batch start that begin in an
         earlier batch too, or in a document of this batch with a smaller id."""
-        new = self._write(batch.mapInArrow(_anchors, "anchor long, doc long, version long"))
+        new = self._write(arrow_map(batch, _anchors, "anchor long, doc long, version long"))
         before = self.runs()
         alike = new.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
         for run in before:
@@ -169,7 +169,7 @@ class FingerprintIndex:
         seen = None
         for no, texts in enumerate(self.texts):
             part = _limited(texts, touched.select("doc", "version"), "left_semi").join(touched, ["doc", "version"])
-            part = part.select("doc", "version", "text", "anchors").mapInArrow(_windows, "w1 long, w2 long, doc long, version long, pos int").withColumn("batch", F.lit(no))
+            part = arrow_map(part.select("doc", "version", "text", "anchors"), _windows, "w1 long, w2 long, doc long, version long, pos int").withColumn("batch", F.lit(no))
             seen = part if seen is None else seen.unionByName(part)
         seen = store(seen, "windows")
         when = F.struct("batch", "doc")
@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     keys = marks.select("doc", "version")
     cut = _limited(docs, keys, "left_semi").join(marks, ["doc", "version"])
     same = _limited(docs, keys, "left_anti").select("doc", "version", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("whole"))
-    both = cut.select(same.columns).unionByName(same).mapInArrow(_strip, _STRIPPED)
+    both = arrow_map(cut.select(same.columns).unionByName(same), _strip, _STRIPPED)
     return both.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
 
 

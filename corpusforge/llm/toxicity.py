@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import pick, pieces, remainder, table, text_buffers
+from ._common import arrow_map, pick, pieces, remainder, table, text_buffers
 from .convnet import ConvNet
 
 BUCKETS = 1 << 16
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
             s = model.score(data, at) if model is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow_map(pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             data, offsets, _ = text_buffers(batch.column(at))
             yield batch.filter(pa.array(model.score(data, offsets) < 0.5)) if model is not None else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, shared_dir, store, table
+from ._common import arrow_map, pick, shared_dir, store, table
 
 #: A payload of fewer bytes is never replaced by a reference to another record.
 LEAST_SHARED = 100
@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     x = x.select("page_id", "url", "html", "digest", "refers_to").repartitionByRange(shards, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
     fs, base = _open_fs(folder)
     fs.create_dir(base, recursive=True)
-    x.mapInArrow(_writer(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/_manifest")
+    arrow_map(x, _writer(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
 
 
@@ -199,7 +199,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in ``manifest``, digests and lengths checked on reading."""
     files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(files, "path").mapInArrow(_reader(folder), _READ)
+    return arrow_map(manifest.select("path").repartition(files, "path"), _reader(folder), _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,8 +197,8 @@ def test_mixing_samples_by_its_probabilities(spark):
     assert abs(kept - expected) < 4 * math.sqrt(len(rows)) / 2
     again = {x.doc_id: x.sampled for x in mixing.mix(df.repartition(7)).collect()}
     assert again == {x.doc_id: x.sampled for x in got}
-    left = mixing.keep_mixed(df.withColumns({"weight": F.lit(1), "topic": F.lit("t"), "prob": F.lit("p")}))
-    assert left.columns == [*df.columns, "weight", "topic", "prob"] and {x.doc_id for x in left.collect()} == {x.doc_id for x in got if x.sampled}
+    left = mixing.keep_mixed(df.withColumns({"weight": F.lit(1), "_topic": F.lit("t"), "prob": F.lit("p")}))
+    assert left.columns == [*df.columns, "weight", "_topic", "prob"] and {x.doc_id for x in left.collect()} == {x.doc_id for x in got if x.sampled}
 
 
 def test_mixing_edges(spark):
