@@ -111,3 +111,42 @@ def test_streams_equal_tables(spark, sf, tmp_path):
     first = streams.first_seen(streams.read_stream(spark, str(tmp_path / "in"), events.schema), "event_id")
     streams.run_to_table(first, str(tmp_path / "first"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "first")).count() == events.count()
+
+
+def test_sources_and_fetch(spark, tmp_path):
+    from corpusforge.sources import config
+
+    (tmp_path / "raw.txt").write_text("abc\n")
+    (tmp_path / "s.yaml").write_text(f"sources:\n- {{id: one, type: http, url: 'file://{tmp_path}/raw.txt'}}\n")
+    (source,) = config.load_sources(str(tmp_path / "s.yaml"))
+    a = config.fetch(source, str(tmp_path / "out"))
+    b = config.fetch(source, str(tmp_path / "out"), a)
+    assert not a["cached"] and b["cached"] and a["sha256"] == b["sha256"]
+    with pytest.raises(ValueError):
+        config.fetch(config.Source("x", "http", source.url, checksum="0"), str(tmp_path / "out"))
+    (tmp_path / "bad.yaml").write_text("sources:\n- {id: a}\n- {id: b, type: ftp, url: u}\n")
+    with pytest.raises(ValueError, match="missing type, url; source b: unknown type"):
+        config.load_sources(str(tmp_path / "bad.yaml"))
+
+
+def test_registry_metrics_and_catalogs(spark, tmp_path):
+    from corpusforge.operators import catalog
+    from corpusforge.sources import config
+
+    new = {"id": "https://ror.org/1", "status": "active", "names": [{"value": "X Lab", "types": ["ror_display"]}, {"value": "XL", "types": ["acronym"]}], "locations": [{"geonames_details": {"country_name": "Peru"}}]}
+    old = {"id": "https://ror.org/2", "name": "Y Lab", "acronyms": ["YL"], "aliases": ["y lab", "Why"], "labels": [{"label": "Ypsilon", "iso639": "de"}], "country": {"country_name": "Chile"}}
+    (tmp_path / "r.json").write_text(json.dumps([new, old, {"id": "https://ror.org/3", "status": "withdrawn", "name": "Z"}]))
+    got = {r.id: r for r in catalog.organizations(config.registry_records(spark, str(tmp_path / "r.json"))).collect()}
+    assert set(got) == {"ror:1", "ror:2"} and (got["ror:1"].label, got["ror:1"].country, got["ror:1"].aliases) == ("X Lab", "Peru", ["XL"])
+    assert (got["ror:2"].label, got["ror:2"].country, got["ror:2"].aliases) == ("Y Lab", "Chile", ["Ypsilon", "YL", "Why"])
+    (tmp_path / "m.txt").write_text('# HELP x\nx_total{a="b"} 3.5\ny 2 170000\nbroken line here\n')
+    assert [tuple(r) for r in config.metrics(spark, str(tmp_path / "m.txt")).collect()] == [("x_total", 'a="b"', 3.5), ("y", "", 2.0)]
+    (tmp_path / "t.jsonl").write_text('{"id": "a", "label": "A"}\n')
+    (tmp_path / "e.jsonl").write_text('{"id": "b", "label": "B"}\n')
+    x = config.catalog_entries(spark, {"topic": str(tmp_path / "t.jsonl"), "entity": str(tmp_path / "e.jsonl")}, "id string, label string")
+    assert sorted((r.id, r.entry_type) for r in x.collect()) == [("a", "topic"), ("b", "entity")]
+    config.append_example(x, str(tmp_path / "store"))
+    config.append_example(x, str(tmp_path / "store"))
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 4
+    runs = spark.createDataFrame([("a", (50, 49, 20)), ("b", (0, 0, 0))], "id string, summary struct<total:int,valid:int,exact:int>")
+    assert [tuple(r) for r in config.run_summary(runs).orderBy("id").collect()] == [("a", 50, 98.0, 40.0, "pass"), ("b", 0, 0.0, 0.0, "fail")]
