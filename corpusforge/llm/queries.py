@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archives": warc.ORACLE_SQL,
+    "op3_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op5_substring_dedup": substring.ORACLE_SQL,
     "op7_mixing_weights": mixing.ORACLE_SQL,
     "op8_exact_top_k": mtree.ORACLE_SQL,
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
 }

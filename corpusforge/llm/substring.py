@@ -221,3 +221,14 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first_id FROM w GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS x FROM w JOIN f USING (h) WHERE doc_id > first_id),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS x FROM d),
+k AS (SELECT e.doc_id, count(c.x) AS n_removed, string_agg(word, ' ' ORDER BY e.x) FILTER (c.x IS NULL) AS kept FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.x = c.x GROUP BY e.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

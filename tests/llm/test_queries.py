@@ -1,0 +1,43 @@
+"""The registered queries of the subpackage against their SQL, and the shape of the others."""
+
+import zlib
+
+import pytest
+
+from corpusforge.llm.queries import ORACLE_SQL, QUERIES
+
+COLUMNS = {
+    "op1": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op2": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op3": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op4": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op6": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op8": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op10": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf, name):
+    df = QUERIES[name](spark, sf)
+    want = COLUMNS.get(name.split("_")[0])
+    if want:
+        assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == want
+    rows = df.collect()
+    if name.startswith(("op2", "op4")):
+        by, hit = (3, 1) if name.startswith("op2") else (5, 0)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % by == hit) for r in rows)
+    if name not in ORACLE_SQL:
+        assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+        return
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = con.sql(ORACLE_SQL[name]).df()
+    cols = sorted(df.columns)
+    assert cols == sorted(got.columns)
+    text = lambda v: "" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    none = lambda v: None if str(v) == "<NA>" else v
+    assert sorted(tuple(text(r[c]) for c in cols) for r in rows) == sorted(tuple(text(none(v)) for v in r) for r in got[cols].itertuples(index=False))
