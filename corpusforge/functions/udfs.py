@@ -141,8 +141,15 @@ def title_to_terms(query: str, most: int = 3) -> str:
 
 
 @cache
-def _phrases(op: str) -> list[re.Pattern]:
-    return [re.compile(rf"\b{p}\b", re.I) for p in vocab.OPERATOR_PHRASES[op]]
+def _phrases(op: str) -> tuple[re.Pattern, list[re.Pattern]]:
+    """(any of an operator's phrases, each of them)."""
+    each = [rf"\b{p}\b" for p in vocab.OPERATOR_PHRASES[op]]
+    return re.compile("|".join(each), re.I), [re.compile(p, re.I) for p in each]
+
+
+@cache
+def _any_phrase() -> re.Pattern:
+    return re.compile("|".join(rf"\b{p}\b" for op in vocab.OPERATOR_PHRASES for p in vocab.OPERATOR_PHRASES[op]), re.I)
 
 
 @cache
@@ -161,10 +168,21 @@ def _synonyms(kind: str) -> list[tuple[re.Pattern, str]]:
     return [(re.compile(rf"\b{re.escape(s)}\b"), table[s]) for s in sorted(table, key=len, reverse=True)]
 
 
+@cache
+def _any_synonym(kind: str) -> re.Pattern:
+    return re.compile("|".join(p.pattern for p, _ in _synonyms(kind)))
+
+
+_DIGIT = re.compile(r"\d")
+
+
 def take_operator(text: str) -> tuple[str | None, str]:
+    if not _any_phrase().search(text):
+        return None, text
     for op in vocab.OPERATOR_PHRASES:
-        if any(p.search(text) for p in _phrases(op)):
-            for p in _phrases(op):
+        one, each = _phrases(op)
+        if one.search(text):
+            for p in each:
                 text = p.sub(" ", text)
             return op, squeeze(text)
     return None, text
@@ -172,7 +190,7 @@ def take_operator(text: str) -> tuple[str | None, str]:
 
 def take_years(text: str, this_year: int) -> tuple[int | None, int | None, str]:
     lo = hi = None
-    for pattern, kind in _years():
+    for pattern, kind in _years() if _DIGIT.search(text) else ():
         if m := pattern.search(text):
             n = int(m[1])
             lo, hi = {
@@ -204,7 +222,7 @@ def take_authors(text: str) -> tuple[list[str], str]:
 
 def take_values(text: str, kind: str) -> tuple[list[str], str]:
     text, found = text.lower(), set()
-    for pattern, value in _synonyms(kind):
+    for pattern, value in _synonyms(kind) if _any_synonym(kind).search(text) else ():
         text, n = pattern.subn(" ", text)
         if n:
             found.add(value)

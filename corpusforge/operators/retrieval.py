@@ -14,9 +14,12 @@ BROADCAST_ROWS = 500_000
 
 
 def token_rows(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """One row per distinct token: ``id, token, n_tokens``."""
+    """One row per distinct token: ``id, token, n_tokens``.
+
+    The outer explode keeps the optimizer from repeating the tokens in a filter on
+    their number, which would make them twice."""
     x = df.select(F.col(id_col).alias("id"), tokens(text).alias("ts"))
-    return x.select("id", F.size("ts").alias("n_tokens"), F.explode("ts").alias("token"))
+    return x.select("id", F.size("ts").alias("n_tokens"), F.explode_outer("ts").alias("token")).where("token is not null")
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:

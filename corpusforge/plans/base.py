@@ -9,8 +9,16 @@ from ..functions import qlang
 from ..functions.vocab import RETRIEVAL_STOPWORDS
 
 
+#: Tables whose rows take long to work on.
+HEAVY = ("documents", "orders", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table. One of long texts that comes in fewer pieces than there are cores (a single small
+    file) is dealt out first; a large one is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def sql_list(values) -> str:
