@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the stored tables, read only through Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the stored tables, read only through Spark's own reader.
+
+    Texts that come in fewer pieces than there are cores (a single small file) are dealt out
+    first; a large table is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
