@@ -190,3 +190,43 @@ def gap(v1_synthetic: Column, v1_real: Column, v2_synthetic: Column, v2_real: Co
 def go_no_go(synthetic: Column, real: Column, synthetic_least: float, real_least: float) -> Column:
     """GO, CONDITIONAL GO or NO GO (A28); a missing real score is pending."""
     return F.when(synthetic < synthetic_least, "NO GO").when(real >= real_least, "GO").otherwise("CONDITIONAL GO")
+
+
+def sound_syntax(query: Column) -> Column:
+    """The basic check of a model's output."""
+    bad = r"(?i)citationsabs:|referencesabs:|citations\s*\(\s*citations|references\s*\(\s*references"
+    even = F.length(F.replace(query, F.lit("("), F.lit(""))) == F.length(F.replace(query, F.lit(")"), F.lit("")))
+    return F.coalesce((query != "") & ~query.startswith("ERROR") & even & ~query.rlike(bad), F.lit(False))
+
+
+def review(nl: Column, query: Column, category: Column) -> Column:
+    """``type, severity, description`` of a reviewer's checks, the first of each description."""
+    from .curate import BIBCODE, PAPER_WORDS
+
+    def note(kind: str, severity: str, text) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), (text if isinstance(text, Column) else F.lit(text)).alias("description"))
+
+    def when(condition: Column, kind: str, severity: str, text) -> Column:
+        return F.filter(F.array(F.when(condition, note(kind, severity, text))), lambda x: x.isNotNull())
+
+    inside = F.regexp_extract(query, r"abs:\s*\(([^)]+)\)", 1)
+    names = F.regexp_extract_all(nl, F.lit(r"\bby\s+([A-Z][a-z]+)\b"), F.lit(1))
+    initials = F.filter(F.regexp_extract_all(query, F.lit(r'author:\s*"([^"]+,\s*[A-Z]\.?\s*[A-Z]?\.?)"'), F.lit(1)), lambda a: a.rlike(r",\s*[A-Z]\."))
+    guessed = F.flatten(F.transform(names, lambda n: F.transform(F.filter(initials, lambda a: F.contains(F.lower(a), F.lower(n)) & ~F.regexp_like(nl, F.concat(F.lit(r"(?i)\b"), n, F.lit(r"\s+[A-Z]\.?\b")))), lambda a: note("author_initials", "critical", F.concat(F.lit("Author '"), n, F.lit("' got initials '"), a, F.lit("'"))))))
+    found = F.concat(
+        when(category == "unfielded", "category", "medium", "Category is 'unfielded'"),
+        when(query.rlike(BIBCODE), "bibcode_lookup", "critical", "Query contains a bibcode"),
+        guessed,
+        when((F.length(inside) > 50) & ~inside.rlike(r"\b(OR|AND)\b"), "exact_title", "high", "abs:() contains an exact title"),
+        when(nl.rlike("(?i)" + "|".join(PAPER_WORDS)) & ~F.contains(F.lower(query), F.lit("doctype:")), "missing_doctype", "medium", "NL mentions papers but the query has no doctype"),
+        F.transform(qlang.lint(query), lambda e: note("syntax", "high", e)),
+        F.transform(invalid_values(query), lambda e: note("hallucination", "high", e)),
+        when(query.rlike(r"abs:\s*\([^)]*\b[A-Z][a-z]+\s+[A-Z][a-z]+\b") & F.contains(F.lower(nl), F.lit("by")) & ~F.contains(F.lower(query), F.lit("author:")), "alignment", "high", "NL names an author but the query uses abs:"),
+    )
+    return F.array_distinct(found)  # one description always has one type and severity
+
+
+def review_action(issues: Column) -> Column:
+    """remove for a bibcode, fix for grave issues, review for others, else keep."""
+    has = lambda f: F.exists(issues, f)
+    return F.when(has(lambda i: i["type"] == "bibcode_lookup"), "remove").when(has(lambda i: i["severity"].isin("critical", "high")), "fix").when(F.size(issues) > 0, "review").otherwise("keep")

@@ -161,7 +161,22 @@ def annotated_records(spark, sf):
     return y.groupBy(F.array_join("domains", ",").alias("domains"), F.size("topics").alias("topics"), F.size("spans").alias("spans")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def syntax_accuracy(spark, sf):
+    """Sound outputs by operator."""
+    x = base.faulty(spark, sf).withColumn("operator", F.coalesce(F.get(qlang.calls(F.col("ads_query")), F.lit(0)), F.lit("none")))
+    return x.groupBy("operator").agg(F.count(F.lit(1)).alias("n"), F.sum(validate.sound_syntax(F.col("ads_query")).cast("long")).alias("sound"))
+
+
+_SOUND_SQL = (
+    "WITH "
+    + FAULTY_SQL
+    + """ SELECT coalesce(nullif(regexp_extract(ads_query, '\\b(citations|references|trending|similar)\\(', 1), ''), 'none') AS operator, count(*) AS n,
+  sum((length(replace(ads_query, '(', '')) = length(replace(ads_query, ')', '')))::INTEGER)::BIGINT AS sound FROM faulty GROUP BY 1"""
+)
+
+
 QUERIES = {
+    "syntax_accuracy": (syntax_accuracy, _SOUND_SQL),
     "local_validation": (local_validation, _VALID_SQL),
     "cached_validation": (cached_validation, _CACHED_SQL),
     "chat_examples": (chat_examples, _CHAT_SQL),

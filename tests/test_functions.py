@@ -323,3 +323,30 @@ def test_dbf(tmp_path, spark):
 
     (tmp_path / "x.dbf").write_bytes(dbf([(False, ["Tycho", "86.2"]), (True, ["gone", "1"]), (False, ["Ésa", ""])], [("clean_name", 12), ("diameter", 6)]))
     assert [r.fields for r in readers.dbf(spark, str(tmp_path / "x.dbf")).collect()] == [{"clean_name": "Tycho", "diameter": "86.2"}, {"clean_name": "Ésa", "diameter": ""}]
+
+
+def test_review(spark):
+    from corpusforge.operators import validate
+
+    rows = [
+        ("dust by Hawking", 'author:"Hawking, S." abs:dust doctype:article', "x", ["author_initials:critical"], "fix"),
+        ("dust by Hawking S.", 'author:"Hawking, S." abs:dust doctype:article', "x", [], "keep"),
+        ("papers on dust", "abs:dust", "unfielded", ["category:medium", "missing_doctype:medium"], "review"),
+        ("dust", "2022A&A...658L..10L", "x", ["bibcode_lookup:critical"], "remove"),
+        ("dust", "abs:dust AND doctype:memo AND", "x", ["syntax:high", "hallucination:high"], "fix"),
+        ("by someone", "abs:(the Albert Einstein) doctype:article", "x", ["alignment:high"], "fix"),
+    ]
+    df = spark.createDataFrame(rows, "n string, q string, c string, want array<string>, action string").withColumn("i", validate.review(F.col("n"), F.col("q"), F.col("c")))
+    for r in df.withColumn("a", validate.review_action(F.col("i"))).collect():
+        assert ([f"{i.type}:{i.severity}" for i in r.i], r.a) == (r.want, r.action), r.q
+
+
+def test_resolution(spark):
+    from corpusforge.operators import validate
+
+    rows = [("citations", None, "citing the paper about dark matter, from nature", True, "dark matter nature"), ("citations", "x", "the paper", False, None), ("useful", None, "this paper", False, None), ("similar", None, "Einstein's classic paper", True, "einstein's"), (None, None, "this paper", False, None), ("references", None, "the 1905 paper", False, "year:1905")]
+    df = spark.createDataFrame(rows, "op string, t string, x string, need boolean, hint string")
+    for r in df.withColumns({"n": validate.needs_resolution(F.col("op"), F.col("t"), F.col("x")), "h": validate.paper_hint(F.col("x"))}).collect():
+        assert (r.n, r.h) == (r.need, r.hint), r.x
+    assert [one(spark, e, validate.remote_error) for e in ("Parse error at 1", "429 rate limit", "read timeout", "401", "connection refused", "other")] == ["parse_error", "rate_limit", "timeout", "auth_error", "network_error", "api_error"]
+    assert tuple(spark.range(1).select(validate.go_no_go(F.lit(0.9), F.lit(0.1), 0.8, 0.5), validate.go_no_go(F.lit(0.9), F.lit(None).cast("double"), 0.8, 0.5), validate.go_no_go(F.lit(0.9), F.lit(0.6), 0.8, 0.5), validate.go_no_go(F.lit(0.1), F.lit(0.6), 0.8, 0.5)).first()) == ("CONDITIONAL GO", "CONDITIONAL GO", "GO", "NO GO")
