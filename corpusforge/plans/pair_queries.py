@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import qlang, udfs, vocab
-from ..operators import curate, evaluate, generate, stats
+from ..operators import curate, evaluate, generate, reports, stats
 from . import base
 from .base import FAULTY_SQL, PAIRS_SQL, sql_list
 
@@ -243,8 +243,7 @@ def intent_pipeline(spark, sf):
     x = base.pairs(spark, sf).select("id", u["extract_intent"]("natural_language").alias("i"))
     i = F.col("i")
     body = qlang.join_clauses(qlang.author_clause(i["authors"]), qlang.abstract_clause(i["free_text_terms"]), qlang.any_clause(i["or_terms"]), qlang.year_clause(i["year_from"], i["year_to"]), *[qlang.enum_clause(f, i[f]) for f in ("doctype", "property", "collection", "bibgroup")])
-    sure = F.when((F.size(i["authors"]) > 0) | i["operator"].isNotNull() | i["year_from"].isNotNull() | i["year_to"].isNotNull(), 0.9).otherwise(0.5)
-    return x.select("id", F.array_join(i["authors"], "|").alias("authors"), i["year_from"].alias("year_from"), i["year_to"].alias("year_to"), qlang.wrap(body, i["operator"]).alias("final_query"), sure.alias("confidence"))
+    return x.select("id", F.array_join(i["authors"], "|").alias("authors"), i["year_from"].alias("year_from"), i["year_to"].alias("year_to"), qlang.wrap(body, i["operator"]).alias("final_query"), reports.confidence(i).alias("confidence"))
 
 
 def eval_summary(spark, sf):

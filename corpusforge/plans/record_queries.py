@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import qlang, vocab
-from ..operators import link, records, validate
+from ..operators import link, records, reports, validate
 from . import base
 from .base import FAULTY_SQL, PAIRS_SQL, sql_list, table
 from .pair_queries import _LINT_SQL
@@ -175,7 +175,78 @@ _SOUND_SQL = (
 )
 
 
+def dataset_stats(spark, sf):
+    p = base.pairs(spark, sf)
+    return reports.dataset_stats({"train": p.where("id % 10 > 0"), "val": p.where("id % 10 = 0")})
+
+
+def quality_report(spark, sf):
+    return reports.quality_report(base.faulty(spark, sf))
+
+
+_QUALITY_SQL = (
+    _LINT_SQL
+    + """, s AS (SELECT len(errors) = 0 AS ok, CASE id % 11 WHEN 5 THEN 1 WHEN 7 THEN 1 ELSE 0 END AS w, CASE WHEN id % 11 = 6 THEN 1 ELSE 0 END AS b FROM e),
+  t AS (SELECT count(*) AS e, sum(ok::INTEGER)::BIGINT AS s, sum(w)::BIGINT AS w, sum(b)::BIGINT AS b FROM s)
+  SELECT unnest(['examples', 'sound', 'wrong_values', 'bare_values']) AS measure, unnest([e, s, w, b]) AS n FROM t"""
+)
+
+
+def prediction_stats(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("type"), (F.col("n_chars") % 100 / 100.0).alias("confidence"))
+    return reports.prediction_stats(d.unionByName(d.where("doc_id % 2 = 0")))
+
+
+_PREDICTION_SQL = """WITH d AS (SELECT doc_id, lang AS type, n_chars % 100 / 100.0::DOUBLE AS confidence FROM documents), u AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE doc_id % 2 = 0)
+  SELECT type, count(*) AS spans, count(DISTINCT doc_id) AS documents, round(avg(confidence), 4) AS mean_confidence, round(count(*) / count(DISTINCT doc_id), 4) AS per_document FROM u GROUP BY ROLLUP (type)"""
+
+
+def linking_stats(spark, sf):
+    from .span_queries import _entries, _mentions
+
+    return reports.linking_stats(link.link_cascade(_mentions(spark, sf), link.linking_index(_entries(spark, sf))))
+
+
+def result_views(spark, sf):
+    r = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("syntax_ok"), (F.col("toxic") == 0).alias("semantic_ok"))
+    out = None
+    for view in ("all", "syntax", "semantic", "both"):
+        x = reports.result_filter(r, view).agg(F.count(F.lit(1)).alias("n")).select(F.lit(view).alias("view"), "n")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+_VIEWS_SQL = """SELECT 'all' AS view, count(*) AS n FROM labels UNION ALL SELECT 'syntax', count(*) FILTER (coalesce(quality, 0) <> 1) FROM labels UNION ALL SELECT 'semantic', count(*) FILTER (coalesce(toxic, 1) <> 0) FROM labels
+  UNION ALL SELECT 'both', count(*) FILTER (coalesce(quality, 0) <> 1 AND coalesce(toxic, 1) <> 0) FROM labels"""
+
+
+def reviewed_pairs(spark, sf):
+    p = base.pairs(spark, sf)
+    r = p.where("id % 5 = 0").select("natural_language", "ads_query", F.concat("ads_query", F.lit(" AND abs:new")).alias("fixed_query"))
+    x = p.withColumn("old", F.col("ads_query"))
+    return reports.changes(reports.apply_reviews(x, r), "old", "ads_query")
+
+
+_REVIEWED_SQL = "WITH " + PAIRS_SQL + """, k AS (SELECT DISTINCT natural_language, ads_query FROM pairs WHERE id % 5 = 0)
+  SELECT count(*) AS rows, count(k.ads_query) AS changed FROM pairs LEFT JOIN k USING (natural_language, ads_query)"""
+
+
+def report_examples(spark, sf):
+    x = base.faulty(spark, sf).select("id", (F.size(qlang.lint(F.col("ads_query"))) == 0).alias("ok"))
+    return reports.examples_for_report(x, F.col("ok"), "id", 5).select("id", "good")
+
+
+_EXAMPLES_SQL = _LINT_SQL + " SELECT id, len(errors) = 0 AS good FROM e QUALIFY row_number() OVER (PARTITION BY len(errors) = 0 ORDER BY id) <= 5"
+
+
 QUERIES = {
+    "dataset_stats": (dataset_stats, "WITH " + PAIRS_SQL + " SELECT CASE WHEN id % 10 > 0 THEN 'train' ELSE 'val' END AS source, category, count(*) AS n FROM pairs GROUP BY ALL"),
+    "quality_report": (quality_report, _QUALITY_SQL),
+    "prediction_stats": (prediction_stats, _PREDICTION_SQL),
+    "linking_stats": (linking_stats, None),
+    "result_views": (result_views, _VIEWS_SQL),
+    "reviewed_pairs": (reviewed_pairs, _REVIEWED_SQL),
+    "report_examples": (report_examples, _EXAMPLES_SQL),
     "syntax_accuracy": (syntax_accuracy, _SOUND_SQL),
     "local_validation": (local_validation, _VALID_SQL),
     "cached_validation": (cached_validation, _CACHED_SQL),
