@@ -33,11 +33,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, so
-    a lost executor costs a reread and not a recomputation."""
+    a lost executor costs a reread and not a recomputation. ``slim``: the rows are few
+    beside the input (ids, links), so a sixteenth of the usual files holds them."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if slim:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

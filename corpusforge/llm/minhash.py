@@ -177,7 +177,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id, shingles`` of the documents in ``ids (doc_id)``, stored."""
-    ids = store(ids.select("doc_id").distinct(), "candidates")
+    ids = store(ids.select("doc_id").distinct(), "candidates", slim=True)
     found = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     return store(arrow_map(found, _sets, "doc_id long, shingles array<long>"), "sets")
 
@@ -208,14 +208,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = store(banded.join(shared, ["band", "key"]), "members")
     star = member.where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = store(_similar(star, reps), "stars-tried")
-    links = store(confirm(docs, tried), "links")
-    comp = store(connected_components(links), "components")
+    links = store(confirm(docs, tried), "links", slim=True)
+    comp = store(connected_components(links), "components", slim=True)
 
     # What the stars can't have seen: pairs across components within a bucket.
     named = member.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     top = named.where("doc_id = pivot").select("band", "key", F.col("component").alias("main"))
     mixed = named.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "key")
-    top = store(top.join(mixed, ["band", "key"]).distinct(), "mixed")
+    top = store(top.join(mixed, ["band", "key"]).distinct(), "mixed", slim=True)
     named = named.join(top, ["band", "key"]).withColumn("stray", F.col("component") != F.col("main"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     named = named.withColumn("blk", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     block = ["key", "band", "lo", "hi"]
     hopeful = store(grouped(named, block, _hopeful, named.schema), "hopeful")
     sets = sets_of(docs, hopeful)
-    more = store(grouped(hopeful.join(sets, "doc_id"), block, _linked, "a long, b long").distinct(), "links-across")
-    comp = store(connected_components(links.unionByName(more)), "components")
+    more = store(grouped(hopeful.join(sets, "doc_id"), block, _linked, "a long, b long").distinct(), "links-across", slim=True)
+    comp = store(connected_components(links.unionByName(more)), "components", slim=True)
 
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"], "left")
     out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -248,7 +248,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, without those of documents that are not kept.
 
     Rows that share a kept doc_id are one document and all stay; so do rows without an id."""
-    lost = store(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
+    lost = store(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies", slim=True)
     return docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
