@@ -119,21 +119,20 @@ class _Block:
         self.ids, self.comp, self.blk, self.n, self.stray = (col[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "blk", "n_shingles", "stray"))
         self.same_block = col["lo"][0].as_py() == col["hi"][0].as_py()
         self.band = col["band"][0].as_py()
+        self.keys = col["bands"].flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, BANDS)
 
     def near(self):
         """(i, partners j): pairs across components whose signatures agree enough; a
-        pair that several buckets hold comes with the first band that it shares."""
+        pair that several buckets hold comes with the first band whose bucket it shares
+        (cut minima also agree where the buckets differ, so they can't tell which one)."""
         for i in np.flatnonzero(self.stray):
             ok = (self.comp != self.comp[i]) & (self.same_block | (self.blk != self.blk[i])) & (~self.stray | (self.ids > self.ids[i]))
             ok &= 100 * np.minimum(self.n, self.n[i]) >= PERCENT * np.maximum(self.n, self.n[i])
             j = np.flatnonzero(ok)
             if len(j):
-                eq = self.sig[j] == self.sig[i]
-                keep = eq.sum(1) >= LEAST_AGREEING
-                j, eq = j[keep], eq[keep]
+                j = j[(self.sig[j] == self.sig[i]).sum(1) >= LEAST_AGREEING]
                 if len(j):
-                    first = eq.reshape(len(j), BANDS, MINIMA // BANDS).all(2).argmax(1)
-                    j = j[first == self.band]
+                    j = j[(self.keys[j] == self.keys[i]).argmax(1) == self.band]
                     if len(j):
                         yield i, j
 
@@ -202,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = signed.where("n_shingles > 0 and doc_id is not null")
     rest = F.struct("doc_id", "n_shingles", "bands", "sig")
     classes = store(some.groupBy("h1", "h2").agg(F.min_by(rest, "doc_id").alias("r")).select("h1", "h2", "r.*"), "classes")
-    reps = classes.select("doc_id", "n_shingles", "sig")
+    reps = classes.select("doc_id", "n_shingles", "bands", "sig")
     banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = store(banded.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
     member = store(banded.join(shared, ["band", "key"]), "members")
@@ -220,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     named = named.withColumn("blk", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     named = named.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "doc_id", "component", "stray")
-    named = named.join(reps, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "component", "stray", "n_shingles", "sig")
+    named = named.join(reps, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "component", "stray", "n_shingles", "bands", "sig")
     block = ["key", "band", "lo", "hi"]
     hopeful = store(grouped(named, block, _hopeful, named.schema), "hopeful")
     sets = sets_of(docs, hopeful)

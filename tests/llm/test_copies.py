@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,34 @@ def test_star_does_not_lose_links_between_members(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_groups(rows)
 
 
+def test_pairs_of_long_texts_in_shared_buckets_come_once():
+    """Minima of long texts are small, so their upper halves agree in bands whose buckets differ; each
+    similar pair must come from just one of the buckets that it shares."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**7)}" for _ in range(25_000)]
+    rows = [" ".join(base)]
+    for _ in range(14):
+        x = list(base)
+        for p in r.sample(range(25_000), 650):
+            x[p] = f"n{r.randrange(10**9)}"
+        rows.append(" ".join(x))
+    ids = pa.array(range(len(rows)), pa.int64())
+    signed = pa.Table.from_batches(minhash._sign([pa.RecordBatch.from_arrays([ids, pa.array(rows)], names=["doc_id", "text"])])).combine_chunks()
+    sets = [set(s.tolist()) for s in minhash.shingle_sets(pa.RecordBatch.from_arrays([ids, pa.array(rows)], names=["doc_id", "text"]))]
+    keys = np.array(signed["bands"].to_pylist())
+    buckets = {(band, k): np.flatnonzero(keys[:, band] == k) for band in range(minhash.BANDS) for k in keys[:, band]}
+    got = []
+    for (band, _), at in buckets.items():
+        n, x = len(at), signed.take(pa.array(at))
+        col = {"doc_id": x["doc_id"], "n_shingles": x["n_shingles"], "bands": x["bands"], "sig": x["sig"], "component": x["doc_id"], "stray": [True] * n, "shingles": [sorted(v - (1 << 64) if v >> 63 else v for v in sets[i]) for i in at]}
+        col |= {c: pa.array([v] * n, pa.int32()) for c, v in (("band", band), ("lo", 0), ("hi", 0), ("blk", 0))}
+        found = minhash._linked(pa.table(col).combine_chunks().to_batches()[0])
+        got += [] if found is None else zip(found["b"].to_pylist(), found["a"].to_pylist(), strict=True)
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    alike = ((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near(i, j) and (keys[i] == keys[j]).any() and (np.frombuffer(signed["sig"][i].as_py(), np.uint16) == np.frombuffer(signed["sig"][j].as_py(), np.uint16)).sum() >= minhash.LEAST_AGREEING)
+    assert len(got) > 10 and sorted(got) == sorted(alike)
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, "A b  c d e f"), (8, None)], "doc_id long, text string")
     df = df.withColumns({"sig": F.lit(1), "bands": F.lit("x"), "h1": F.lit(2), "component_id": F.lit(3), "kept": F.lit(None)})
