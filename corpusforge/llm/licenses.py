@@ -1,13 +1,15 @@
 """Licence families of paragraphs: sparse n-gram regression, confirmed by templates.
 
-A paragraph is a line of a text. Its distinct word 1- to 3-grams are the features of a
+A paragraph is a line of a text, or a run of lines without a blank one between them, as
+notices are often wrapped: words of one notice count over line ends if they lie within
+``REACH`` words, about twice the longest template. Its distinct word 1- to 3-grams are the features of a
 softmax regression over licence families and an unknown class, trained in numpy on
 perturbed templates and on look-alikes that name no licence. A temperature and a
 least probability, set on held-out examples, make a doubtful paragraph unknown, and a
 predicted family counts only if the paragraph holds enough of one of that family's
-templates. Every template has one of the trigger words, so a paragraph without
-any can't be confirmed; it is passed over before its n-grams are made. Scoring is
-DataFrame operations only, once for each distinct paragraph.
+templates. A line with a trigger word is always scored; other lines, and runs of lines, are
+passed over before all their n-grams are made only if they hold too few word pairs of every
+template to be confirmed. Scoring is DataFrame operations only, once for each distinct paragraph.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import json
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import pick, store, table
@@ -101,6 +103,8 @@ TRIGGER = r"(?i)licen[cs]|copyright|copyleft|permission|redistribut|creative com
 UNKNOWN = "unknown"
 #: Share of a template's word pairs that a paragraph must hold.
 CONFIRM = 0.6
+#: Words within which a notice that is wrapped over lines is looked for.
+REACH = 64
 #: Perturbed copies of each template for training, and as many again for calibration.
 COPIES = 30
 EPOCHS = 200
@@ -120,6 +124,30 @@ def pairs(text: str) -> set[str]:
     return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
 
 
+def least_pairs(template: set[str]) -> int:
+    """So many of a template's pairs make a paragraph hold enough of it."""
+    return next(k for k in range(len(template) + 1) if k / len(template) >= CONFIRM)
+
+
+def marking_words(templates: list[set[str]]) -> list[str]:
+    """Words of which any paragraph that can be confirmed has one: in each template, the pairs
+    without them are too few. Words that stand in few templates' pairs come last."""
+    out: list[str] = []
+    while short := [t for pp in templates if len(t := {q for q in pp if not set(q.split()) & set(out)}) >= least_pairs(pp)]:
+        count: dict[str, int] = {}
+        for q in (q for t in short for q in t):
+            for w in set(q.split()) - _COMMON:
+                count[w] = count.get(w, 0) + 1
+        if not count:
+            count = {w: 1 for t in short for q in t for w in q.split()}
+        out.append(max(sorted(count), key=count.__getitem__))
+    return out
+
+
+#: Common words mark a paragraph only if a template has no others.
+_COMMON = {"the", "of", "in", "and", "to", "is", "a", "by", "this", "you", "it", "or", "as", "for", "any", "with", "that", "are", "not", "may", "at", "no", "be", "under", "on", "version", "work", "terms", *"0123456789"}
+
+
 class LicenceModel:
     """``weights[gram]``: a number for each class; probabilities are softmax(scale * sum)."""
 
@@ -220,20 +248,66 @@ def classify_paragraphs(lines: DataFrame, model: LicenceModel) -> DataFrame:
     return x.select("paragraph", F.when(sure, F.col("own")).otherwise(UNKNOWN).alias("family"), F.col("best.p").alias("probability"), (sure & (match >= CONFIRM)).alias("confirmed"))
 
 
+def _confirmable(paragraph: Column, model: LicenceModel) -> Column:
+    """Whether a paragraph holds enough pairs of any template."""
+    marks = "|".join(marking_words([p for _, _, p in model.templates]))
+    every = F.array(*[F.lit(q) for q in sorted(set().union(*(p for _, _, p in model.templates)))])
+    v = F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z0-9]+"), F.lit(0))
+    two = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(v, i + 1, F.lit(2))))
+    rows = json.dumps([{"p": sorted(p), "k": least_pairs(p)} for _, _, p in model.templates])
+    templates = F.from_json(F.lit(rows), "array<struct<p:array<string>,k:int>>")
+    enough = F.exists(F.array(F.array_intersect(two, every)), lambda have: F.exists(templates, lambda t: F.size(F.array_intersect(have, t["p"])) >= t["k"]))
+    return F.when(F.lower(paragraph).rlike(f"(?<![a-z0-9])(?:{marks})(?![a-z0-9])"), enough).otherwise(False)
+
+
+def _runs(lines: Column) -> Column:
+    """``paragraph, head, tail`` of every run of two lines or more within reach: its words,
+    without those of its last line, and without those of its first."""
+    word = F.lit("[a-z0-9]+")
+    v = F.transform(lines, lambda t: F.regexp_extract_all(F.lower(t), word, F.lit(0)))
+    v = F.transform(v, lambda w: F.struct(F.size(w).alias("n"), F.concat_ws(" ", F.slice(w, F.lit(1), F.lit(REACH))).alias("first"), F.concat_ws(" ", F.slice(w, F.greatest(F.size(w) - (REACH - 1), F.lit(1)), F.lit(REACH))).alias("last")))
+    none = F.expr("cast(array() as array<struct<paragraph:string,head:string,tail:string>>)")
+
+    def step(a: Column, x: Column) -> Column:
+        goes_on = a["open"] & (x["n"] > 0) & (a["n"] < REACH)
+        text, tail = F.concat_ws(" ", a["text"], x["first"]), F.concat_ws(" ", a["tail"], x["first"])
+        run = F.struct(text.alias("paragraph"), a["text"].alias("head"), tail.alias("tail"))
+        return F.when(goes_on, F.struct(F.lit(True).alias("open"), (a["n"] + x["n"]).alias("n"), text.alias("text"), tail.alias("tail"), F.concat(a["out"], F.array(run)).alias("out"))).otherwise(F.struct(F.lit(False).alias("open"), a["n"].alias("n"), a["text"].alias("text"), a["tail"].alias("tail"), a["out"].alias("out")))
+
+    def of(v: Column) -> Column:
+        start = lambda x: F.struct((x["n"] > 0).alias("open"), F.lit(0).alias("n"), x["last"].alias("text"), F.lit(None).cast("string").alias("tail"), none.alias("out"))
+        return F.flatten(F.transform(v, lambda x, i: F.aggregate(F.slice(v, i + 2, F.lit(REACH)), start(x), step, lambda a: a["out"])))
+
+    return F.flatten(F.transform(F.array(v), of))
+
+
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """``doc_id, n_candidates, n_confirmed, n_unknown, families, probability`` for every row of ``docs (doc_id, text)``.
 
-    Candidates are the paragraphs with a trigger word; ``families`` are the confirmed ones,
+    Candidates are the lines with a trigger word and all other paragraphs that are confirmed; a
+    run of lines counts if it is confirmed for a family for which it is not without its first
+    or without its last line. ``families`` are the confirmed ones,
     distinct and sorted, ``probability`` is the highest of a confirmed paragraph (null if there is
     none). Null and empty texts have no paragraph; rows that share a doc_id share their
     findings; a null doc_id has none. Ties between families go to the first by name. An empty
     table stays empty; further columns are not read."""
     model = model or LicenceModel()
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(TRIGGER)).select("doc_id", F.explode(F.split("text", "\n")).alias("paragraph")).where(F.col("paragraph").rlike(TRIGGER))
-    lines = store(lines.groupBy("doc_id", "paragraph").agg(F.count(F.lit(1)).alias("times")), "paragraphs")
-    known = store(classify_paragraphs(lines.select("paragraph").distinct(), model), "families")
-    found = lines.join(F.broadcast(known) if known.count() <= BROADCAST_PARAGRAPHS else known, "paragraph")
+    some = docs.where(F.col("doc_id").isNotNull() & (F.col("text").rlike(TRIGGER) | _confirmable(F.col("text"), model))).select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = some.select("doc_id", F.explode("lines").alias("paragraph"))
+    lines = lines.select("doc_id", "paragraph", *[F.lit(None).cast("string").alias(c) for c in ("head", "tail")], F.col("paragraph").rlike(TRIGGER).alias("named"))
+    lines = lines.where(F.col("named") | _confirmable(F.col("paragraph"), model))
+    runs = some.select("doc_id", F.explode(_runs(F.col("lines"))).alias("r")).select("doc_id", "r.*", F.lit(False).alias("named")).where(_confirmable(F.col("paragraph"), model))
+    lines = store(lines.unionByName(runs).groupBy("doc_id", "paragraph", "head", "tail", "named").agg(F.count(F.lit(1)).alias("times")), "paragraphs")
+    scored = lines.select(F.explode(F.array_distinct(F.array_compact(F.array("paragraph", "head", "tail")))).alias("paragraph")).distinct()
+    known = store(classify_paragraphs(scored, model), "families")
+    few = known.count() <= BROADCAST_PARAGRAPHS
+    found = lines.join(F.broadcast(known) if few else known, "paragraph")
+    for c in ("head", "tail"):
+        sure = known.where("confirmed").select(F.col("paragraph").alias(c), F.col("family").alias(f"{c}_family"))
+        found = found.join(F.broadcast(sure) if few else sure, c, "left")
+    whole = F.col("confirmed") & ~F.col("family").eqNullSafe(F.col("head_family")) & ~F.col("family").eqNullSafe(F.col("tail_family"))
+    found = found.where(F.col("named") | whole)
     by_doc = found.groupBy("doc_id").agg(
         F.sum("times").alias("n_candidates"),
         F.sum(F.when(F.col("confirmed"), F.col("times")).otherwise(0)).alias("n_confirmed"),

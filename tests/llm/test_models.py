@@ -142,3 +142,27 @@ def test_licence_scan_edges(spark):
     got = sorted(((r.doc_id, r.n_candidates, r.n_confirmed, r.n_unknown, tuple(r.families)) for r in licenses.scan(df).collect()), key=str)
     assert got == sorted([(1, 2, 2, 0, ("MIT",)), (2, 0, 0, 0, ()), (3, 0, 0, 0, ()), (None, 0, 0, 0, ()), (4, 0, 0, 0, ()), (5, 2, 1, 1, ("CC-BY-NC",)), (5, 2, 1, 1, ("CC-BY-NC",))], key=str)
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+def test_wrapped_licence_notices_are_confirmed(spark):
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or"
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    narrow = "Permission\nis hereby\ngranted free\nof charge\nto any\nperson obtaining\na copy\nof this\nsoftware and\nassociated documentation\nfiles"
+    apart = mit.replace("\n", "\n\n")
+    long_line = "word " * 300 + "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files\n" + "word " * 300
+    prose = "\n".join(["the sea and the work of a day"] * 40)
+    rows = [(1, gpl), (2, mit), (3, bsd), (4, mpl), (5, narrow), (6, apart), (7, long_line), (8, f"{prose}\n{gpl}\n{prose}"), (9, prose), (10, f"{mit}\n\n{bsd}")]
+    got = {r.doc_id: (r.n_confirmed, r.families) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    families = {1: ["GPL"], 2: ["MIT"], 3: ["BSD"], 4: ["MPL-2.0"], 5: ["MIT"], 6: [], 7: ["MIT"], 8: ["GPL"], 9: [], 10: ["BSD", "MIT"]}
+    assert {k: v[1] for k, v in got.items()} == families
+    assert all((n > 0) == bool(f) for n, f in got.values())
+
+
+def test_no_confirmable_paragraph_is_without_a_marking_word():
+    """Whatever pairs of a template are left out, enough of them hold a marking word."""
+    model = licenses.LicenceModel()
+    words = set(licenses.marking_words([p for _, _, p in model.templates]))
+    for _, _, p in model.templates:
+        assert sum(not words & set(q.split()) for q in p) < licenses.least_pairs(p)
