@@ -81,11 +81,18 @@ def link_embedding(spans: DataFrame, entries: DataFrame, least: float = EMBED_LE
     return best.select("span_id", "r.canonical_id", F.col("r.score").alias("confidence"), F.lit("embedding").alias("match_type"))
 
 
-def link_cascade(spans: DataFrame, index: DataFrame) -> DataFrame:
-    """All spans with their link by the first stage that finds one (J8); unlinked spans have nulls."""
+def link_cascade(spans: DataFrame, index: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """All spans with their link by the first stage that finds one (J8); unlinked spans have nulls.
+
+    With ``vectors (canonical_id, type, embedding, ord)`` of the catalog, and ``embedding`` in
+    ``spans``, what neither the exact nor the fuzzy stage links is linked by embedding."""
     exact = link_exact(spans, index)
     rest = spans.join(exact.select("span_id"), "span_id", "left_anti")
-    found = exact.unionByName(link_fuzzy(rest, index))
+    fuzzy = link_fuzzy(rest, index)
+    found = exact.unionByName(fuzzy)
+    if vectors is not None:
+        rest = rest.join(fuzzy.select("span_id"), "span_id", "left_anti")
+        found = found.unionByName(link_embedding(rest.select("span_id", "type", "embedding"), vectors.select("canonical_id", "type", "embedding", "ord")))
     return spans.select("span_id").join(found, "span_id", "left").withColumn("match_type", F.coalesce("match_type", F.lit("unlinked")))
 
 

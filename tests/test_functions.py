@@ -350,3 +350,15 @@ def test_resolution(spark):
         assert (r.n, r.h) == (r.need, r.hint), r.x
     assert [one(spark, e, validate.remote_error) for e in ("Parse error at 1", "429 rate limit", "read timeout", "401", "connection refused", "other")] == ["parse_error", "rate_limit", "timeout", "auth_error", "network_error", "api_error"]
     assert tuple(spark.range(1).select(validate.go_no_go(F.lit(0.9), F.lit(0.1), 0.8, 0.5), validate.go_no_go(F.lit(0.9), F.lit(None).cast("double"), 0.8, 0.5), validate.go_no_go(F.lit(0.9), F.lit(0.6), 0.8, 0.5), validate.go_no_go(F.lit(0.1), F.lit(0.6), 0.8, 0.5)).first()) == ("CONDITIONAL GO", "CONDITIONAL GO", "GO", "NO GO")
+
+
+def test_cascade_goes_on_to_embeddings(spark):
+    entries = spark.createDataFrame([("a", "dark matter", [], "topic", 0), ("b", "black holes", [], "topic", 1)], "id string, label string, aliases array<string>, type string, ord long")
+    vectors = spark.createDataFrame([("a", "topic", [1.0, 0.0], 0), ("b", "topic", [0.0, 1.0], 1)], "canonical_id string, type string, embedding array<double>, ord long")
+    spans = [(1, "Dark Matter", "topic", [0.0, 1.0]), (2, "dark mattr", "topic", [0.0, 1.0]), (3, "collapsed stars", "topic", [0.1, 0.9]), (4, "unrelated", "topic", [0.7, -0.7]), (5, "no vector", "topic", None), (6, "other", "author", [0.0, 1.0])]
+    spans = spark.createDataFrame(spans, "span_id long, surface string, type string, embedding array<double>")
+    index = link.linking_index(entries)
+    got = {r.span_id: (r.canonical_id, r.match_type) for r in link.link_cascade(spans, index, vectors).collect()}
+    none = (None, "unlinked")
+    assert got == {1: ("a", "exact"), 2: ("a", "fuzzy"), 3: ("b", "embedding"), 4: none, 5: none, 6: none}
+    assert {r.span_id for r in link.link_cascade(spans, index).where("match_type = 'unlinked'").collect()} == {3, 4, 5, 6}
