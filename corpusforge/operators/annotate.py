@@ -37,6 +37,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(words), pa.int64()), pa.array(words, pa.string()), pa.array(starts, pa.int32())], names=["doc_id", "word", "start"])
 
 
+def _sign_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text, surface in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            starts = [m.start() for m in re.finditer(f"(?={re.escape(surface)})", low)]
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(starts), pa.int64()), pa.array([surface] * len(starts), pa.string()), pa.array(starts, pa.int32())], names=["doc_id", "surface_lc", "start"])
+
+
 def word_places(docs: DataFrame) -> DataFrame:
     """``doc_id, word, start`` of every run of letters and digits, in lower case. A place is a running sum over a text,
     which expressions could only build by copying an array for each word."""
@@ -46,11 +54,20 @@ def word_places(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, surface_lc, start, len, surface`` of every place where an indexed surface stands at word borders.
 
-    A place is looked up by its word: surfaces of one word are found by that join alone, and
-    those of several words are then compared with the text at that place."""
-    first = F.regexp_extract("surface_lc", r"^([\p{L}\p{N}]+)", 1)
-    idx = index.where(F.col("surface_lc").rlike(r"^[\p{L}\p{N}]")).withColumn("word", first).withColumn("len", F.length("surface_lc"))
+    A place is looked up by the surface's first word, wherever in the surface that stands: surfaces
+    of one word are found by that join alone, and the others are then compared with the text
+    around that place. Surfaces without a letter or digit are searched for in the texts that contain them."""
+    cut = r"^([^\p{L}\p{N}]*)([\p{L}\p{N}]*)"
+    idx = index.withColumns({"word": F.regexp_extract("surface_lc", cut, 2), "before": F.length(F.regexp_extract("surface_lc", cut, 1)), "len": F.length("surface_lc")})
+    signs, idx = idx.where("word = '' and len > 0").drop("word", "before"), idx.where("word <> ''")
     x = word_places(docs).join(F.broadcast(idx) if idx.count() <= BROADCAST_SURFACES else idx, "word")
+    x = x.withColumn("start", F.col("start") - F.col("before")).where("start >= 0").drop("word", "before")
+    few = signs.count()
+    if few:
+        s = signs.select("surface_lc")
+        y = docs.select(F.col("doc_id").cast("long"), "text").crossJoin(F.broadcast(s) if few <= BROADCAST_SURFACES else s).where(F.contains(F.lower("text"), F.col("surface_lc")))
+        y = y.mapInArrow(_sign_places, "doc_id long, surface_lc string, start int").join(F.broadcast(signs) if few <= BROADCAST_SURFACES else signs, "surface_lc")
+        x = x.unionByName(y)
     x = x.join(docs.select("doc_id", "text"), "doc_id")
     here = F.substring(F.col("text"), F.col("start") + 1, F.col("len"))
     x = x.where((F.lower(here) == F.col("surface_lc")) & at_word_boundary(F.col("text"), F.col("start"), F.col("start") + F.col("len")))

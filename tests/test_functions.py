@@ -362,3 +362,14 @@ def test_cascade_goes_on_to_embeddings(spark):
     none = (None, "unlinked")
     assert got == {1: ("a", "exact"), 2: ("a", "fuzzy"), 3: ("b", "embedding"), 4: none, 5: none, 6: none}
     assert {r.span_id for r in link.link_cascade(spans, index).where("match_type = 'unlinked'").collect()} == {3, 4, 5, 6}
+
+
+def test_surfaces_that_begin_with_a_sign_are_found(spark):
+    labels = ['"G. d\'Annunzio" University', "(1) Ceres", "....", "-->x", "plain", "_tmp_"]
+    index = annotate.keyword_index(spark.createDataFrame([(f"e{i}", x, [], "topic", i) for i, x in enumerate(labels)], "id string, label string, aliases array<string>, type string, ord int"))
+    texts = ['The "g. d\'annunzio" university (1) ceres and (1) Cerestes', "(1) Ceres", "end ..... a....b -->X", "1) Ceres, plain 𝒜 _TMP_ x_tmp_", None, "....", 'g. d\'annunzio" university']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    border = lambda t, a, b: not (a > 0 and t[a - 1].isalnum()) and not t[b : b + 1].isalnum()
+    want = sorted((i, x.lower(), a) for i, t in enumerate(texts) if t for x in labels for a in range(len(t)) if t.lower().startswith(x.lower(), a) and border(t, a, a + len(x)))
+    got = sorted((r.doc_id, r.surface_lc, r.start) for r in annotate.candidates(docs, index).collect())
+    assert got == want and {x for _, x, _ in want} == {x.lower() for x in labels}
