@@ -1,14 +1,18 @@
 """Benchmark passages in documents, found by one Aho-Corasick automaton.
 
 Text and benchmark are normalised to ASCII-lower-case words of letters, digits and
-non-ASCII characters, joined by single spaces. Each window of ten consecutive
-words of a benchmark item (question and answer alike) is a pattern, with a space
-at either end so that it matches whole words only; the automaton reads every
-text once, and hits are mapped back to places in the original bytes.
+non-ASCII characters, joined by single spaces. A window is ten consecutive words of a
+benchmark item (question and answer alike). Each window holds one of the item's pieces
+of five words that begin at every fifth word, so these pieces are the patterns, with a
+space at either end so that they match whole words only, and the automaton has about one
+node for each byte of the benchmark and not for each byte of all its windows. The automaton reads every text
+once; where a piece occurs, the words around it are compared with those around it in the
+item, and the windows found are mapped back to places in the original bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,41 +25,103 @@ from . import _words as w
 from ._common import arrow_map, pick, pieces, table, text_buffers
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton; a larger benchmark is read in blocks.
-BLOCK_BYTES = 300_000
+#: Bytes of benchmark text in one automaton (about 45 bytes of memory for each); only a
+#: larger benchmark is read in blocks.
+BLOCK_BYTES = 4_000_000
+#: Places of one piece that are compared at once.
+_AT_ONCE = 100_000
 
 _NORMAL = bytes(32 if w.NOT_ALNUM[i] else int(w.LOWER[i]) for i in range(256))
 _SPAN = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("first_byte", pa.int64()), ("end_byte", pa.int64())])
 _OUT = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<first_word:int,end_word:int,first_byte:bigint,end_byte:bigint>>"
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
 
-
-def patterns(items: list[tuple[str, str]], window: int = WINDOW) -> dict[bytes, tuple[int, set[str]]]:
-    """Pattern → (its number of words, the items that have it)."""
-    out: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = text.encode().translate(_NORMAL).split()
-        k = min(window, len(words))
-        for i in range(len(words) - k + 1 if k else 0):
-            out.setdefault(b" " + b" ".join(words[i : i + k]) + b" ", (k, set()))[1].add(item)
-    return out
-
-
-def _automaton(found: dict[bytes, tuple[int, set[str]]], name: str) -> ahocorasick.Automaton:
+class Benchmark:
+    """The automaton over the pieces of some items, and the words around each piece.
+
+    ``items`` are (id, text); an item of fewer words than ``window`` is one piece, all of it."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        self.window, self.step = window, (window + 1) // 2
+        self.reach = window - self.step
+        self.number: dict[bytes, int] = {}
+        self.items: list[str] = []
+        of: list[int] = []
+        around: list[list[int]] = []
+        places: dict[bytes, list[int]] = {}
+        whole: dict[bytes, set[str]] = {}
+        for item, text in items:
+            words = text.encode().translate(_NORMAL).split()
+            if 0 < len(words) < window:
+                whole.setdefault(b" ".join(words), set()).add(item)
+                continue
+            ids = [-1] * self.reach + [self.number.setdefault(x, len(self.number)) for x in words] + [-1] * self.reach
+            for i in range(0, len(words) - self.step + 1, self.step):
+                places.setdefault(b" ".join(words[i : i + self.step]), []).append(len(of))
+                of.append(len(self.items))
+                around.append(ids[i : i + self.reach][::-1] + ids[i + self.reach + self.step : i + 2 * self.reach + self.step])
+            self.items.append(item)
+        order = [k for rows in places.values() for k in rows]
+        self.of = np.array(of, np.int64)[order]
+        self.around = np.array(around, np.int64).reshape(len(of), 2 * self.reach)[order]
+        self.auto = ahocorasick.Automaton()
+        at = 0
+        for piece in places.keys() | whole.keys():
+            self.auto.add_word(f" {piece.decode('latin-1')} ", piece)
+        self.where: dict[bytes, tuple[int, int]] = {}
+        for piece, rows in places.items():
+            self.where[piece] = (at, at + len(rows))
+            at += len(rows)
+        self.whole = whole
+        self.some = bool(len(self.auto))
+        if self.some:
+            self.auto.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(stretches of words that windows of items cover, those items)."""
+        spans: list[tuple[int, int]] = []
+        items: set[str] = set()
+        if not words or not self.some:
+            return spans, items
+        joined = b" " + b" ".join(words) + b" "
+        found = list(self.auto.iter(joined.decode("latin-1")))
+        if not found:
+            return spans, items
+        ends = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), [e for e, _ in found])
+        for end, (_, piece) in zip(ends.tolist(), found, strict=True):
+            if piece in self.whole:
+                items |= self.whole[piece]
+                spans.append((end - piece.count(b" ") - 1, end))
+            if piece in self.where:
+                first = end - self.step
+                left = [self.number.get(x, -2) for x in words[max(0, first - self.reach) : first][::-1]]
+                right = [self.number.get(x, -2) for x in words[end : end + self.reach]]
+                here = np.array(left + [-2] * (self.reach - len(left)) + right + [-2] * (self.reach - len(right)), np.int64)
+                lo, hi = self.where[piece]
+                for k in range(lo, hi, _AT_ONCE):
+                    same = self.around[k : min(k + _AT_ONCE, hi)] == here
+                    before = np.cumprod(same[:, : self.reach], 1).sum(1)
+                    after = np.cumprod(same[:, self.reach :], 1).sum(1)
+                    ok = np.flatnonzero(before + after >= self.reach)
+                    items.update(self.items[self.of[k + j]] for j in ok)
+                    spans += {(first - int(before[j]), end + int(after[j])) for j in ok}
+        return spans, items
+
+
+_BUILT: dict[str, Benchmark] = {}
+
+
+def _built(items: list[tuple[str, str]], window: int, name: str) -> Benchmark:
+    """The automaton of a worker; it keeps one, by a digest of all ids and texts."""
     if name not in _BUILT:
-        _BUILT.clear()  # a worker keeps one
-        a = ahocorasick.Automaton()
-        for p, (k, items) in found.items():
-            a.add_word(p.decode("latin-1"), (k, tuple(items)))
-        a.make_automaton()
-        _BUILT[name] = a
+        _BUILT.clear()
+        _BUILT[name] = Benchmark(items, window)
     return _BUILT[name]
 
 
-def _scan(found: dict, name: str):
+def _scan(items: list[tuple[str, str]], window: int, name: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(found, name) if found else None
+        bench = _built(items, window, name)
         for batch in pieces(batches):
             raw, at, _ = text_buffers(batch.column(1))
             low = raw.tobytes().translate(_NORMAL)
@@ -63,29 +129,20 @@ def _scan(found: dict, name: str):
             had_ids, had_spans = (batch.column(k).to_pylist() for k in (4, 5))
             for i in range(batch.num_rows):
                 words = low[at[i] : at[i + 1]].split()
-                ends, items = [], set(had_ids[i])
-                if auto is not None and words:
-                    for end, (k, whose) in auto.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
-                        ends.append((end, k))
-                        items.update(whose)
+                runs, found = bench.find(words)
                 out = had_spans[i]
-                if ends:
+                if runs:
                     cover = np.zeros(len(words) + 1, np.int64)
-                    joined = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-                    e, k = np.array(ends).T
-                    e = np.searchsorted(np.flatnonzero(joined == 32), e)
-                    np.add.at(cover, e - k, 1)
-                    np.add.at(cover, e, -1)
-                    for s in out:
-                        cover[s["first_word"]] += 1
-                        cover[s["end_word"]] -= 1
+                    for a, b in [*runs, *((s["first_word"], s["end_word"]) for s in out)]:
+                        cover[a] += 1
+                        cover[b] -= 1
                     flip = np.flatnonzero(np.diff(np.r_[False, np.cumsum(cover[:-1]) > 0, False])).reshape(-1, 2)
                     here = np.frombuffer(low, np.uint8)[at[i] : at[i + 1]]
                     first, last, _ = w.spans(here, np.array([0, len(here)]), w.NOT_ALNUM)
                     out = [{"first_word": int(a), "end_word": int(b), "first_byte": int(first[a]), "end_byte": int(last[b - 1])} for a, b in flip]
                 n.append(len(words))
                 hit.append(sum(s["end_word"] - s["first_word"] for s in out))
-                ids.append(sorted(items))
+                ids.append(sorted(found.union(had_ids[i])))
                 spans.append(out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))],
@@ -106,38 +163,38 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     benchmark is taken to the driver in blocks of ``block_bytes`` and each block is one
     automaton and one pass, whose hits join those before."""
     out = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first_word:int,end_word:int,first_byte:bigint,end_byte:bigint>>)").alias("spans"))
-    for found, name in _blocks(benchmark, window, block_bytes):
-        out = arrow_map(out, _scan(found, name), _OUT)
+    for items, name in _blocks(benchmark, window, block_bytes):
+        out = arrow_map(out, _scan(items, window, name), _OUT)
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[dict, str]]:
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], str]]:
     bench = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(F.col("item_id").cast("string"), "text").collect()
-        found = patterns([tuple(r) for r in part], window)
-        yield found, f"{hash(tuple(sorted(found)))}"
+        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(F.col("item_id").cast("string"), "text").distinct().collect()
+        items = sorted(tuple(r) for r in part)
+        yield items, hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with their columns, in which no window of the benchmark occurs."""
     at = docs.columns.index("text")
 
-    def dropper(found: dict, name: str):
+    def dropper(items: list[tuple[str, str]], name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(found, name) if found else None
+            bench = _built(items, window, name)
             for batch in pieces(batches):
                 raw, offsets, _ = text_buffers(batch.column(at))
                 low = raw.tobytes().translate(_NORMAL)
-                clean = [auto is None or next(auto.iter((b" " + b" ".join(low[lo:hi].split()) + b" ").decode("latin-1")), None) is None for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+                clean = [not bench.find(low[lo:hi].split())[0] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for found, name in _blocks(benchmark, window, block_bytes):
-        docs = arrow_map(docs, dropper(found, name), docs.schema)
+    for items, name in _blocks(benchmark, window, block_bytes):
+        docs = arrow_map(docs, dropper(items, name), docs.schema)
     return docs
 
 

@@ -287,3 +287,19 @@ def test_pipeline_stages(spark, sf):
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted(map(str, last)) == sorted(map(str, whole)) and len(last) == n
     check_shards([(x.doc_id, x.text) for x in docs.collect()], last, 8)
+
+
+def test_two_benchmarks_of_equal_texts_keep_their_own_items(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    for item in ("A", "B", "A"):
+        bench = spark.createDataFrame([(item, "one two three")], "item_id string, text string")
+        assert [list(x["items"]) for x in decontaminate.find_benchmark(docs, bench).collect()] == [[item]]
+
+
+def test_decontamination_with_a_piece_that_all_items_share(spark):
+    r = random.Random(8)
+    stem = "what is the right answer".split()
+    bench = [(i, " ".join([*stem, *r.choices("abcdefgh", k=r.randrange(0, 14))])) for i in range(300)]
+    docs = [(i, " ".join([*r.choices("abcdefgh", k=3), *(stem + (bench[i * 3][1].split()[5:] if i % 2 else r.choices("abcdefgh", k=9))), *r.choices("abcdefgh", k=3)])) for i in range(60)]
+    got = decontaminate.find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {x.doc_id: (x.n_words, x.n_hit, list(x["items"])) for x in got} == brute_hits(docs, bench)
