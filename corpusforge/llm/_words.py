@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: The words of the copy operators end at space and the ASCII controls 9 to 13.
@@ -14,36 +16,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SAME = np.arange(256, dtype=np.uint8)
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 20
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64, by doubling."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(n, np.uint64)
-        done, step = 1, b & _MASK
-        while done < n:
-            take = min(done, n - done)
-            p[done : done + take] = p[:take] * np.uint64(step)
-            done += take
-            step = step * step & _MASK
-        out.append(p)
-    return out[0], out[1]
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        have = _POWERS[base] = powers(base, max(n, 1 << 16))
-        if n > 4 * _SEGMENT:  # one enormous text must not stay in memory as tables
-            _POWERS.pop(base)
-    return have
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+#: For each of the independent hashes a start and an odd factor.
+_SEEDS = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,44 +48,56 @@ def spans(data: np.ndarray, at: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME, most: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word (of its first ``most`` bytes if that is set)."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        p, inv = _powers(_BASE, hi - lo + 1)
-        total = np.empty(hi - lo + 1, np.uint64)
-        total[0] = 0
-        seg = fold[data[lo:hi]].astype(np.uint64)
-        seg += np.uint64(1)
-        seg *= p[: hi - lo]
-        np.cumsum(seg, out=total[1:])
-        s = starts[i:j] - lo
-        e = ends[i:j] - lo
-        if most:
-            e = np.minimum(e, s + most)
-        out[i:j] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
-        i = j
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME, most: int = 0, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word (of its first ``most`` bytes if that is set).
+
+    The bytes go in by eights, with a non-linear mix after each, so words of at most eight bytes and
+    one length never collide and no words are known to. ``which`` chooses one of two hashes that
+    share no constants; words of more than 256 bytes are hashed by BLAKE2."""
+    seed, factor = _SEEDS[which]
+    size = np.minimum(ends - starts, most) if most else ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(seed))
+    if not len(starts):
+        return out
+    folded = np.zeros(len(data) + 8, np.uint8)
+    np.take(fold, data, out=folded[: len(data)])
+    eights = np.ndarray((len(data) + 1,), "<u8", folded, strides=(1,))
+    live, done = np.flatnonzero(size <= _LONG), 0
+    while len(live):
+        block = eights[starts[live] + done] & _BYTES[np.minimum(size[live] - done, 8)]
+        out[live] = mix((out[live] ^ block) * np.uint64(factor))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        word = folded[starts[i] : starts[i] + size[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
-def grams(h: np.ndarray, k: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
-    """Hashes of all ``k`` consecutive items of ``h`` (over text borders too)."""
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in order; not linear in either, so sequences have no algebra to collide by."""
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all ``k`` consecutive items of ``h`` (over text borders too), joined by doubling."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if k <= 8:
-        g = h[:n].copy()
-        for i in range(1, k):
-            g *= np.uint64(base)
-            g += h[i : i + n]
-        return mix(g)
-    p, inv = _powers(base, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * p[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:n]) * inv[:n])
+    out, at, level, size = None, 0, h, 1
+    while True:
+        if k & size:
+            part = level[at : at + n]
+            out = part if out is None else _join(out, part)
+            at += size
+        if 2 * size > k:
+            return mix(out + np.uint64(k))
+        level = _join(level[:-size], level[size:])
+        size *= 2
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -1,17 +1,20 @@
 """Removal of repeated passages through a log-structured fingerprint index.
 
-A window is 50 consecutive words of a text. Of the 26 hashes of 25 consecutive
-words in a window the least is its anchor, so equal windows have equal anchors and
-a text has about one anchor for every 13 words. The index holds ``(anchor, doc)``
-rows in immutable runs, each sorted by anchor. A new batch of texts becomes a run,
-is merge-joined on the anchor with the runs before it, and only texts that share
-an anchor are looked at again: the windows of that anchor, from both sides, are
-compared by two independent 64-bit hashes of all 50 words. Runs are merged
-into larger ones as they gather, so a batch meets few of them.
+A window is 50 consecutive words of a text. Its fingerprint is the least of the 26
+hashes of 25 consecutive words in it, so equal windows have equal fingerprints, and
+neighbouring windows share theirs: a text has about one for every 13 words. A run of the
+index is the distinct fingerprints of a batch with the smallest and largest doc_id that
+has each, immutable, in buckets of the fingerprint and sorted in them. A new batch becomes a
+run and is merge-joined with the runs before it, bucket by bucket, without a shuffle of
+either. Only texts that share a fingerprint are looked at again: the windows that have
+it, from both sides, are compared by two 64-bit hashes of all 50 words that are independent
+from the bytes up. Runs are compacted into larger ones as they gather, so a batch meets
+few of them. Beside the runs the index keeps, as they come, the fingerprints of each document.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ from . import _words as w
 from ._common import arrow_map, drop_stored, pick, pieces, shared_dir, store, table, text_buffers
 
 WINDOW = 50
+#: Words of the sequences of which a window's least hash is its fingerprint.
 ANCHOR = 25
 #: Runs of like size that are merged into one.
 FAN_IN = 2
@@ -30,41 +34,46 @@ FAN_IN = 2
 BATCHES = 3
 #: So many keys (24 bytes each) are broadcast at most; beyond, the join shuffles.
 BROADCAST_KEYS = 300_000
-_LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
-_OTHER_BASE = 0xA0761D6478BD642F
+_LAST = (1 << 63) - 1  # stands for a null doc_id in comparisons: after all others
 
 
-def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _hashed(batch: pa.RecordBatch, hashes: int) -> Iterator[tuple]:
+    """(row, its word hashes, ``hashes`` arrays) of each text that has a window."""
     data, at, _ = text_buffers(batch.column(batch.schema.get_field_index("text")))
     starts, ends, of = w.spans(data, at, w.SPACES)
-    h = w.word_hashes(data, starts, ends)
+    h = [w.word_hashes(data, starts, ends, which=k) for k in range(hashes)]
     for i, (lo, hi) in enumerate(zip(of[:-1], of[1:], strict=True)):
         if hi - lo >= WINDOW:
-            yield i, h[lo:hi]
+            yield i, *[x[lo:hi] for x in h]
+
+
+def _fingerprints(h: np.ndarray) -> np.ndarray:
+    """The fingerprint of each window."""
+    return w.sliding_min(w.grams(h, ANCHOR), WINDOW - ANCHOR + 1)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, h in _hashed(batch):
-            a = np.unique(w.sliding_min(w.grams(h, ANCHOR), WINDOW - ANCHOR + 1))
-            rows.append(np.full(len(a), i))
-            found.append(a)
-        at = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["anchor", "doc", "version"])
+        rows, found = [], []
+        for i, h in _hashed(batch, 1):
+            rows.append(i)
+            found.append(np.unique(_fingerprints(h)))
+        if rows:
+            at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = pa.array(np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc", "version", "anchors"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, limit=500_000):
         wanted = batch.column(batch.schema.get_field_index("anchors"))
         rows, pos, h1, h2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for i, h in _hashed(batch):
-            a = w.sliding_min(w.grams(h, ANCHOR), WINDOW - ANCHOR + 1)
-            p = np.flatnonzero(np.isin(a, np.asarray(wanted[i].values).view(np.uint64)))
+        for i, h, g in _hashed(batch, 2):
+            p = np.flatnonzero(np.isin(_fingerprints(h), np.asarray(wanted[i].values).view(np.uint64)))
             rows.append(np.full(len(p), i))
             pos.append(p.astype(np.int32))
             h1.append(w.grams(h, WINDOW)[p])
-            h2.append(w.grams(w.mix(h + np.uint64(_OTHER_BASE)), WINDOW, _OTHER_BASE)[p])
+            h2.append(w.grams(g, WINDOW)[p])
         at = pa.array(np.concatenate(rows))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(pos))],
@@ -113,28 +122,34 @@ def _limited(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted runs of anchors in the shared folder, and the batches met so far."""
+    """Bucketed and sorted runs in the shared folder, and the batches met so far."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = shared_dir(spark, "fingerprints")
-        self.levels: list[list[DataFrame]] = []
-        self.texts: list[DataFrame] = []
+        self.name = f"fingerprints_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.batches: list[tuple[DataFrame, DataFrame]] = []
         self.made = 0
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        out = f"{self.path}/run-{self.made:06d}"
+    def _write(self, rows: DataFrame) -> str:
+        """A run (a table's name) of ``rows (anchor, lo, hi)``, whose anchors differ."""
+        run = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartitionByRange(parts, "anchor", "doc").sortWithinPartitions("anchor", "doc").write.parquet(out)
-        run = self.spark.read.schema(rows.schema).parquet(out)
-        run._stored_at = out
+        rows.repartition(self.buckets, "anchor").write.format("parquet").option("path", f"{self.path}/{run}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(run)
         return run
 
-    def _settle(self, run: DataFrame) -> None:
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        gone = self.spark.range(0)
+        gone._stored_at = f"{self.path}/{run}"
+        drop_stored(gone)
+
+    def _settle(self, run: str) -> None:
         level = 0
         while True:
             if level == len(self.levels):
@@ -143,45 +158,57 @@ class FingerprintIndex:
             if len(self.levels[level]) < FAN_IN:
                 return
             old, self.levels[level] = self.levels[level], []
-            run = old[0]
+            rows = self.spark.table(old[0])
             for r in old[1:]:
-                run = run.unionByName(r)
-            run = self._write(run)
+                rows = rows.unionByName(self.spark.table(r))
+            run = self._write(rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
             for r in old:
-                drop_stored(r)
+                self._drop(r)
             level += 1
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """``doc, version, places``: where windows of the batch start that begin in an
         earlier batch too, or in a document of this batch with a smaller id."""
-        new = self._write(arrow_map(batch, _anchors, "anchor long, doc long, version long"))
-        before = self.runs()
-        alike = new.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
-        for run in before:
-            alike = alike.unionByName(run.join(new.hint("merge"), "anchor", "left_semi").select("anchor"))
+        found = store(arrow_map(batch, _anchors, "doc long, version long, anchors array<long>"), "postings")
+        self.batches.append((batch, found))
+        rows = found.select("doc", F.explode("anchors").alias("anchor"))
+        run = self._write(rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+        new = self.spark.table(run)
+        alike = new.where("lo < hi").select("anchor")
+        for r in self.runs():
+            alike = alike.unionByName(self.spark.table(r).join(new.hint("merge"), "anchor").select("anchor"))
         alike = store(alike.distinct(), "alike")
+        few = alike.count() <= BROADCAST_KEYS
         touched = None
-        for run in (*before, new):
-            part = run.join(alike, "anchor")
+        for _, postings in self.batches:
+            part = postings.select("doc", "version", F.explode("anchors").alias("anchor"))
             touched = part if touched is None else touched.unionByName(part)
+        touched = touched.join(F.broadcast(alike) if few else alike, "anchor")
         touched = store(touched.groupBy("doc", "version").agg(F.collect_set("anchor").alias("anchors")), "touched")
-        self.texts.append(batch)
         seen = None
-        for no, texts in enumerate(self.texts):
+        for no, (texts, _) in enumerate(self.batches):
             part = _limited(texts, touched.select("doc", "version"), "left_semi").join(touched, ["doc", "version"])
             part = arrow_map(part.select("doc", "version", "text", "anchors"), _windows, "w1 long, w2 long, doc long, version long, pos int").withColumn("batch", F.lit(no))
             seen = part if seen is None else seen.unionByName(part)
         seen = store(seen, "windows")
         when = F.struct("batch", "doc")
         first = store(seen.groupBy("w1", "w2").agg(F.min(when).alias("first"), F.max(when).alias("last")).where("first < last").select("w1", "w2", "first"), "repeated")
-        now = len(self.texts) - 1
+        now = len(self.batches) - 1
         again = seen.where(F.col("batch") == now).join(first, ["w1", "w2"]).where(F.struct("batch", "doc") > F.col("first"))
         places = store(again.groupBy("doc", "version").agg(F.collect_set("pos").alias("places")), "places")
         for x in (alike, touched, seen, first):
             drop_stored(x)
-        self._settle(new)
+        self._settle(run)
         return places
 
+    def close(self) -> None:
+        """Delete the index; the places that were found stay."""
+        for run in self.runs():
+            self._drop(run)
+        for _, postings in self.batches:
+            drop_stored(postings)
+        self.levels, self.batches = [], []
+
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, removed`` for every row of ``docs``.
@@ -190,17 +217,20 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     same order, in a document with a smaller doc_id. ``docs`` reach the index in
     ``batches`` ranges of doc_id. Exact copies of a text are told by their digest and don't
     enter the index. A null text has no words; a null doc_id counts as larger than
-    all ids; rows with one and the same doc_id don't remove one another. Texts of
+    all ids (as large as the largest long); rows with one and the same doc_id don't remove one another. Texts of
     fewer than 50 words, and an empty table, come back whole. Other columns are
     not read."""
     spark = docs.sparkSession
-    docs = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text", "doc_id")
     digest = store(docs.where(F.length("text") >= 2 * WINDOW - 1).select("doc", "version", F.sha2(F.col("text"), 256).alias("digest")), "digests")
     firsts = store(digest.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first"), "copied")
     later = store(digest.join(firsts, "digest").where("doc > first").select("doc", "version").distinct(), "later")
-    fresh = _limited(docs, later, "left_anti")
+    drop_stored(digest)
+    drop_stored(firsts)
+    fresh = _limited(docs, later, "left_anti").select("doc", "version", "text")
     cuts = docs.select(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
-    index, places = FingerprintIndex(spark), None
+    index, found = FingerprintIndex(spark), []
     edges = [None, *sorted(set(cuts or [])), None]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = fresh
@@ -208,14 +238,18 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = part.where(F.col("doc") > lo)
         if hi is not None:
             part = part.where(F.col("doc") <= hi)
-        found = index.ingest(part)
-        places = found if places is None else places.unionByName(found)
-    marks = store(places.withColumn("whole", F.lit(False)).unionByName(later.select("doc", "version", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))), "marks")
+        found.append(index.ingest(part))
+    index.close()
+    marks = later.select("doc", "version", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
+    for places in found:
+        marks = marks.unionByName(places.withColumn("whole", F.lit(False)))
+    marks = store(marks, "marks")
+    for x in (later, *found):
+        drop_stored(x)
     keys = marks.select("doc", "version")
-    cut = _limited(docs, keys, "left_semi").join(marks, ["doc", "version"])
-    same = _limited(docs, keys, "left_anti").select("doc", "version", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("whole"))
-    both = arrow_map(cut.select(same.columns).unionByName(same), _strip, _STRIPPED)
-    return both.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    cut = _limited(docs, keys, "left_semi").join(marks, ["doc", "version"]).select("doc_id", "text", "places", "whole")
+    same = _limited(docs, keys, "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("whole"))
+    return arrow_map(cut.unionByName(same), _strip, _STRIPPED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
