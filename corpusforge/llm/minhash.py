@@ -8,9 +8,10 @@
    member (a star, not all pairs); candidates whose signatures agree too little
    go, the others are confirmed on the full sets.
 4. Components by large-star and small-star. In buckets that still hold several
-   components, all pairs across components are tried on signatures and then on
-   the full sets within blocks of bounded size, so no link is lost to the star and
-   no pair that is not linked ever becomes a row; the components are then joined.
+   components, the members outside the pivot's component (the strays) are tried against
+   all members of other components, on signatures and then on the full sets, within blocks
+   of bounded size, so no link is lost to the star and no pair that is not linked ever becomes
+   a row; members that are no strays only meet blocks of strays. The components are then joined.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import arrow_map, grouped, pick, pieces, store, table, text_buffers
+from ._common import arrow_map, drop_stored, grouped, pick, pieces, store, table, text_buffers
 from .components import connected_components
 
 SHINGLE = 5
@@ -35,8 +36,10 @@ BANDS = 32
 #: A signature agreeing in fewer than this many of 128 places stems from a pair of
 #: similarity 0.75 with probability under 1e-4 (4 deviations); such pairs go.
 LEAST_AGREEING = 76
-#: Members of one bucket that are compared with one another in one task.
+#: Members of one bucket that are compared with one another in one task, and the shingles
+#: that they may have together (8 bytes each).
 BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
 #: So many ids (8 bytes each) are broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 400_000
 
@@ -72,11 +75,18 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit digests of each set, whatever the order in it."""
+    both = [[w.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(w.mix(s + np.uint64(0x1234567)), initial=np.uint64(0))] for s in sets]
+    return np.array(both, np.uint64).reshape(len(sets), 2).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         sets = shingle_sets(batch)
+        own = [i for i, c in enumerate(batch.schema.names) if c != "text"]
         n = np.array([len(s) for s in sets], np.int64)
-        h = np.array([[w.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(w.mix(s + np.uint64(0x1234567)), initial=np.uint64(0))] for s in sets], np.uint64).view(np.int64)
+        h = digests(sets)
         some = np.flatnonzero(n)
         sig = np.zeros((len(sets), MINIMA), np.uint32)
         if len(some):
@@ -89,18 +99,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = (sig >> 16).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *[batch.column(i) for i in own],
                 pa.array(n),
                 pa.array(h[:, 0]),
                 pa.array(h[:, 1]),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
                 pa.array([r.tobytes() for r in short], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
+            names=[*[batch.schema.names[i] for i in own], "n_shingles", "h1", "h2", "bands", "sig"],
         )
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
+_SIGNED = "doc_id long, version long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
 
 
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,70 +181,128 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(batch)
         at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["node", "shingles"])
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, shingles`` of the documents in ``ids (doc_id)``, stored."""
-    ids = store(ids.select("doc_id").distinct(), "candidates", slim=True)
-    found = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    return store(arrow_map(found, _sets, "doc_id long, shingles array<long>"), "sets")
+def sets_of(texts: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """``node, shingles`` of ``nodes (node, doc_id, version)``, stored; ``texts (doc_id, version, text)``
+    has the text of each, several times if ``repeated``."""
+    nodes = store(nodes.select("node", "doc_id", "version").distinct(), "candidates", slim=True)
+    found = texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, ["doc_id", "version"])
+    found = found.select("node", "text")
+    sets = arrow_map(found.groupBy("node").agg(F.first("text").alias("text")) if repeated else found, _sets, "node long, shingles array<long>")
+    return store(sets, "sets")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose full shingle sets are similar enough."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+def confirm(texts: DataFrame, reps: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """Those of ``pairs (a, b)`` of nodes whose full shingle sets are similar enough."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets_of(texts, reps.join(some, "node"), repeated)
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     x = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return x.where(100 * F.col("both") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
+def _texts(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
 
-    Texts that are null, empty or without words have no shingles and no link and
-    are kept. A null doc_id is linked with nothing and kept, its component_id is
-    null. Rows that share a doc_id are one document in the graph. Equal texts are
-    always linked; ties fall to the smallest doc_id. Other columns are not read."""
-    docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = store(arrow_map(docs, _sign, _SIGNED), "signed")
+
+def _limited(x: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    return x.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, how)
+
+
+def _graph(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their class ``node``, links between nodes, links between the nodes of one doc_id).
+
+    A node is a set of shingles. Its number is the smallest doc_id that has it, so nodes with
+    smaller numbers have smaller ids; only where ids come back with other texts, the further
+    nodes of an id have negative numbers of their own, so that texts are never mistaken."""
+    texts = _texts(docs)
+    signed = store(arrow_map(texts, _sign, _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    rest = F.struct("doc_id", "n_shingles", "bands", "sig")
-    classes = store(some.groupBy("h1", "h2").agg(F.min_by(rest, "doc_id").alias("r")).select("h1", "h2", "r.*"), "classes")
-    reps = classes.select("doc_id", "n_shingles", "bands", "sig")
-    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = store(banded.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    member = store(banded.join(shared, ["band", "key"]), "members")
-    star = member.where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    rest = F.struct("doc_id", "version", "n_shingles", "bands", "sig")
+    classes = some.groupBy("h1", "h2").agg(F.min_by(rest, F.struct("doc_id", "version")).alias("r")).select("h1", "h2", "r.*")
+    by_id = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[f(F.struct("h1", "h2")).alias(c) for f, c in ((F.min, "x"), (F.max, "y"))]).where("n > 1")
+    by_id = store(by_id.select("doc_id", F.col("x.h1").alias("x1"), F.col("x.h2").alias("x2"), (F.col("x") != F.col("y")).alias("apart")), "repeated-ids", slim=True)
+    several = by_id.where("apart").drop("apart")
+    repeated, again = not by_id.isEmpty(), not several.isEmpty()
+    if again:
+        own = F.col("x1").isNull() | ((F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")))
+        number = F.xxhash64("h1", "h2").bitwiseOR(F.lit(-(1 << 63)))
+        classes = _limited(classes, several, ["doc_id"], "left").withColumn("node", F.when(own, F.col("doc_id")).otherwise(number)).drop("x1", "x2")
+    else:
+        classes = classes.withColumn("node", F.col("doc_id"))
+    classes = store(classes, "classes")
+    reps = classes.select("node", "doc_id", "version", "n_shingles", "bands", "sig")
+    banded = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    shared = store(shared.where("members > 1"), "buckets")
+    member = store(banded.drop("n_shingles").join(shared, ["band", "key"]), "members")
+    star = member.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = store(_similar(star, reps), "stars-tried")
-    links = store(confirm(docs, tried), "links", slim=True)
+    links = store(confirm(texts, reps, tried, repeated), "links", slim=True)
     comp = store(connected_components(links), "components", slim=True)
+    drop_stored(tried)
 
     # What the stars can't have seen: pairs across components within a bucket.
-    named = member.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    top = named.where("doc_id = pivot").select("band", "key", F.col("component").alias("main"))
+    named = member.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    top = named.where("node = pivot").select("band", "key", F.col("component").alias("main"))
     mixed = named.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "key")
     top = store(top.join(mixed, ["band", "key"]).distinct(), "mixed", slim=True)
     named = named.join(top, ["band", "key"]).withColumn("stray", F.col("component") != F.col("main"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    named = named.withColumn("blk", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    named = named.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "doc_id", "component", "stray")
-    named = named.join(reps, "doc_id").select("band", "key", "lo", "hi", "blk", "doc_id", "component", "stray", "n_shingles", "bands", "sig")
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    named = named.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    named = store(named.select("band", "key", "node", "component", "stray", "parts", "blk"), "named")
+    strays = named.where("stray").groupBy("band", "key").agg(F.collect_set("blk").alias("astray"))  # a number for each block with one
+    named = named.join(strays, ["band", "key"])
+    meets = F.when(F.array_contains("astray", F.col("blk")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.col("astray"))
+    named = named.withColumn("other", F.explode(meets))
+    named = named.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "node", "component", "stray")
+    named = named.join(reps.select("node", "n_shingles", "bands", "sig"), "node")
+    named = named.select("band", "key", "lo", "hi", "blk", F.col("node").alias("doc_id"), "component", "stray", "n_shingles", "bands", "sig")
     block = ["key", "band", "lo", "hi"]
     hopeful = store(grouped(named, block, _hopeful, named.schema), "hopeful")
-    sets = sets_of(docs, hopeful)
-    more = store(grouped(hopeful.join(sets, "doc_id"), block, _linked, "a long, b long").distinct(), "links-across", slim=True)
-    comp = store(connected_components(links.unionByName(more)), "components", slim=True)
+    sets = sets_of(texts, reps.join(hopeful.select(F.col("doc_id").alias("node")).distinct(), "node"), repeated)
+    more = store(grouped(hopeful.join(sets.withColumnRenamed("node", "doc_id"), "doc_id"), block, _linked, "a long, b long").distinct(), "links-across", slim=True)
 
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"], "left")
-    out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = signed.select("doc_id", "version", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", "node", F.col("doc_id").alias("node_doc")), ["h1", "h2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = out.select("doc_id", "n_shingles", F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rows = rows.select("doc_id", "version", "n_shingles", *[F.when(linked, F.col(c)).alias(c) for c in ("node", "node_doc")])
+    if again:
+        rows = store(rows, "rows")
+        one = rows.join(several.select("doc_id"), "doc_id", "left_semi")
+        one = one.join(one.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+    else:
+        one = links.limit(0)
+    return rows, links.unionByName(more), one
+
+
+def _components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with ``component_id``: the smallest doc_id of their component, or their own."""
+    comp = store(connected_components(links), "components", slim=True)
+    out = rows.join(comp, "node", "left")
+    if comp.where("node < 0").isEmpty():  # numbers are ids, in their order
+        return out.withColumn("component_id", F.coalesce("component", "node_doc", "doc_id"))
+    named = rows.select("node", "node_doc").distinct().join(comp, "node")
+    least = store(named.groupBy("component").agg(F.min("node_doc").alias("least")), "least", slim=True)
+    return out.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "node_doc", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
+
+    Texts that are null, empty or without words have no shingles and no link and
+    are kept. A null doc_id is linked with nothing and kept, its component_id is
+    null. Rows that share a doc_id are one document in the graph, so all their texts'
+    links meet in it (and each row has the size of its own set). Equal texts are
+    always linked; ties fall to the smallest doc_id. Other columns are not read."""
+    rows, links, one = _graph(docs)
+    out = _components(rows, links.unionByName(one))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    a, b = (reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    a, b = (reps.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     x = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     return x.select("a", "b", "sig_a", "sig_b").mapInPandas(_agree, "a long, b long")
 
@@ -244,11 +312,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, without those of documents that are not kept.
-
-    Rows that share a kept doc_id are one document and all stay; so do rows without an id."""
-    lost = store(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies", slim=True)
-    return docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs``, with their columns, without those whose text has a near copy that stays.
+
+    Of each group of linked texts the rows of the smallest doc_id stay. Rows go one by
+    one: if an id comes back with another text, that row stays unless its own text has a copy
+    elsewhere, so no text is lost with another one's copy. Rows without an id stay."""
+    rows, links, _ = _graph(docs)
+    lost = _components(rows, links).where("doc_id != component_id").select("doc_id", F.col("version").alias("_version")).distinct()
+    lost = store(lost, "near-copies", slim=True)
+    x = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_version"))
+    return _limited(x, lost, ["doc_id", "_version"], "left_anti").select("_row.*")
 
 
 ORACLE_SQL = """

@@ -190,3 +190,42 @@ def test_word_kernels():
         y = np.concatenate([x, x[:60], x])
         g = w.grams(y, k)
         assert (g[: 200 - k] == g[260 : 460 - k]).all() and len(set(g[: 200 - k].tolist())) == 200 - k
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    x, y, z = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda rows: sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df(rows)).collect())
+    stay = lambda rows: sorted(tuple(r) for r in minhash.keep_first(df(rows)).collect())
+    rows = [(3, x), (5, x), (5, y), (7, y)]
+    assert groups(rows) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False)]
+    assert stay(rows) == [(3, x), (5, y)]
+    rows = [(5, x), (5, y), (5, y), (6, y), (2, x), (9, z), (9, z)]
+    assert groups(rows) == [(2, 2, True), (5, 2, False), (5, 2, False), (5, 2, False), (6, 2, False), (9, 9, True), (9, 9, True)]
+    assert stay(rows) == [(2, x), (5, y), (5, y), (9, z), (9, z)]
+    odd = df(rows).withColumns({"_version": F.lit(1), "_row": F.lit("r"), "node": F.lit(2)})
+    assert minhash.keep_first(odd).columns == odd.columns and minhash.keep_first(odd).where("_version = 1").count() == 5
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Thue-Morse words of 2,048 letters have equal polynomial hashes modulo 2**64 for any base."""
+    p, q = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    got = minhash.near_duplicates(spark.createDataFrame([(1, p), (2, q), (3, p)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+    same = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*same, p])), (2, " ".join([*same, q])), (3, " ".join(["z", *same, p]))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 50}
+    a, b = (np.array(list(thue_morse(32, *t)), "S1").view(np.uint8) for t in ("ab", "ba"))
+    h = [w.grams(w.word_hashes(x, np.arange(32), np.arange(1, 33)), 32) for x in (a, b)]
+    assert (h[0] ^ h[1]) & np.uint64(0xFFFF)
+
+
+def test_the_largest_id_is_not_a_null(spark):
+    t = " ".join(f"q{i}" for i in range(55))
+    df = spark.createDataFrame([(None, t), (2**63 - 1, "a"), (3, t)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_removed) for r in substring.remove_repeats(df, 1).collect()), key=str) == sorted([(None, 55), (2**63 - 1, 0), (3, 0)], key=str)
