@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under ``spark.checkpoint.dir`` (every executor sees it).
 
-    Only where the session has no such setting (tests) is a local one chosen."""
+    Only where a local session has no such setting (tests) is one chosen; on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -108,10 +110,10 @@ def crc32_utf8(col):
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 
 
-def grouped(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], function, schema: str, dealt: bool = False) -> DataFrame:
     """``function`` (RecordBatch of one group → RecordBatch or None) for each group of equal
-    ``keys`` (longs and ints). Rows are dealt and sorted by key and read as a
-    stream, so that many small groups cost little more than their rows."""
+    ``keys`` (longs and ints). Rows are dealt (if they aren't ``dealt`` already) and sorted by key and
+    read as a stream, so that many small groups cost little more than their rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,4 +136,4 @@ def grouped(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from each(rest, True)[0]
 
-    return arrow_map(df.repartition(parts, *keys).sortWithinPartitions(*keys), run, schema)
+    return arrow_map((df if dealt else df.repartition(parts, *keys)).sortWithinPartitions(*keys), run, schema)
