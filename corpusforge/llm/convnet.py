@@ -46,6 +46,7 @@ class ConvNet:
             y = e[: n] @ kern[0]
             for j in range(1, k):
                 y[: n - j] += e[j:] @ kern[j]
+            y[live == 0] = 0  # a filter that begins after a text would reach into the next one
             at = np.stack([s + y[s:t].argmax(0) for s, t in zip(starts, [*starts[1:], n], strict=True)])
             where.append(at)
             pooled.append(np.take_along_axis(y, at, 0))
@@ -99,7 +100,7 @@ class ConvNet:
             gk = np.zeros_like(kern)
             for j in range(k):
                 at = where[i] + j
-                ok = (at < n) & (gi != 0)
+                ok = (at < n) & (gi != 0) & (live[where[i]] > 0)
                 at = np.where(ok, at, 0)
                 gj = np.where(ok, gi, 0)
                 x = e[at]  # texts, filters, embed
@@ -127,16 +128,21 @@ class ConvNet:
         """For each item the responses of all places of all filters, side by side."""
         return np.concatenate([self.embedding @ kern[j] for kern in self.kernels for j in range(kern.shape[0])], 1)
 
-    def pool(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Maxima over texts; rows: sums of ``tables`` rows (0 for padding), flat."""
+    def pool(self, rows: np.ndarray, starts: np.ndarray, quiet: np.ndarray) -> np.ndarray:
+        """Maxima over texts, before bias and rectifier; rows: sums of ``tables`` rows (0 for padding), flat.
+        Filters that begin in the ``quiet`` rows (padding at least) count as 0."""
         out, c, f, n = [], 0, self.filters, len(rows)
         for k in self.widths:
             y = rows[:, c : c + f].copy()
             for j in range(1, k):
                 y[: n - j] += rows[j:, c + j * f : c + (j + 1) * f]
             c += k * f
+            y[quiet] = 0
             out.append(np.maximum.reduceat(y, starts, 0))
-        return np.maximum(np.concatenate(out, 1) + self.bias, 0)
+        return np.concatenate(out, 1)
+
+    def activate(self, pooled: np.ndarray) -> np.ndarray:
+        return np.maximum(pooled + self.bias, 0)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.out + self.out_bias

@@ -26,6 +26,11 @@ PREFIX = 4
 HELD_OUT = 5
 #: Labelled texts of either class that are taken to the driver at most.
 SAMPLE = 2500
+#: Words of all training texts together at most (8 bytes each; rows are met in the order of a hash), and of
+#: one; a longer text is learned from in ``PIECES`` pieces spread over it.
+SAMPLE_WORDS, LONGEST, PIECES = 8_000_000, 50_000, 50
+#: Words of a text that are scored at once; maxima go on from stretch to stretch.
+STRETCH = 20_000
 EPOCHS = 10
 #: Steps of ``BATCH`` texts that training takes at least, so few texts are passed more often.
 LEAST_STEPS = 600
@@ -57,16 +62,39 @@ class ToxicityModel:
         return self.raw_of(*features(data, at))
 
     def raw_of(self, whole: np.ndarray, prefix: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, pad, langs = len(of) - 1, self.net.pad(), self.table.shape[1] - self.net.tables_width
+        size, short = np.diff(of), self.table.shape[1]
+        pooled = np.empty((len(size), len(self.net.bias)), np.float32)
+        lang = np.zeros((len(size), short - self.net.tables_width), np.float32)
+        long = size > STRETCH
+        if not long.any():
+            pooled, lang = self._pooled(whole, prefix, of, 0)
+        for i in range(len(size)) if long.any() else ():  # a long text is pooled stretch by stretch
+            best = None
+            for lo in range(int(of[i]), max(int(of[i + 1]), int(of[i]) + 1), STRETCH):
+                end = min(int(of[i + 1]), lo + STRETCH)
+                more = min(int(of[i + 1]), end + self.net.pad()) - end
+                p, e = self._pooled(whole[lo : end + more], prefix[lo : end + more], np.array([0, end + more - lo]), more)
+                best, lang[i] = p if best is None else np.maximum(best, p), lang[i] + e[0]
+            pooled[i] = best[0]
+        z = self.net.logits(self.net.activate(pooled))
+        return z[:, 1] - z[:, 0], lang.argmax(1) if lang.shape[1] else np.zeros(len(size), np.int64)
+
+    def _pooled(self, whole: np.ndarray, prefix: np.ndarray, of: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray]:
+        """(maxima, language evidence) of each text; its last ``over`` words only end filters."""
+        n, pad = len(of) - 1, self.net.pad()
         size = np.diff(of) + pad
         starts = np.cumsum(size) - size
         place = np.arange(len(whole)) + np.repeat(np.arange(n) * pad, np.diff(of))
         rows = np.zeros((int(size.sum()), self.table.shape[1]), np.float32)
         rows[place] = self.table[whole]
         rows[place] += self.table[prefix]
-        z = self.net.logits(self.net.pool(rows[:, : self.net.tables_width], starts))
-        lang = np.add.reduceat(rows[:, -langs:], starts, 0).argmax(1) if langs else np.zeros(n, np.int64)
-        return z[:, 1] - z[:, 0], lang
+        quiet = np.ones(len(rows), bool)
+        quiet[place] = False
+        if over:
+            quiet[place[-over:]] = True
+            rows[place[-over:], self.net.tables_width :] = 0
+        width = self.net.tables_width
+        return self.net.pool(rows[:, :width], starts, quiet), np.add.reduceat(rows[:, width:], starts, 0)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         z, lang = self.raw(data, at)
@@ -75,14 +103,15 @@ class ToxicityModel:
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """At most about ``sample`` labelled texts of each class, by a hash of the id, in a fixed order."""
-    marks = pick(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = pick(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1e6
     keep = F.lit(False)
     for k, n in counts.items():
         keep = keep | ((F.col("toxic") == k) & (u < min(1.0, sample / n)))
     few = marks.where(keep)
-    return docs.where("text is not null").join(F.broadcast(few), "doc_id").select("text", "lang", "toxic").orderBy("doc_id", "text")
+    # Two times ``sample`` rows at most, about.
+    return docs.where("text is not null").join(F.broadcast(few), "doc_id").select("text", "lang", "toxic").orderBy(u, "doc_id", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel | None:
@@ -92,10 +121,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     each language of the training rows: half way between the scores where precision and
     recall are best. None if either class has no rows. The language label only
     groups training texts; for a new text it is guessed from its words."""
-    texts, marks, spoken = [], [], []
+    texts, marks, spoken, room = [], [], [], SAMPLE_WORDS
     for r in _sample(pick(docs, "doc_id", "text", "lang"), labels, sample).toLocalIterator():  # one text in memory at a time
         b = r["text"].encode()
         whole, prefix, _ = features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        if len(whole) > LONGEST:
+            size = LONGEST // PIECES
+            at = np.concatenate([np.arange(i, i + size) for i in np.linspace(0, len(whole) - size, PIECES).astype(int)])
+            whole, prefix = whole[at], prefix[at]
+        room -= len(whole)
+        if room < 0:
+            break
         texts.append([whole.astype(np.int32), prefix.astype(np.int32)])
         marks.append(int(r["toxic"] > 0))
         spoken.append(r["lang"])

@@ -114,6 +114,21 @@ def test_toxicity_edges(spark, labelled):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_of_a_text_depends_on_it_alone(spark, labelled, monkeypatch):
+    docs = spark.createDataFrame([r[:3] for r in labelled[:300]], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[3]) for r in labelled[:300]], "doc_id long, toxic int"))
+    texts = [r[1] for r in labelled[300:340]] + ["", " ".join(r[1] for r in labelled[:120]), "x"]
+
+    def score(some):
+        raw = [t.encode() for t in some]
+        return model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    alone = np.array([score([t])[0] for t in texts])
+    assert np.allclose(score(texts), alone, atol=1e-6) and np.allclose(score(texts[::-1])[::-1], alone, atol=1e-6)
+    monkeypatch.setattr(toxicity, "STRETCH", 7)  # stretch by stretch, the maxima are the same
+    assert np.allclose(score(texts), alone, atol=1e-5)
+
+
 def test_licence_paragraphs_match_the_plain_model(spark):
     model = licenses.LicenceModel()
     lines = [

@@ -303,3 +303,76 @@ def test_decontamination_with_a_piece_that_all_items_share(spark):
     docs = [(i, " ".join([*r.choices("abcdefgh", k=3), *(stem + (bench[i * 3][1].split()[5:] if i % 2 else r.choices("abcdefgh", k=9))), *r.choices("abcdefgh", k=3)])) for i in range(60)]
     got = decontaminate.find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {x.doc_id: (x.n_words, x.n_hit, list(x["items"])) for x in got} == brute_hits(docs, bench)
+
+
+def test_exact_search_orders_scores_beyond_64_bits(spark):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [2e20, 0.0]), (3, [-1e20, 5.0]), (4, [1e300, 0.0]), (5, [-1e300, 0.0])]
+    got = mtree.top_k(spark.createDataFrame(rows, kind), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [x.vec_id for x in got] == [4, 2, 1, 3, 5] and got[0].score == 2**63 - 1 and got[4].score == -(2**63)
+    keys = [-(10**30), -257, -256, -255, -1, 0, 1, 255, 256, 10**30]
+    assert sorted(keys, key=mtree.order_key) == keys
+
+
+def test_exact_search_counts_what_it_passes_over(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 700)
+    r = np.random.default_rng(6)
+    centres = 3 * r.standard_normal((20, 6))
+    rows = [(i, (centres[i % 20] + 0.01 * r.standard_normal(6)).tolist()) for i in range(2000)]
+    got = mtree.counted_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert {(x.query_id, x["rank"], x.vec_id, x.score) for x in got} == brute_top(rows, 50)
+    assert all(0 < x.distances < 2000 for x in got) and sum(x.avoided for x in got) > 0
+
+
+def test_archives_depend_on_rows_alone(spark):
+    """Borders of shards, files and digests don't depend on a sample, the layout or the session."""
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("text "), F.pmod(F.hash("id"), F.lit(60))).alias("html"))
+    pages = pages.union(spark.range(3000).select(F.lit(10**15), F.lit("hot"), F.concat(F.lit("x"), F.col("id"))))
+    manifests = []
+    for parts in (3, 8):
+        folder = shared_dir(spark, "warc-test")
+        manifest = warc.write_archives(pages.repartition(parts), folder, shard_bytes=600_000)
+        manifests.append(sorted(map(tuple, manifest.collect())))
+        got = warc.read_archives(manifest, folder)
+        assert got.count() == 23_000 and got.select("record_id").distinct().count() == 23_000
+    assert manifests[0] == manifests[1] and len({m[0][:12] for m in manifests[0]}) > 20
+    per_shard = {}
+    for path, n, *_ in manifests[0]:
+        per_shard[path[:12]] = per_shard.get(path[:12], 0) + n
+    assert max(per_shard.values()) < 1500 and len(manifests[0]) > len(per_shard)
+
+
+def test_archive_urls_and_repeated_pages_come_back(spark):
+    url = "http://x.org/ä b?q=ü%20\r\nX: y"
+    rows = [(1, url, "z" * 200), (1, url, "z" * 200), (1, "other", "z" * 200), (-5, "ok", "z" * 200), (None, None, "z" * 200)]
+    _, _, got = archived(spark, rows)
+    assert sorted((x.url is None, x.url or "") for x in got) == sorted((u is None, u or "") for _, u, _ in rows)
+    assert len({x.record_id for x in got}) == 5 and {x.refers_to for x in got if x.record_type == "revisit"} == {-5}
+
+
+def test_mixing_meets_given_targets(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(3000):  # sources nearly fix languages
+        source = r.choice(["a", "a", "a", "b", "c"])
+        lang = {"a": "en", "b": "fr", "c": "de"}[source] if r.random() < 0.9 else r.choice(["en", "fr", "de"])
+        rows.append((i, "w " * r.randrange(1, 40) + r.choice(["", " | ", "!! "]), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.3, "b": 0.4, "c": 0.3}, "lang": {"en": 0.35, "fr": 0.35, "de": 0.3}}
+    got = mixing.mix(df, targets=targets).collect()
+    for d, want in targets.items():
+        share = {}
+        for x in got:
+            share[x[d]] = share.get(x[d], 0) + x.n_tokens * x.prob
+        assert {k: round(v / sum(share.values()), 4) for k, v in share.items()} == want
+    cells = spark.createDataFrame([("a", "en", "t", 5), ("b", "fr", "t", 5)], "source string, lang string, topic string, tokens long")
+    with pytest.raises(ValueError, match="no weights meet"):
+        mixing.rake(cells, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}})
+    with pytest.raises(ValueError, match="no tokens"):
+        mixing.rake(cells, targets={"source": {"a": 0.5, "z": 0.5}})
+    with pytest.raises(ValueError, match="add up"):
+        mixing.rake(cells, targets={"source": {"a": 0.5, "b": 0.6}})
+    raked, residual = mixing.rake(cells, temper={"source": 0.5, "lang": 1.0, "topic": 1.0})
+    assert residual < 1e-12 and abs(sum(x.weight for x in raked.collect()) - 1) < 1e-9
+    other = mixing.mix(df, topic=lambda text: F.substring(text, 1, 1)).select("topic").distinct().collect()
+    assert {x.topic for x in other} == {"w"}
