@@ -57,7 +57,7 @@ def keep_allowed(query: str, *fields: str) -> str:
     return _clause(fields or tuple(vocab.ENUMS), re.I).sub(_only_allowed, query)
 
 
-_TOKEN = re.compile(r'(?P<open>\()|(?P<close>\))|(?P<gap>\s+)|(?P<boolean>(?:AND|OR|NOT)(?![\w:]))|(?P<other>"[^"]*"|[^\s()]+)', re.I)
+_TOKEN = re.compile(r'(?P<open>\()|(?P<close>\))|(?P<gap>\s+)|(?P<boolean>(?:AND|OR|NOT)(?![\w:]))|(?P<other>[^\s()]+)', re.I)
 _CALL_BEFORE = re.compile(r"(?:" + "|".join(vocab.CALLS) + r")$", re.I)
 _ANY_BOOLEAN = re.compile(r"\b(?:AND|OR|NOT)\b", re.I)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -9,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import at_word_boundary
-
-BROADCAST_SURFACES = 200_000
+#: Surfaces that a task holds at once.
+HELD_SURFACES = 200_000
 SPAN = "struct<surface:string,start:int,end:int,type:string,canonical_id:string>"
 
 
@@ -25,66 +25,115 @@ def keyword_index(entries: DataFrame, min_length: int = 4) -> DataFrame:
 
 
 _WORD = re.compile(r"[^\W_]+")
+_HIT = "doc_id long, surface_lc string, start int, len int, type string, canonical_id string, ord long, surface string"
+_SPANS = f"doc_id long, spans array<{SPAN}>"
+
+
+def lowered(text: str) -> str:
+    """``text`` in lower case, letter for letter, so that places stay what they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Dictionary:
+    """Surfaces by the first run of letters and digits in them; those that have none apart."""
+
+    def __init__(self, rows: list[tuple]):
+        #: (surface in lower case, letters before its first word, type, canonical_id, ord) by that word
+        self.by_word: dict[str, list[tuple]] = {}
+        self.signs: list[tuple] = []
+        for surface, kind, ident, order in rows:
+            m = _WORD.search(surface)
+            (self.by_word.setdefault(m[0], []) if m else self.signs).append((surface, m.start() if m else 0, kind, ident, order))
+
+    def hits(self, text: str) -> list[tuple]:
+        """(surface in lower case, start, end, type, canonical_id, ord) wherever one stands at word borders."""
+        low, out = lowered(text), []
+        for m in _WORD.finditer(low):
+            for surface, before, *rest in self.by_word.get(m[0], ()):
+                a = m.start() - before
+                if a >= 0 and low.startswith(surface, a):
+                    out.append((surface, a, a + len(surface), *rest))
+        for surface, _, *rest in self.signs:
+            a = low.find(surface)
+            while a >= 0:
+                out.append((surface, a, a + len(surface), *rest))
+                a = low.find(surface, a + 1)
+        return [h for h in out if not (h[1] and text[h[1] - 1].isalnum()) and not (h[2] < len(text) and text[h[2]].isalnum())]
+
+    def spans(self, text: str) -> list[dict]:
+        """The longest first, then by order and place; none overlaps one taken before it."""
+        taken: list[tuple[int, int]] = []  # by place
+        out = []
+        for _, a, b, kind, ident, _ in sorted(self.hits(text), key=lambda h: (h[1] - h[2], h[5], h[1])):
+            i = bisect.bisect(taken, (a, b))
+            if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
+                continue
+            taken.insert(i, (a, b))
+            out.append({"surface": text[a:b], "start": a, "end": b, "type": kind, "canonical_id": ident})
+        return sorted(out, key=lambda s: s["start"])
+
+
+def _rows(index: DataFrame) -> list[tuple] | None:
+    """The index, if it is small enough for every task to hold."""
+    some = index.where("surface_lc <> ''").select("surface_lc", "type", "canonical_id", "ord").limit(HELD_SURFACES + 1).collect()
+    return [tuple(r) for r in some] if len(some) <= HELD_SURFACES else None
+
+
+def _parts(index: DataFrame) -> list[list[tuple]]:
+    """An index too large for a task, cut by a hash of the surface into parts that fit."""
+    parts = -(-index.count() // (HELD_SURFACES // 2))
+    return [_rows(index.where(F.pmod(F.xxhash64("surface_lc"), F.lit(parts)) == k)) or [] for k in range(parts)]
+
 
+def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``doc_id, surface_lc, start, len, type, canonical_id, ord, surface`` of every place where an indexed surface stands at
+    word borders.
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            low = (text or "").lower()
-            found = [(m[0], m.start()) for m in _WORD.finditer(low)] if len(low) == len(text or "") else [(m[0].lower(), m.start()) for m in _WORD.finditer(text)]
-            if found:
-                words, starts = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(words), pa.int64()), pa.array(words, pa.string()), pa.array(starts, pa.int32())], names=["doc_id", "word", "start"])
+    Texts are read once for each 200,000 surfaces, which every task holds; nothing is shuffled and
+    no text is copied. Null texts have no place."""
+    rows, out = _rows(index), None
+    for part in [rows] if rows is not None else _parts(index):
 
+        def find(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            known = Dictionary(part)
+            for batch in batches:
+                found = [(doc, surface, a, b - a, kind, ident, order, text[a:b]) for doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) if text for surface, a, b, kind, ident, order in known.hits(text)]
+                if found:
+                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _HIT.split(", ")])
 
-def _sign_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, text, surface in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-            starts = [m.start() for m in re.finditer(f"(?={re.escape(surface)})", low)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(starts), pa.int64()), pa.array([surface] * len(starts), pa.string()), pa.array(starts, pa.int32())], names=["doc_id", "surface_lc", "start"])
+        hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, _HIT)
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
-def word_places(docs: DataFrame) -> DataFrame:
-    """``doc_id, word, start`` of every run of letters and digits, in lower case. A place is a running sum over a text,
-    which expressions could only build by copying an array for each word."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_places, "doc_id long, word string, start int")
+def annotate(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``doc_id, spans`` for every row of ``docs (doc_id, text)``: the longest surfaces first, then by index
+    order and place; a span never overlaps one taken before it (J9, W9). One pass over the texts; an
+    index beyond 200,000 surfaces takes one for each so many and gathers a text's own matches."""
+    rows = _rows(index)
+    if rows is None:
+        return _gathered(docs, candidates(docs, index))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary(rows)
+        for batch in batches:
+            spans = [known.spans(t) if t else [] for t in batch.column(1).to_pylist()]
+            kind = pa.list_(pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("canonical_id", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """``doc_id, surface_lc, start, len, surface`` of every place where an indexed surface stands at word borders.
-
-    A place is looked up by the surface's first word, wherever in the surface that stands: surfaces
-    of one word are found by that join alone, and the others are then compared with the text
-    around that place. Surfaces without a letter or digit are searched for in the texts that contain them."""
-    cut = r"^([^\p{L}\p{N}]*)([\p{L}\p{N}]*)"
-    idx = index.withColumns({"word": F.regexp_extract("surface_lc", cut, 2), "before": F.length(F.regexp_extract("surface_lc", cut, 1)), "len": F.length("surface_lc")})
-    signs, idx = idx.where("word = '' and len > 0").drop("word", "before"), idx.where("word <> ''")
-    x = word_places(docs).join(F.broadcast(idx) if idx.count() <= BROADCAST_SURFACES else idx, "word")
-    x = x.withColumn("start", F.col("start") - F.col("before")).where("start >= 0").drop("word", "before")
-    few = signs.count()
-    if few:
-        s = signs.select("surface_lc")
-        y = docs.select(F.col("doc_id").cast("long"), "text").crossJoin(F.broadcast(s) if few <= BROADCAST_SURFACES else s).where(F.contains(F.lower("text"), F.col("surface_lc")))
-        y = y.mapInArrow(_sign_places, "doc_id long, surface_lc string, start int").join(F.broadcast(signs) if few <= BROADCAST_SURFACES else signs, "surface_lc")
-        x = x.unionByName(y)
-    x = x.join(docs.select("doc_id", "text"), "doc_id")
-    here = F.substring(F.col("text"), F.col("start") + 1, F.col("len"))
-    x = x.where((F.lower(here) == F.col("surface_lc")) & at_word_boundary(F.col("text"), F.col("start"), F.col("start") + F.col("len")))
-    return x.select("doc_id", "surface_lc", "start", "len", "type", "canonical_id", "ord", here.alias("surface"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SPANS)
 
 
-def annotate(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """``doc_id, spans``: the longest surfaces first, then by index order and place; a span never
-    overlaps one taken before it (J9, W9). A text's own matches are all that gather."""
-    hits = candidates(docs, index)
+def _gathered(docs: DataFrame, hits: DataFrame) -> DataFrame:
     span = F.struct((-F.col("len")).alias("l"), "ord", "start", (F.col("start") + F.col("len")).alias("end"), "surface", "type", "canonical_id")
-    x = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("c"))
+    x = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("c"))
     none = F.expr("filter(c, x -> false)")
     free = lambda acc, s: ~F.exists(acc, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     taken = F.aggregate("c", none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
     x = x.select("doc_id", F.transform(taken, lambda s: F.struct(s["surface"].alias("surface"), s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["canonical_id"].alias("canonical_id"))).alias("spans"))
-    return docs.select("doc_id").join(x, "doc_id", "left").withColumn("spans", F.array_sort(F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")), lambda a, b: a["start"] - b["start"]))
+    return docs.select(F.col("doc_id").cast("long")).join(x, "doc_id", "left").withColumn("spans", F.array_sort(F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")), lambda a, b: a["start"] - b["start"]))
 
 
 def offset_errors(text: Column, spans: Column, context: int = 20) -> Column:

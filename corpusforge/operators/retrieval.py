@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ._stored import store
 
 K1, B = 1.5, 0.75
 #: Rows of a query-side table that are broadcast at most; beyond, the join shuffles.
@@ -40,19 +41,24 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best documents of each query: ``query_id, rank, doc_id, score``.
 
     ``queries (query_id, text)``, ``docs (doc_id, text)``. A token counts once in a
-    document; ties go to the smaller doc_id; only positive scores are ranked. Query tokens are few, so they
-    are what is broadcast, after a count; the document side is never shuffled before its
-    rows have met a query token."""
-    wanted = token_rows(queries, "query_id", F.col("text")).select(F.col("id").alias("query_id"), "token")
-    have = token_rows(docs, "doc_id", F.col("text")).withColumnRenamed("id", "doc_id")
-    small = wanted.count() <= BROADCAST_ROWS
+    document; ties go to the smaller doc_id; only positive scores are ranked. Documents are tokenised
+    once: what meets a query token is written as rows, and the corpus size is observed on the way.
+    Query tokens are few, so they are what is broadcast, after a count; the document side is
+    never shuffled before its rows have met a query token."""
+    wanted = store(token_rows(queries, "query_id", F.col("text")).select(F.col("id").alias("query_id"), "token"), "query-tokens")
     vocabulary = wanted.select("token").distinct()
-    df = document_frequency(have.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi"))
-    size = corpus_size(docs, F.col("text"))
+    small = wanted.count() <= BROADCAST_ROWS
+    seen = Observation()
+    have = docs.select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("n_tokens", F.size("ts"))
+    have = have.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
+    have = have.select("doc_id", "n_tokens", F.explode_outer("ts").alias("token"))
+    have = store(have.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi"), "postings")
+    n_docs, avg_tokens = F.lit(seen.get["n"]), F.lit(max(seen.get["avg"] or 0.0, 1.0))
+    df = document_frequency(have)
     weighed = wanted.join(F.broadcast(df) if small else df, "token")
-    hits = have.join(F.broadcast(weighed) if small else weighed, "token").join(F.broadcast(size))
-    norm = 1 + K1 * (1 - B + B * F.col("n_tokens") / F.greatest(F.col("avg_tokens"), F.lit(1.0)))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(idf(F.col("n_docs"), F.col("df")) * (K1 + 1) / norm).alias("score"))
+    hits = have.join(F.broadcast(weighed) if small else weighed, "token")
+    norm = 1 + K1 * (1 - B + B * F.col("n_tokens") / avg_tokens)
+    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(idf(n_docs, F.col("df")) * (K1 + 1) / norm).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))

@@ -101,24 +101,24 @@ _TRIGGER_SQL = "WITH " + PAIRS_SQL + """, t AS (SELECT unnest(CASE id % 8 WHEN 0
 
 def paper_resolution(spark, sf):
     """Hints of requests that point at a paper, and the dearest part with all their words."""
-    x = base.intents(spark, sf).where("id % 50 = 0").withColumn("text", F.concat(F.lit("papers citing the paper on "), "topic"))
+    x = base.intents(spark, sf).withColumn("text", F.concat(F.lit("papers citing the paper on "), "topic"))
     x = x.where(validate.needs_resolution(F.col("operator"), F.lit(None).cast("string"), F.col("text"))).select("id", validate.paper_hint(F.col("text")).alias("hint"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("bibcode"), F.col("p_name").alias("title"), F.round(F.col("p_retailprice") * 100).cast("long").alias("citation_count"))
     return x.join(validate.resolve(x, p), "id", "left")
 
 
 _RESOLVE_SQL = "WITH " + PAIRS_SQL + """, b AS (SELECT p_name, arg_max(p_partkey, (round(p_retailprice * 100)::BIGINT, p_partkey)) AS bibcode FROM part GROUP BY p_name)
-  SELECT id, topic AS hint, bibcode FROM intents JOIN b ON topic = p_name WHERE id % 50 = 0 AND operator IN ('citations', 'references', 'similar')"""
+  SELECT id, topic AS hint, bibcode FROM intents JOIN b ON topic = p_name WHERE operator IN ('citations', 'references', 'similar')"""
 
 
 def dashboard_join(spark, sf):
     """Documents with the last prediction of each, missing ones empty (J1), and how many spans they have."""
-    ann = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", "lang")
+    ann = table(spark, sf, "documents").select("doc_id", "lang")
     pred = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("at"), "quality").unionByName(table(spark, sf, "labels").where("toxic = 0").select("doc_id", F.lit(2).alias("at"), (F.col("quality") + 10).alias("quality")))
     return ann.join(link.last_wins(pred, "doc_id", "at"), "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-_DASH_SQL = """SELECT doc_id, lang, coalesce(CASE WHEN toxic = 0 THEN quality + 10 ELSE quality END, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 3 = 0"""
+_DASH_SQL = """SELECT doc_id, lang, coalesce(CASE WHEN toxic = 0 THEN quality + 10 ELSE quality END, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)"""
 
 
 def record_checks(spark, sf):

@@ -141,7 +141,7 @@ _ALIAS_SQL = """WITH e AS (SELECT min(p_partkey) AS k, p_name FROM part GROUP BY
 
 def name_forms(spark, sf):
     d = table(spark, sf, "documents")
-    w = d.select("doc_id", F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("t"))
+    w = d.select("doc_id", F.col("text").alias("t"))
     return w.select("doc_id", strip_diacritics(F.col("t")).alias("plain"), swap_hyphen_space(F.col("t")).alias("swapped"), strip_punctuation(F.col("t")).alias("bare"), acronym(F.col("t")).alias("short"))
 
 
@@ -263,7 +263,7 @@ QUERIES = {
     "link_cascade": (link_cascade, None),
     "embed_argmax": (embed_argmax, _EMBED_SQL),
     "alias_expand": (alias_expand, _ALIAS_SQL),
-    "name_forms": (name_forms, f"""WITH w AS (SELECT doc_id, regexp_extract(text, '^(\\S+ \\S+ \\S+)', 1) AS t FROM documents), p AS (SELECT *, list_filter(string_split_regex(trim(t), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ('a', 'an', 'and', 'the', 'of', 'for', 'in', 'on', 'at', 'to', 'by')) AS ws FROM w)
+    "name_forms": (name_forms, f"""WITH w AS (SELECT doc_id, text AS t FROM documents), p AS (SELECT *, list_filter(string_split_regex(trim(t), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ('a', 'an', 'and', 'the', 'of', 'for', 'in', 'on', 'at', 'to', 'by')) AS ws FROM w)
   SELECT doc_id, translate(t, '{_ACC}', '{_PLAIN}') AS plain, CASE WHEN contains(t, '-') THEN replace(t, '-', ' ') WHEN contains(t, ' ') THEN replace(t, ' ', '-') ELSE t END AS swapped, trim(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS bare,
   CASE WHEN len(ws) >= 2 AND len(ws) <= 10 THEN (array_to_string(list_transform(ws, lambda w: replace(upper(w[1]), 'ẞ', 'SS')), '')) END AS short FROM p"""),
     "keyword_index": (keyword_index, """WITH e AS (SELECT p_name, min(p_partkey) AS ord FROM part GROUP BY p_name), x AS (SELECT lower(p_name) AS s, ord FROM e UNION ALL SELECT lower(replace(p_name, ' ', '-')), ord FROM e)
