@@ -294,6 +294,30 @@ _SYNTH_SQL = """WITH f(n, category, a, b, c, d) AS (VALUES (0, 'content', 'find
   SELECT category, natural_language, ads_query, ord FROM x QUALIFY row_number() OVER (PARTITION BY natural_language ORDER BY ord) = 1"""
 
 
+#: The sound query of each pair, and what the repair of each fault leaves.
+_CONSTRAINED_SQL = (
+    "WITH "
+    + FAULTY_SQL
+    + """ SELECT id, CASE id % 11 WHEN 2 THEN p.ads_query || ' foo:bar' WHEN 3 THEN p.ads_query || ' "open' WHEN 4 THEN p.ads_query || ' pubdate:[2000]' WHEN 6 THEN p.ads_query || ' abs:x'
+    WHEN 7 THEN p.ads_query || ' OR property:refereed' ELSE p.ads_query END AS fixed, id % 11 IN (0, 1, 5, 6, 7) AS changed, id % 11 NOT IN (2, 3, 4) AS valid FROM pairs p JOIN faulty USING (id)"""
+)
+_STRICT_SQL = (
+    "WITH "
+    + PAIRS_SQL
+    + f""", k AS (SELECT id, category, ads_query, list_filter(string_split('a survey of ' || split_part(natural_language, ' about ', 2) || ' observations in clusters', ' '),
+    lambda w: length(w) > 3 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({sql_list(udfs._PHRASE_DULL)}, w))[1:3] AS ws FROM pairs WHERE id % 3 = 0 OR id % 17 <> 1)
+  SELECT id, CASE WHEN id % 3 = 0 THEN 'abs:(' || array_to_string(ws, ' AND ') || ') abs:(the ' || category || ' of the brightest and the largest galaxies) doctype:article'
+    ELSE ads_query || CASE WHEN contains(ads_query, 'doctype:') THEN '' ELSE ' doctype:article' END END AS fixed FROM k"""
+)
+#: A name ends where its letters do; the rest of it is a topic, and "papers" asks for articles.
+_INTENT_SQL = (
+    "WITH "
+    + PAIRS_SQL
+    + """ SELECT id, 'Customer' AS authors, y AS year_from, 2026 AS year_to,
+  'author:"Customer" abs:"' || split_part(author, '#', 2) || ' ' || topic || '" pubdate:[' || y || ' TO 2026] doctype:article' AS final_query, 0.9::DOUBLE AS confidence FROM intents"""
+)
+
+
 QUERIES = {
     "assemble_queries": (assemble_queries, "WITH " + PAIRS_SQL + " SELECT id, natural_language, ads_query, category FROM pairs"),
     "lint_queries": (lint_queries, _LINT_SQL + " SELECT id, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS valid FROM e"),
@@ -308,12 +332,13 @@ QUERIES = {
     "curate_actions": (curate_actions, _CURATE_SQL),
     "skip_rules": (skip_rules, _SKIP_SQL),
     "dedup_two_key": (dedup_two_key, _DEDUP2_SQL),
-    "pair_gate": (pair_gate, None),
-    "constrained_queries": (constrained_queries, None),
+    "pair_gate": (pair_gate, _LINT_SQL + """, r AS (SELECT len(errors) + (id % 11 IN (5, 7))::INTEGER + (id % 6 < 3)::INTEGER AS r FROM e) SELECT r = 0 AS kept, count(*) AS n, sum(r)::BIGINT AS reasons FROM r GROUP BY ALL"""),
+    "constrained_queries": (constrained_queries, _CONSTRAINED_SQL),
     "repair_native": (repair_native, _REPAIR_SQL),
-    "strict_fixes": (strict_fixes, None),
-    "semantic_matches": (semantic_matches, None),
-    "intent_pipeline": (intent_pipeline, None),
+    "strict_fixes": (strict_fixes, _STRICT_SQL),
+    # No fault of the table changes what a query asks for by more than half of a component.
+    "semantic_matches": (semantic_matches, "WITH " + PAIRS_SQL + " SELECT category, true AS match, count(*) AS n FROM pairs GROUP BY category"),
+    "intent_pipeline": (intent_pipeline, _INTENT_SQL),
     "eval_summary": (eval_summary, _EVAL_SQL),
     "benchmark_rollup": (benchmark_rollup, _ROLLUP_SQL),
     "slot_enumeration": (slot_enumeration, _SLOT_SQL),

@@ -9,6 +9,7 @@ from ..operators import link, records, reports, validate
 from . import base
 from .base import FAULTY_SQL, PAIRS_SQL, sql_list, table
 from .pair_queries import _LINT_SQL
+from .span_queries import _CASCADE, _MENTIONS
 
 
 def local_validation(spark, sf):
@@ -243,7 +244,7 @@ QUERIES = {
     "dataset_stats": (dataset_stats, "WITH " + PAIRS_SQL + " SELECT CASE WHEN id % 10 > 0 THEN 'train' ELSE 'val' END AS source, category, count(*) AS n FROM pairs GROUP BY ALL"),
     "quality_report": (quality_report, _QUALITY_SQL),
     "prediction_stats": (prediction_stats, _PREDICTION_SQL),
-    "linking_stats": (linking_stats, None),
+    "linking_stats": (linking_stats, f"WITH {_MENTIONS}, {_CASCADE} SELECT match_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM c GROUP BY match_type"),
     "result_views": (result_views, _VIEWS_SQL),
     "reviewed_pairs": (reviewed_pairs, _REVIEWED_SQL),
     "report_examples": (report_examples, _EXAMPLES_SQL),

