@@ -83,6 +83,10 @@ def html_strip(spark, sf):
 _STRIP = "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)</?[A-Za-z][A-Za-z0-9]*(?:[^>]*)?>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+#: The pages' other entities, which the exact scan decodes too.
+_DECODED = "(replace(replace(html, '&copy;', '©'), '&middot;', '·'),"
+
+
 def html_clean_stats(spark, sf):
     p = table(spark, sf, "pages").withColumn("clean", text.strip_html(F.col("html")))
     return p.agg(F.count(F.lit(1)).alias("pages"), F.sum((F.col("clean") != F.col("html")).cast("int")).alias("changed"), F.sum(F.length("html") - F.length("clean")).alias("removed_chars"))
@@ -206,7 +210,7 @@ QUERIES = {
     "span_annotate": (span_annotate, _SPANS + """, g AS (SELECT doc_id, count(*)::INTEGER AS n, string_agg(start || ':' || surface, '|' ORDER BY start) AS a FROM s GROUP BY doc_id)
   SELECT doc_id, coalesce(n, 0) AS n_spans, md5(coalesce(a, '')) AS digest FROM documents LEFT JOIN g USING (doc_id)"""),
     "span_offsets_valid": (span_offsets_valid, _SPANS + " SELECT count(*) AS spans, 0::BIGINT AS errors FROM s"),
-    "span_remap": (span_remap, f"SELECT page_id, length({_STRIP})::INTEGER AS chars FROM pages"),
+    "span_remap": (span_remap, f"SELECT page_id, length({_STRIP.replace('(html,', _DECODED)})::INTEGER AS chars FROM pages"),
     "overlap_metrics": (overlap_metrics, _OVERLAP_SQL),
     "pagination": (pagination, "SELECT doc_id, n_chars FROM documents WHERE source = 'src0' ORDER BY doc_id LIMIT 10 OFFSET 10"),
     "hash_sample": (hash_sample, "SELECT doc_id, lang FROM documents WHERE ('0x' || substr(md5('42|' || doc_id), 1, 12))::BIGINT / 281474976710656.0 < 0.3"),
