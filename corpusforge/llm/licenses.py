@@ -110,6 +110,8 @@ COPIES = 30
 EPOCHS = 200
 #: So many paragraphs are broadcast at most when their families go back to documents.
 BROADCAST_PARAGRAPHS = 20_000
+#: Parts that the documents of one paragraph are cut into beyond that.
+PARTS = 16
 
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -281,6 +283,16 @@ def _runs(lines: Column) -> Column:
     return F.flatten(F.transform(F.array(v), of))
 
 
+def _beside(lines: DataFrame, known: DataFrame, key: str, how: str, few: bool) -> DataFrame:
+    """``lines`` joined with the distinct paragraphs of ``known``. Beyond a broadcast each of those goes to every
+    part of its key, as a third of all documents may hold one and the same notice."""
+    if few:
+        return lines.join(F.broadcast(known), key, how)
+    parts = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    lines = lines.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    return lines.join(parts, [key, "_part"], how).drop("_part")
+
+
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """``doc_id, n_candidates, n_confirmed, n_unknown, families, probability`` for every row of ``docs (doc_id, text)``.
 
@@ -302,10 +314,10 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     scored = lines.select(F.explode(F.array_distinct(F.array_compact(F.array("paragraph", "head", "tail")))).alias("paragraph")).distinct()
     known = store(classify_paragraphs(scored, model), "families")
     few = known.count() <= BROADCAST_PARAGRAPHS
-    found = lines.join(F.broadcast(known) if few else known, "paragraph")
+    found = _beside(lines, known, "paragraph", "inner", few)
     for c in ("head", "tail"):
         sure = known.where("confirmed").select(F.col("paragraph").alias(c), F.col("family").alias(f"{c}_family"))
-        found = found.join(F.broadcast(sure) if few else sure, c, "left")
+        found = _beside(found, sure, c, "left", few)
     whole = F.col("confirmed") & ~F.col("family").eqNullSafe(F.col("head_family")) & ~F.col("family").eqNullSafe(F.col("tail_family"))
     found = found.where(F.col("named") | whole)
     by_doc = found.groupBy("doc_id").agg(

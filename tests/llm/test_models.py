@@ -1,6 +1,7 @@
 """Language, toxicity and licence models: held-out accuracy and edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -181,3 +182,49 @@ def test_no_confirmable_paragraph_is_without_a_marking_word():
     words = set(licenses.marking_words([p for _, _, p in model.templates]))
     for _, _, p in model.templates:
         assert sum(not words & set(q.split()) for q in p) < licenses.least_pairs(p)
+
+
+def brute_licences(model, text):
+    """(candidates, confirmed, unknown, families) of one text by the plain model, window by window."""
+    cache = {}
+
+    def of(p):
+        if p not in cache:
+            have = licenses.pairs(p)
+            can = any(len(t & have) >= licenses.least_pairs(t) for _, _, t in model.templates)
+            named = re.search(licenses.TRIGGER, p) is not None
+            cache[p] = (*(model.classify(p) if can or named else ("unknown", 0.0, False)), named)
+        return cache[p]
+
+    found = []
+    lines = (text or "").split("\n")
+    words = [licenses._WORD.findall(line.lower()) for line in lines]
+    for i, line in enumerate(lines):
+        family, _, sure, named = of(line)
+        if named or sure:
+            found.append((family, sure))
+        run, rest, n = " ".join(words[i][-licenses.REACH :]), [], 0
+        for more in words[i + 1 :] if words[i] else ():
+            if not more or n >= licenses.REACH:
+                break
+            head, n = run, n + len(more)
+            more = " ".join(more[: licenses.REACH])
+            run, rest = f"{run} {more}", [*rest, more]
+            family, _, sure, _ = of(run)
+            if sure and all(not (of(x)[2] and of(x)[0] == family) for x in (head, " ".join(rest))):
+                found.append((family, sure))
+    return len(found), sum(s for _, s in found), sum(f == "unknown" for f, _ in found), tuple(sorted({f for f, s in found if s}))
+
+
+@pytest.mark.parametrize("broadcast", [licenses.BROADCAST_PARAGRAPHS, 0])
+def test_licence_scan_matches_brute_force(spark, sf, monkeypatch, broadcast):
+    """The whole query over the whole table, and the same texts with their lines wrapped."""
+    monkeypatch.setattr(licenses, "BROADCAST_PARAGRAPHS", broadcast)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    some = [t for _, t in rows if t and re.search(licenses.TRIGGER, t)][:25]
+    rows += [(100_000 + i, re.sub(r"((?:\S+ ){6})", "\\1\n", t)) for i, t in enumerate(some)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    model = licenses.LicenceModel()
+    want = {i: brute_licences(model, t) for i, t in rows}
+    assert {r.doc_id: (r.n_candidates, r.n_confirmed, r.n_unknown, tuple(r.families)) for r in got} == want
+    assert all(sum(w[1] > 0 for i, w in want.items() if (i < 100_000) == own) >= 2 for own in (True, False))
