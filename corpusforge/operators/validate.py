@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import qlang, vocab
 
@@ -57,26 +58,83 @@ def remote_error(message: Column) -> Column:
     return F.when(has("parse error"), "parse_error").when(has("rate limit"), "rate_limit").when(has("timeout"), "timeout").when(has("api key", "unauthorized", "401"), "auth_error").when(has("request error", "connection"), "network_error").otherwise("api_error")
 
 
-# Required and optional fields of the record types.
+# The fields of the record types (F10) and what each must be: ``text`` (not blank), ``given`` (a text, perhaps
+# empty), ``texts`` (a list without null or blank items), ``some texts`` (not empty either), ``any texts`` (items may be blank), ``map``, ``flag``,
+# ``count`` (not negative), ``number``, ``tier`` (0 to 3), ``share`` (0 to 1), ``time`` (ISO), or one of a set of words. A question mark: null or absent is as good.
+# A list of records of another type is ``each type``, one such record ``a type``.
 RECORDS = {
-    "topic": {"required": ["id", "label", "source_vocabulary"], "lists": ["aliases", "parents", "children", "domain_tags"]},
-    "entity": {"required": ["id", "label", "source_vocabulary"], "lists": ["aliases", "domain_tags"]},
-    "pair": {"required": ["pair_id", "user_text", "ads_query", "template_id"], "lists": ["validation_errors"]},
-    "input": {"required": ["input_id", "user_text", "template_id"], "lists": ["source_ids"]},
-}
+    "source": {"id": "text", "type": {"http", "git"}, "url": "text", "retrieved_at": "time?"},
+    "source_manifest": {"generated_at": "time?", "sources": "each source"},
+    "topic": {"id": "text", "label": "text", "aliases": "texts", "parents": "texts", "children": "texts"},
+    "entity": {"id": "text", "label": "text", "aliases": "texts", "metadata": "map"},
+    "slot": {"name": "text", "type": "text", "required": "flag", "constraints": "map"},
+    "template": {"id": "text", "intent": "text", "nl_templates": "some texts", "ads_query_template": "text", "slots": "each slot", "constraints": "map"},
+    "input": {"input_id": "text", "user_text": "text", "template_id": "text", "filled_slots": "map", "source_ids": "texts"},
+    "pair": {"pair_id": "text", "user_text": "text", "ads_query": "text", "template_id": "text", "filled_slots": "map", "validation_tier": "tier", "validation_errors": "any texts", "created_at": "time?"},
+    "quarantined_pair": {"pair_id": "text", "user_text": "text", "ads_query": "text", "template_id": "text", "filled_slots": "map", "error_type": "given", "error_details": "given", "failed_at_tier": "number"},
+    "enrichment": {"example_id": "text", "user_text": "text", "labels": "map", "provenance": "map"},
+    "report": {
+        "sources_count": "count", "topics_count": "count", "entities_count": "count", "templates_count": "count", "inputs_count": "count", "pairs_valid_count": "count",
+        "pairs_quarantined_count": "count", "enrichment_labels_count": "count", "backend_pass_rate": "share?", "pairs_by_template": "map", "pairs_by_intent": "map",
+        "quarantine_by_error_type": "map", "started_at": "time?", "completed_at": "time?",
+    },
+    "checksum": {"path": "text", "checksum_sha256": "text", "size_bytes": "count", "line_count": "number?"},
+    "reproduce": {"pinned_revisions": "map"},
+    "run_manifest": {
+        "run_id": "text", "created_at": "time", "started_at": "time?", "completed_at": "time?", "run_directory": "given", "status": {"pending", "in_progress", "completed", "failed"},
+        "stages_completed": "texts", "artifacts": "each checksum", "reproduce": "a reproduce?",
+    },
+}
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+
+
+def _broken(fields: T.StructType, get, kind: str) -> list[tuple[Column, str]]:
+    """(condition, message) of each rule of a record type that can be broken; ``get`` makes a field's Column."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    out: list[tuple[Column, str]] = []
+    for name, rule in RECORDS[kind].items():
+        optional = isinstance(rule, str) and rule.endswith("?")
+        if name not in fields.fieldNames():
+            out += [] if optional else [(F.lit(True), f"{name} is required")]
+            continue
+        c, is_ = get(name), rule.rstrip("?") if isinstance(rule, str) else rule
+        if is_ == "text":
+            out.append((blank(c), f"{name} is required"))
+            continue
+        if not optional:
+            out.append((c.isNull(), f"{name} is required"))
+        if isinstance(is_, set):
+            out.append((~c.isin(*sorted(is_)), f"{name} is none of {', '.join(sorted(is_))}"))
+        elif is_ in ("texts", "some texts", "any texts"):
+            out.append((F.exists(c, lambda v: v.isNull()), f"{name} has a null item"))
+            if is_ != "any texts":
+                out.append((F.exists(c, lambda v: F.trim(v) == ""), f"{name} has a blank item"))
+            if is_ == "some texts":
+                out.append((F.size(c) == 0, f"{name} is empty"))
+        elif is_ in ("count", "share", "tier"):
+            low, high, where = {"count": (0, None, "is negative"), "share": (0, 1, "is outside 0 to 1"), "tier": (0, 3, "is outside 0 to 3")}[is_]
+            out.append(((c < low) | (F.lit(False) if high is None else c > high), f"{name} {where}"))
+        elif is_ == "time":
+            out.append((~c.rlike(_ISO), f"{name} is no ISO time"))
+        elif is_.startswith("each "):
+            element = fields[name].dataType.elementType
+            for test, message in _broken(element, lambda n: F.col(n), is_[5:]):
+                out.append((_in_some(c, element, is_[5:], message), f"{name}: {message}"))
+        elif is_.startswith("a "):
+            inner = fields[name].dataType
+            out += [(c.isNotNull() & test, f"{name}: {message}") for test, message in _broken(inner, lambda n, c=c: c[n], is_[2:])]
+    return out
+
+
+def _in_some(items: Column, element: T.StructType, kind: str, message: str) -> Column:
+    """Whether the rule with this message is broken by some item of a list of records."""
+    return F.exists(items, lambda e: next(test for test, m in _broken(element, lambda n: e[n], kind) if m == message))
 
 
 def record_errors(df: DataFrame, kind: str) -> Column:
-    """Violations of a record type's rules (F10, Z19): empty required strings, null list items, a tier outside 0 to 3, a bad time."""
-    rules = RECORDS[kind]
-    out = [(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", f"{c} is required") for c in rules["required"] if c in df.columns]
-    out += [(F.lit(True), f"{c} is required") for c in rules["required"] if c not in df.columns]
-    out += [(F.exists(F.coalesce(F.col(c), F.expr("cast(array() as array<string>)")), lambda v: v.isNull()), f"{c} has a null item") for c in rules["lists"] if c in df.columns]
-    if "validation_tier" in df.columns:
-        out.append((~F.coalesce(F.col("validation_tier").between(0, 3), F.lit(False)), "validation_tier is outside 0 to 3"))
-    if "created_at" in df.columns:
-        out.append((F.col("created_at").isNotNull() & F.try_to_timestamp("created_at").isNull(), "created_at is no ISO time"))
-    return qlang.issues(*out)
+    """Violations of a record type's rules, in the order of its fields (F10, Z19). A required field that is null or no
+    column at all is a violation; other columns are free. What a column's type rules out isn't tested."""
+    return qlang.issues(*[(F.coalesce(test, F.lit(False)), message) for test, message in _broken(df.schema, F.col, kind)])
 
 
 def suggestions(query_values: DataFrame, field: str, most: int = 3) -> DataFrame:

@@ -124,7 +124,7 @@ _DASH_SQL = """SELECT doc_id, lang, coalesce(CASE WHEN toxic = 0 THEN quality +
 
 def record_checks(spark, sf):
     p = base.pairs(spark, sf)
-    x = p.select(F.col("id").cast("string").alias("pair_id"), F.col("natural_language").alias("user_text"), F.when(F.col("id") % 9 > 0, F.col("ads_query")).alias("ads_query"), F.lit("t").alias("template_id"), F.array(F.when(F.col("id") % 10 > 0, "e")).alias("validation_errors"), (F.col("id") % 6).cast("int").alias("validation_tier"), F.when(F.col("id") % 4 == 0, "2026-13-45").otherwise("2026-01-02T03:04:05Z").alias("created_at"))
+    x = p.select(F.col("id").cast("string").alias("pair_id"), F.col("natural_language").alias("user_text"), F.when(F.col("id") % 9 > 0, F.col("ads_query")).alias("ads_query"), F.lit("t").alias("template_id"), F.create_map(F.lit("topic"), F.col("category")).alias("filled_slots"), F.array(F.when(F.col("id") % 10 > 0, "e")).alias("validation_errors"), (F.col("id") % 6).cast("int").alias("validation_tier"), F.when(F.col("id") % 4 == 0, "2026-13-45").otherwise("2026-01-02T03:04:05Z").alias("created_at"))
     return x.select(F.explode(validate.record_errors(x, "pair")).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 

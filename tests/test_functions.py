@@ -373,3 +373,21 @@ def test_surfaces_that_begin_with_a_sign_are_found(spark):
     want = sorted((i, x.lower(), a) for i, t in enumerate(texts) if t for x in labels for a in range(len(t)) if t.lower().startswith(x.lower(), a) and border(t, a, a + len(x)))
     got = sorted((r.doc_id, r.surface_lc, r.start) for r in annotate.candidates(docs, index).collect())
     assert got == want and {x for _, x, _ in want} == {x.lower() for x in labels}
+
+
+def test_all_record_types_have_rules(spark):
+    from corpusforge.operators import validate
+
+    assert len(validate.RECORDS) == 14  # thirteen types, and the slots within templates
+    one = "array<struct<id:string,type:string,url:string,retrieved_at:string>>"
+    rows = [("m", "2026-01-02T03:04:05", [("a", "git", "u", None)]), ("n", "yesterday", [("a", "git", "u", None), (" ", "ftp", "u", "soon")]), ("o", None, None)]
+    df = spark.createDataFrame(rows, f"id string, generated_at string, sources {one}")
+    got = {r.id: r.e for r in df.select("id", validate.record_errors(df, "source_manifest").alias("e")).collect()}
+    assert got == {"m": [], "n": ["generated_at is no ISO time", "sources: id is required", "sources: type is none of git, http", "sources: retrieved_at is no ISO time"], "o": ["sources is required"]}
+    df = spark.createDataFrame([("r", "2026-01-02T03:04:05Z", "", "done", ["a", " "], [("p", "", -1, None)], None)], "run_id string, created_at string, run_directory string, status string, stages_completed array<string>, artifacts array<struct<path:string,checksum_sha256:string,size_bytes:long,line_count:int>>, reproduce struct<pinned_revisions:map<string,string>>")
+    assert df.select(validate.record_errors(df, "run_manifest")).first()[0] == ["status is none of completed, failed, in_progress, pending", "stages_completed has a blank item", "artifacts: checksum_sha256 is required", "artifacts: size_bytes is negative"]
+    df = spark.createDataFrame([("t", "i", [], "q")], "id string, intent string, nl_templates array<string>, ads_query_template string")
+    assert df.select(validate.record_errors(df, "template")).first()[0] == ["nl_templates is empty", "slots is required", "constraints is required"]
+    df = spark.createDataFrame([(-1, 1.5)], "sources_count int, backend_pass_rate double")
+    e = df.select(validate.record_errors(df, "report")).first()[0]
+    assert e[0] == "sources_count is negative" and "backend_pass_rate is outside 0 to 1" in e and "topics_count is required" in e
