@@ -42,6 +42,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 #: So many ids (8 bytes each) are broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 400_000
+#: So many buckets with the numbers of their blocks that have strays are broadcast at most.
+BROADCAST_BUCKETS = 50_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -254,7 +256,8 @@ def _graph(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = named.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     named = store(named.select("band", "key", "node", "component", "stray", "parts", "blk"), "named")
     strays = named.where("stray").groupBy("band", "key").agg(F.collect_set("blk").alias("astray"))  # a number for each block with one
-    named = named.join(strays, ["band", "key"])
+    strays = store(strays, "strays", slim=True)
+    named = named.join(F.broadcast(strays) if strays.count() <= BROADCAST_BUCKETS else strays, ["band", "key"])
     meets = F.when(F.array_contains("astray", F.col("blk")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.col("astray"))
     named = named.withColumn("other", F.explode(meets))
     named = named.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "node", "component", "stray")
