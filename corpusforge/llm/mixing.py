@@ -56,13 +56,15 @@ def _classed(docs: DataFrame, topic) -> DataFrame:
     )
 
 
-def _targets(x: DataFrame, d: str, given: dict[str, float] | None, temper: float) -> DataFrame:
-    """``d, t_d``: the targets of the classes of one dimension, which add up to 1."""
+def _targets(x: DataFrame, d: str, given: dict[str, float] | None, temper: float, few: bool) -> DataFrame:
+    """``d, t_d``: the targets of the classes of one dimension, which add up to 1; a ``few`` have one window."""
     shares = x.groupBy(d).agg(F.sum("weight").alias("m"))
     if given is None:
-        shares = shares.select(d, F.pow("m", F.lit(temper)).alias("m"), F.lit(1).alias("one"))
-        total = shares.groupBy("one").agg(F.sum("m").alias("total"))  # one row
-        return shares.join(F.broadcast(total), "one").select(d, (F.col("m") / F.col("total")).alias(f"t_{d}"))
+        shares = shares.select(d, F.pow("m", F.lit(temper)).alias("m"))
+        if few:
+            return shares.select(d, (F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).alias(f"t_{d}"))
+        shares = store(shares, "shares", slim=True)
+        return shares.select(d, (F.col("m") / F.lit(shares.agg(F.sum("m")).first()[0])).alias(f"t_{d}"))
     if abs(sum(given.values()) - 1) > FEASIBLE or min(given.values()) < 0:
         raise ValueError(f"targets of {d} must be shares that add up to 1")
     wanted = x.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{d} string, t_{d} double")
@@ -86,7 +88,7 @@ def rake(cells: DataFrame, rounds: int = MOST_ROUNDS, temper: dict[str, float] =
     few = count <= BROADCAST_CELLS
     start = x = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for d in DIMENSIONS:
-        t = _targets(start, d, (targets or {}).get(d), temper[d])
+        t = _targets(start, d, (targets or {}).get(d), temper[d], few)
         x = x.join(F.broadcast(t) if few else t, d)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     done, residual, before, most = 0, 1.0, float("inf"), None
