@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators._stored import store
+from . import archives
+
 PAIR = "natural_language string, ads_query string, category string, operator string, llm_score int"
 CHAT = "messages array<struct<role:string,content:string>>"
 TOPIC = "id string, label string, aliases array<string>, parents array<string>, children array<string>, source_id string, domain_tags array<string>, source_vocabulary string"
@@ -92,7 +95,7 @@ def undefined_slots(template, names):
 
 
 def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """``s, p, o`` of N-Triples lines (S11); Turtle has to be converted first."""
+    """``s, p, o`` of N-Triples lines (S11); for Turtle see ``archives.turtle``."""
     x = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     pattern = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"\S*)\s*\.\s*$'
     part = lambda i: F.regexp_extract("value", pattern, i)
@@ -130,15 +133,17 @@ def parse_dbf(content: bytes, encoding: str = "utf-8") -> list[dict[str, str]]:
 
 
 def variant_tree(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``key, parent, name, depth`` of a JSON list of nested ``{kind: name, children: [...]}`` (S8, S10): each level is one explode."""
-    x = spark.read.text(path, wholetext=True)
+    """``key, parent, name, depth`` of JSON lists of nested ``{kind: name, children: [...]}`` (S8, S10), in files, folders or
+    archives: each level is one explode, to the last one."""
+    x = store(archives.texts(spark, path, ".json"), "tree-files")
     level = x.select(F.explode(F.from_json("value", "array<string>")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     out = None
-    for _ in range(64):
+    while True:
         named = level.select(F.get_json_object("node", f"$.{kind}").alias("name"), "parent", "depth", "node").withColumn("key", F.concat_ws("/", "parent", "name"))
         rows = named.select("key", "parent", "name", "depth")
         out = rows if out is None else out.unionByName(rows)
         level = named.select(F.explode(F.from_json(F.get_json_object("node", "$.children"), "array<string>")).alias("node"), F.col("key").alias("parent"), (F.col("depth") + 1).alias("depth"))
+        level = store(level, "tree-level")
         if level.isEmpty():
             break
     return out

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.plans.stages import Runner
-from corpusforge.sources import readers, sinks
+from corpusforge.sources import config, readers, sinks
 from corpusforge.streaming import streams
 
 
@@ -150,3 +150,78 @@ def test_registry_metrics_and_catalogs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 4
     runs = spark.createDataFrame([("a", (50, 49, 20)), ("b", (0, 0, 0))], "id string, summary struct<total:int,valid:int,exact:int>")
     assert [tuple(r) for r in config.run_summary(runs).orderBy("id").collect()] == [("a", 50, 98.0, 40.0, "pass"), ("b", 0, 0.0, 0.0, "fail")]
+
+
+def test_archives_and_folders(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    tree = json.dumps([{"label": "A", "children": [{"label": "B"}]}])
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "e" / "x.json").write_text(tree)
+    (tmp_path / "d" / "readme.txt").write_text("no")
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("in/x.json", tree)
+        z.writestr("in/readme.txt", "no")
+    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("in/x.json")
+        info.size = len(tree)
+        t.addfile(info, io.BytesIO(tree.encode()))
+    for path in ("d", "x.zip", "x.tar.gz"):
+        assert sorted((r.key, r.depth) for r in readers.variant_tree(spark, str(tmp_path / path), "label").collect()) == [("A", 0), ("A/B", 1)]
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("r.json", json.dumps([{"id": "https://ror.org/1", "status": "active", "name": "N", "aliases": ["M"], "country": {"country_name": "X"}}]))
+    got = config.registry_records(spark, str(tmp_path / "r.zip")).collect()
+    assert [(r.id, [n["value"] for n in r.names], r.country) for r in got] == [("https://ror.org/1", ["N", "M"], "X")]
+
+
+def test_turtle(spark, tmp_path):
+    from corpusforge.sources import archives
+
+    text = """@prefix ex: <http://example.org/x/> . @base <http://base/> .
+PREFIX skos: <http://skos/>  # a comment . with ; signs
+ex:Rock a ex:Class ; skos:prefLabel "rock \\"hard\\""@en , 'x' ;
+  ex:note \"\"\"two
+lines\"\"\"^^ex:text ; ex:part [ ex:name "p" ; ex:size 1.5 ] .
+<Other> ex:near ex:Rock, _:n1 .
+"""
+    text = text.replace(", 'x'", "")
+    (tmp_path / "o.ttl").write_text(text)
+    got = sorted(map(tuple, archives.turtle(spark, str(tmp_path / "o.ttl")).collect()))
+    x = "http://example.org/x/"
+    assert got == sorted([(f"{x}Rock", archives._TYPE, f"{x}Class"), (f"{x}Rock", "http://skos/prefLabel", 'rock "hard"'), (f"{x}Rock", f"{x}note", "two\nlines"), (f"{x}Rock", f"{x}part", "_:b1"), ("_:b1", f"{x}name", "p"), ("_:b1", f"{x}size", "1.5"), ("http://base/Other", f"{x}near", f"{x}Rock"), ("http://base/Other", f"{x}near", "_:n1")])
+    with pytest.raises(ValueError, match="prefix"):
+        list(archives.parse_turtle("un:known a un:x ."))
+
+
+def test_conditional_download_and_clone(tmp_path):
+    import subprocess
+
+    asked = []
+
+    def transport(url, headers):
+        asked.append(headers)
+        return (304, {}, ()) if headers.get("If-None-Match") == '"1"' else (200, {"ETag": '"1"'}, [b"ab", b"c"])
+
+    source = config.Source("v", "http", "http://x.org/v.json?x=1")
+    a = config.fetch(source, str(tmp_path / "out"), transport=transport)
+    b = config.fetch(source, str(tmp_path / "out"), a, transport)
+    assert (a["cached"], b["cached"], asked) == (False, True, [{}, {"If-None-Match": '"1"'}]) and open(a["path"]).read() == "abc" and a["path"].endswith("v.json")
+    with pytest.raises(ValueError, match="checksum"):
+        config.fetch(config.Source("w", "http", source.url, checksum="0"), str(tmp_path / "out"), transport=transport)
+    with pytest.raises(ValueError, match="status 500"):
+        config.fetch(source, str(tmp_path / "new"), transport=lambda u, h: (500, {}, ()))
+    repo = tmp_path / "repo"
+    run = lambda *args: subprocess.run(["git", "-C", str(repo), "-c", "user.name=x", "-c", "user.email=x@x.org", *args], check=True, capture_output=True, text=True).stdout.strip()
+    repo.mkdir()
+    run("init", "-q")
+    commits = []
+    for text in ("one", "two"):
+        (repo / "f").write_text(text)
+        run("add", "f")
+        run("commit", "-qm", text)
+        commits.append(run("rev-parse", "HEAD"))
+    source = config.Source("g", "git", f"file://{repo}")
+    got = [config.checkout(source, str(tmp_path / "clones"), r)["commit"] for r in (None, commits[0], None)]
+    assert got == [commits[1], commits[0], commits[1]] and (tmp_path / "clones" / "g" / "f").read_text() == "two"
