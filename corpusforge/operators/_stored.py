@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -25,3 +29,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` for a join: broadcast if it has been counted and is small, else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

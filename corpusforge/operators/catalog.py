@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import concept_id, path_id, safe_double
-from ._stored import store
+from ._stored import beside, store
 
 _NONE = "cast(array() as array<string>)"
 
@@ -95,6 +95,6 @@ def classify_entries(entries: DataFrame, stopwords: list[str], common: DataFrame
     """``entries`` with ``reason`` (F17): too short, stopword, frequent single word, or kept; ``borderline``
     for kept labels of four to six letters. ``common (word)`` is the table of frequent words."""
     x = entries.withColumn("_l", F.lower(F.trim("label")))
-    x = x.join(F.broadcast(common.select(F.lower("word").alias("_l"), F.lit(True).alias("_c")).distinct()), "_l", "left")
+    x = x.join(beside(common.select(F.lower("word").alias("_l"), F.lit(True).alias("_c")).distinct()), "_l", "left")
     reason = F.when(F.length("_l") < 4, "too_short").when(F.col("_l").isin(*stopwords), "stopword").when(F.coalesce("_c", F.lit(False)), "high_frequency").otherwise("kept")
     return x.withColumn("reason", reason).withColumn("borderline", (F.col("reason") == "kept") & F.length("_l").between(4, 6)).drop("_l", "_c")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import hash_uniform
+from ._stored import BROADCAST_ROWS, beside
 from .curate import keep_first, mixed_radix
 
 
@@ -36,14 +37,15 @@ def render(combos: DataFrame, nl: str, query: str, slots: list[str]) -> DataFram
 
 
 def join_templates(inputs: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(matched, unmatched)`` inputs by ``template_id`` (J4); templates are configuration and are broadcast."""
-    t = F.broadcast(templates)
-    return inputs.join(t, "template_id"), inputs.join(t.select("template_id"), "template_id", "left_anti")
+    """``(matched, unmatched)`` inputs by ``template_id``."""
+    return inputs.join(beside(templates), "template_id"), inputs.join(beside(templates.select("template_id")), "template_id", "left_anti")
 
 
 def round_robin(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Each left row with the right row number ``i mod n`` (W16). The right side is a short list."""
+    """Each left row with the right row number ``i mod n`` (W16). The right side is a short list, which is counted."""
     n = right.count()
+    if n > BROADCAST_ROWS:
+        raise ValueError(f"{n} rows are no short list")
     r = right.withColumn("_i", F.row_number().over(Window.orderBy(right_order)) - 1)
     buckets = left.withColumn("_i", F.pmod(F.col(left_order), F.lit(n)))
     return buckets.join(F.broadcast(r), "_i").drop("_i")

@@ -20,6 +20,15 @@ def dataset_stats(sets: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts(tables: dict[str, DataFrame], sums: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """``measure, n``: the rows of each table, and the sums of a column of others."""
+    out = None
+    for name, df, n in [*((k, v, F.count(F.lit(1))) for k, v in tables.items()), *((k, v, F.coalesce(F.sum(c), F.lit(0))) for k, (v, c) in (sums or {}).items())]:
+        one = df.agg(n.cast("long").alias("n")).select(F.lit(name).alias("measure"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def quality_report(pairs: DataFrame, query: str = "ads_query") -> DataFrame:
     """``measure, n``: examples, sound ones, errors, wrong values and bare text values."""
     q = F.col(query)

@@ -99,12 +99,10 @@ def coverage_audit(spark, sf):
     rows = [(f, v, v.lower()) for f in ("doctype", "property", "bibgroup") for v in sorted(set(vocab.ENUMS[f]))]
     known = spark.createDataFrame(rows, "field string, value string, low string")
     x = base.faulty(spark, sf)
-    used = None
-    for f in ("doctype", "property", "bibgroup"):
-        part = x.select(F.lit(f).alias("field"), F.explode(F.transform(qlang.enum_values(F.col("ads_query"), f), lambda v: F.lower(v))).alias("low"))
-        used = part if used is None else used.unionByName(part)
+    values = lambda f: F.transform(qlang.enum_values(F.col("ads_query"), f), lambda v: F.struct(F.lit(f).alias("field"), F.lower(v).alias("low")))
+    used = x.select(F.inline(F.concat(*[values(f) for f in ("doctype", "property", "bibgroup")])))
     used = used.groupBy("field", "low").agg(F.count(F.lit(1)).alias("n"))
-    out = F.broadcast(known).join(used, ["field", "low"], "full")
+    out = known.join(used, ["field", "low"], "full")
     state = F.when(F.col("value").isNull(), "unknown").when(F.col("n").isNull(), "unused").otherwise("used")
     return out.select("field", F.coalesce("value", "low").alias("value"), state.alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -11,7 +11,8 @@ import json
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 Stage = Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
 
@@ -57,11 +58,12 @@ class Runner:
             started = datetime.now(UTC).isoformat()
             self._mark(name, status="running", started_at=started)
             try:
-                stage(self.spark, have).write.mode("overwrite").parquet(path)
+                seen = Observation()
+                stage(self.spark, have).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
             except Exception as e:
                 self._mark(name, status="failed", started_at=started, error=str(e)[:500])
                 raise
             have[name] = self.spark.read.parquet(path)
-            self._mark(name, status="completed", started_at=started, completed_at=datetime.now(UTC).isoformat(), rows=have[name].count())
+            self._mark(name, status="completed", started_at=started, completed_at=datetime.now(UTC).isoformat(), rows=seen.get["rows"])
             out.append(self.marker(name))
         return out

@@ -225,3 +225,33 @@ def test_conditional_download_and_clone(tmp_path):
     source = config.Source("g", "git", f"file://{repo}")
     got = [config.checkout(source, str(tmp_path / "clones"), r)["commit"] for r in (None, commits[0], None)]
     assert got == [commits[1], commits[0], commits[1]] and (tmp_path / "clones" / "g" / "f").read_text() == "two"
+
+
+PLAN = [("one", lambda spark, have: spark.range(3)), ("two", lambda spark, have: have["one"].selectExpr("id + 1 AS id"))]
+
+
+def test_command_line(spark, sf, tmp_path, capsys, monkeypatch):
+    import os
+
+    from corpusforge.__main__ import main
+
+    monkeypatch.syspath_prepend(os.path.dirname(__file__))
+    assert main(["list-queries"]) == 0 and "bm25_topk" in capsys.readouterr().out.split()
+    assert main(["query", "category_distribution", sf, "--out", str(tmp_path / "q")]) == 0 and spark.read.parquet(str(tmp_path / "q")).count() == 4
+    assert main(["query", "nothing", sf]) == 2
+    capsys.readouterr()
+    assert main(["run", "test_io:PLAN", str(tmp_path / "r"), "--last", "one"]) == 0
+    assert main(["list-stages", "test_io:PLAN", str(tmp_path / "r")]) == 0
+    assert capsys.readouterr().out.split("\n")[-3:-1] == ["one completed", "two pending"]
+    assert main(["run", "test_io:PLAN", str(tmp_path / "r")]) == 0
+    assert [json.loads(line)["rows"] for line in capsys.readouterr().out.strip().split("\n")] == [3, 3]
+
+
+def test_short_lists_only_are_dealt_around(spark, monkeypatch):
+    from corpusforge.operators import generate
+
+    left, right = spark.range(5).withColumnRenamed("id", "i"), spark.createDataFrame([("a", 1), ("b", 2)], "v string, k int")
+    assert [r.v for r in generate.round_robin(left, right, "i", "k").orderBy("i").collect()] == ["a", "b", "a", "b", "a"]
+    monkeypatch.setattr(generate, "BROADCAST_ROWS", 1)
+    with pytest.raises(ValueError, match="short list"):
+        generate.round_robin(left, right, "i", "k")
