@@ -374,11 +374,11 @@ def strip_marks(text: str | None) -> str | None:
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:[^>]*)?>", re.S)
 
 
-def clean_with_map(text: str) -> tuple[str, list[int]]:
+def clean_with_map(text: str, collapse: bool = True) -> tuple[str, list[int]]:
     """(clean text, for each of its characters the place in ``text`` that it comes from).
 
     Tags go, entities are decoded, runs of blanks become one, the ends are trimmed; the
-    map follows all of these."""
+    map follows all of these. Without ``collapse`` blanks stay as they are."""
     chars: list[str] = []
     places: list[int] = []
     i = 0
@@ -390,20 +390,25 @@ def clean_with_map(text: str) -> tuple[str, list[int]]:
         if piece == "&" and (m := re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);").match(text, i)):
             piece, step = html.unescape(m[0]), len(m[0])
         for c in piece:
-            if c in " \t" and chars and chars[-1] == " ":
+            if collapse and c in " \t" and chars and chars[-1] == " ":
                 continue
-            chars.append(" " if c in " \t" else c)
+            chars.append(" " if collapse and c in " \t" else c)
             places.append(i)
         i += step
     joined = "".join(chars)
+    if not collapse:
+        return joined, places
     lead = len(joined) - len(joined.lstrip())
     kept = joined.strip()
     return kept, places[lead : lead + len(kept)]
 
 
-def remap_spans(text: str, spans: list[dict]) -> tuple[str, list[dict]]:
-    """Spans of a marked-up text moved to its clean text; those that vanish go."""
+def remap_spans(text: str, spans: list[dict], parity: bool = False) -> tuple[str, list[dict]]:
+    """Spans of a marked-up text moved to its clean text; those that vanish go (X12). With ``parity`` places count blanks
+    that the clean text has lost, as a map made before cleaning does (G9)."""
     clean, places = clean_with_map(text)
+    if parity:
+        places = clean_with_map(text, collapse=False)[1]
     out = []
     for s in spans or []:
         inside = [k for k, p in enumerate(places) if s["start"] <= p < s["end"]]

@@ -44,8 +44,9 @@ def _words(x: Column) -> Column:
     return F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
 
 
-def problems(nl: Column, query: Column) -> Column:
-    """``issue, severity`` of each curation check that a pair fails."""
+def problems(nl: Column, query: Column, whole_years: bool = False) -> Column:
+    """``issue, severity`` of each curation check that a pair fails (F14). Years that only the query has are compared
+    by century, as the checks were first run; with ``whole_years`` by all four digits (G13)."""
     inside = F.regexp_extract(query, r"abs:\s*\(([^)]+)\)", 1)
     plain_long = (F.length(inside) > 50) & ~inside.rlike(r"\b(OR|AND)\b")
     titled = inside.rlike(r"^(The|A|An)\s+\w+") | inside.rlike(r"\b(of|in|for|with|from|by|on|to)\s+the\b") | inside.rlike(r"^[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Z][a-z]+")
@@ -55,7 +56,7 @@ def problems(nl: Column, query: Column) -> Column:
         ws = _words(p)
         return (F.size(ws) > 3) | ((F.size(ws) == 2) & F.exists(ws, lambda w: F.lower(w).isin(*GENERIC)))
 
-    years = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(19|20)\d{2}\b"), F.lit(1)))
+    years = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b((19|20)\d{2})\b"), F.lit(1 if whole_years else 2)))
     quoted, grouped = F.regexp_extract(query, r'abs:\s*"([^"]+)"', 1), inside
     loose = lambda c: (F.size(_words(c)) >= 3) & ~c.rlike(r"(?i)\b(OR|AND|NOT)\b")
     checks = [

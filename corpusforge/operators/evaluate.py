@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import qlang
 from .stats import prf
+from .validate import invalid_values
 
 
 def exact_matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -83,3 +85,22 @@ def annotation_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def running_rank(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(value))))
+
+
+def case_passed(query: Column, behaviour: Column, expected: Column, forbidden: Column) -> Column:
+    """Whether an answer to a golden case is as it should be (Z20): without forbidden pieces, or as the expected behaviour
+    asks, or, where a query is expected, sound and with allowed values only. A case that expects nothing fails."""
+    sound, values_ok = F.size(qlang.lint(query)) == 0, F.size(invalid_values(query)) == 0
+    n_calls = F.size(qlang.calls(query))
+    count = lambda c: F.length(query) - F.length(F.replace(query, F.lit(c), F.lit("")))
+    as_asked = (
+        F.when(behaviour == "no_operator", sound & (n_calls == 0))
+        .when(behaviour == "single_operator", sound & (n_calls <= 1))
+        .when(behaviour == "valid_response", sound | ~query.startswith("ERROR"))
+        .when(behaviour == "balanced_parens", sound & (count("(") == count(")")))
+        .when(behaviour.isin("valid_database_only", "valid_property_only"), sound & values_ok)
+        .otherwise(sound)
+    )
+    clean = F.size(qlang.forbidden_found(query, forbidden)) == 0
+    passed = F.when(F.size(forbidden) > 0, clean & sound).when(F.coalesce(behaviour, F.lit("")) != "", as_asked).when(F.coalesce(expected, F.lit("")) != "", sound & values_ok)
+    return F.coalesce(passed, F.lit(False))

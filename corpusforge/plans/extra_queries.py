@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import qlang
-from ..operators import alias, catalog, generate, link, records, reports, retrieval
+from ..operators import alias, catalog, curate, evaluate, generate, link, records, reports, retrieval
 from . import base
 from .base import FAULTY_SQL, PAIRS_SQL, table
+from .pair_queries import _LINT_SQL
 from .span_queries import _entries
 from .text_queries import _STRIP
 
@@ -141,7 +142,36 @@ _BUILD_SQL = """WITH e AS (SELECT count(DISTINCT p_name) AS n FROM part), t AS (
   SELECT unnest(['entries', 'snippets', 'pairs', 'tree', 'aliases', 'levels']) AS measure, unnest([e.n, e.n, 2 * e.n, t.n + u.n, e.n, u.n])::BIGINT AS n FROM e, t, u"""
 
 
+def golden_cases(spark, sf):
+    """Golden cases by expected behaviour, and how many the faulty queries pass."""
+    k, none = F.col("id"), F.expr("cast(array() as array<string>)")
+    kinds = ("no_operator", "single_operator", "valid_response", "passthrough", "balanced_parens", "ambiguous", "valid_property_only")
+    behaviour = F.get(F.array(*[F.lit(v) for v in kinds]), (k % 8).cast("int"))
+    forbidden = F.when(k % 13 == 0, F.array(F.lit("FOO:"), F.lit("(abs:x"))).otherwise(none)
+    x = base.faulty(spark, sf).select(F.when(k % 13 == 0, "forbidden").otherwise(F.coalesce(behaviour, F.lit("query"))).alias("behaviour"), evaluate.case_passed(F.col("ads_query"), behaviour, F.lit("x"), forbidden).alias("passed"))
+    return x.groupBy("behaviour").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("passed").cast("long")).alias("passed"))
+
+
+_GOLDEN_SQL = (
+    _LINT_SQL
+    + """, c AS (SELECT e.id, len(errors) = 0 AS ok, id % 11 IN (5, 7) AS wrong, operator IS NOT NULL AS called FROM e JOIN intents USING (id)),
+  g AS (SELECT CASE WHEN id % 13 = 0 THEN 'forbidden' ELSE coalesce(['no_operator', 'single_operator', 'valid_response', 'passthrough', 'balanced_parens', 'ambiguous', 'valid_property_only'][id % 8 + 1], 'query') END AS behaviour, * FROM c)
+  SELECT behaviour, count(*) AS n, sum((CASE behaviour WHEN 'forbidden' THEN ok AND id % 11 NOT IN (2, 6) WHEN 'no_operator' THEN ok AND NOT called WHEN 'valid_response' THEN true WHEN 'valid_property_only' THEN ok AND NOT wrong WHEN 'query' THEN ok AND NOT wrong ELSE ok END)::INTEGER)::BIGINT AS passed
+  FROM g GROUP BY behaviour"""
+)
+
+
+def curate_years(spark, sf):
+    """Pairs whose query names years that the request doesn't, by century and by year."""
+    p = base.pairs(spark, sf)
+    over = lambda whole: F.exists(curate.problems(F.col("natural_language"), F.col("ads_query"), whole), lambda i: i["issue"] == "over_inference")
+    return p.groupBy(over(False).alias("by_century"), over(True).alias("by_year")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "golden_cases": (golden_cases, _GOLDEN_SQL),
+    # A request names the first year of a range that ends two years later.
+    "curate_years": (curate_years, "WITH " + PAIRS_SQL + " SELECT y < 2000 AND y + 2 >= 2000 AS by_century, true AS by_year, count(*) AS n FROM intents GROUP BY ALL"),
     "pair_label_records": (pair_label_records, _LABELLED_SQL),
     "parsed_abstracts": (parsed_abstracts, _ABSTRACTS_SQL),
     "syntax_findings": (syntax_findings, _FINDINGS_SQL),

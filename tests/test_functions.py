@@ -391,3 +391,10 @@ def test_all_record_types_have_rules(spark):
     df = spark.createDataFrame([(-1, 1.5)], "sources_count int, backend_pass_rate double")
     e = df.select(validate.record_errors(df, "report")).first()[0]
     assert e[0] == "sources_count is negative" and "backend_pass_rate is outside 0 to 1" in e and "topics_count is required" in e
+
+
+def test_moved_spans_with_and_without_parity():
+    text = "<p>a  <b>bc</b> &amp;  dé</p>"
+    spans = [{"start": text.index("dé"), "end": text.index("dé") + 2, "type": "topic"}]
+    assert udfs.remap_spans(text, spans) == ("a bc & dé", [{"start": 7, "end": 9, "type": "topic", "surface": "dé"}])
+    assert udfs.remap_spans(text, spans, parity=True)[1][0]["start"] == 9  # two lost blanks further on
