@@ -41,7 +41,7 @@ def layout(text: Column) -> Column:
     return F.when(text.contains(" | "), "table").when(text.rlike(r"[*#&$%]{3}"), "decorated").when(text.contains("!! "), "shouting").otherwise("prose")
 
 
-def _classed(docs: DataFrame, topic) -> DataFrame:
+def _classed(docs: DataFrame, topic=layout) -> DataFrame:
     """``docs`` with the columns ``_source, _lang, _topic, _tokens, _draw``."""
     text, key = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digest = F.md5(F.concat_ws(":", F.lit("mix"), key, text).cast("binary"))
@@ -74,7 +74,12 @@ def _targets(x: DataFrame, d: str, given: dict[str, float] | None, temper: float
     return shares.join(wanted, d, "left").select(d, F.coalesce(f"t_{d}", F.lit(0.0)).alias(f"t_{d}"))
 
 
-def rake(cells: DataFrame, rounds: int = MOST_ROUNDS, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, rounds: int = MOST_ROUNDS, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``raked`` without the residual."""
+    return raked(cells, rounds, temper, targets)[0]
+
+
+def raked(cells: DataFrame, rounds: int = MOST_ROUNDS, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, float]:
     """``cells (source, lang, topic, tokens)`` with ``weight`` and ``prob``, and the residual: how far the worst
     marginal was from its target before the last round.
 
@@ -116,16 +121,16 @@ def _weighed(x: DataFrame, rounds: int, temper: dict[str, float], targets) -> Da
     """``_source, _lang, _topic, _weight, _prob`` of the cells of ``x``; for a join by broadcast if they are few."""
     own = [f"_{d}" for d in DIMENSIONS]
     cells = x.groupBy(*[F.col(c).alias(d) for c, d in zip(own, DIMENSIONS, strict=True)]).agg(F.sum("_tokens").alias("tokens"))
-    raked, _ = rake(cells, rounds, temper, targets)
-    raked = raked.select(*[F.col(d).alias(c) for c, d in zip(own, DIMENSIONS, strict=True)], F.col("weight").alias("_weight"), F.col("prob").alias("_prob"))
-    return F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
+    x = rake(cells, rounds, temper, targets)
+    x = x.select(*[F.col(d).alias(c) for c, d in zip(own, DIMENSIONS, strict=True)], F.col("weight").alias("_weight"), F.col("prob").alias("_prob"))
+    return F.broadcast(x) if x.count() <= BROADCAST_CELLS else x
 
 
 def mix(docs: DataFrame, rounds: int = MOST_ROUNDS, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None, topic=layout) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, prob, sampled`` for every row of
     ``docs (doc_id, text, lang, source)``.
 
-    ``targets`` are as for ``rake``; ``topic`` makes a text's Column its topic's. A null source, language
+    ``targets`` are as for ``raked``; ``topic`` makes a text's Column its topic's. A null source, language
     or topic is the class ``(none)``. A null or empty text has no tokens; if its
     cell has none at all, it is kept. The draw is a hash of doc_id and text: the same rows are
     drawn alike. An empty table stays empty; further columns are not read. Texts are read once: their cell, tokens

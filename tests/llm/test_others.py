@@ -372,7 +372,7 @@ def test_mixing_meets_given_targets(spark):
         mixing.rake(cells, targets={"source": {"a": 0.5, "z": 0.5}})
     with pytest.raises(ValueError, match="add up"):
         mixing.rake(cells, targets={"source": {"a": 0.5, "b": 0.6}})
-    raked, residual = mixing.rake(cells, temper={"source": 0.5, "lang": 1.0, "topic": 1.0})
+    raked, residual = mixing.raked(cells, temper={"source": 0.5, "lang": 1.0, "topic": 1.0})
     assert residual < 1e-12 and abs(sum(x.weight for x in raked.collect()) - 1) < 1e-9
     other = mixing.mix(df, topic=lambda text: F.substring(text, 1, 1)).select("topic").distinct().collect()
     assert {x.topic for x in other} == {"w"}
