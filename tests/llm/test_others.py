@@ -427,3 +427,76 @@ def test_slack_lets_fewer_rows_move():
         a, b = places(8, slack), places(9, slack)
         assert sum(a[k] != b[k] for k in a) / total < most
         assert max(np.bincount(list(b.values()))) <= math.ceil(total * (1 + slack) / 9)
+
+
+def plain_mix(rows):
+    """doc_ids that raking and the hash draw keep, by plain loops over the cells."""
+    layout = lambda t: "table" if " | " in t else "decorated" if re.search(r"[*#&$%]{3}", t) else "shouting" if "!! " in t else "prose"
+    cell = {i: (source, lang, layout(t)) for i, t, lang, source in rows}
+    tokens = {}
+    for i, t, *_ in rows:
+        tokens[cell[i]] = tokens.get(cell[i], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    total = sum(tokens.values())
+    weight = {c: n / total for c, n in tokens.items()}
+    margin = lambda d: {v: sum(w for c, w in weight.items() if c[d] == v) for v in {c[d] for c in weight}}
+    targets = []
+    for d, power in enumerate((0.8, 0.8, 1.0)):
+        m = {v: w**power for v, w in margin(d).items()}
+        targets.append({v: w / sum(m.values()) for v, w in m.items()})
+    for _ in range(32):
+        for d in range(3):
+            m = margin(d)
+            weight = {c: w * targets[d][c[d]] / m[c[d]] if m[c[d]] else 0.0 for c, w in weight.items()}
+    ratio = {c: weight[c] / n for c, n in tokens.items() if n}
+    draw = lambda i, t: int(hashlib.md5(f"mix:{i}:{t}".encode()).hexdigest()[:12], 16) / 2**48
+    return {i for i, t, *_ in rows if draw(i, t) < ratio.get(cell[i], max(ratio.values())) / max(ratio.values())}
+
+
+def test_pipeline_matches_a_plain_one(spark, tmp_path):
+    """Each stage against loops over its input, on documents with toxic ones, copies and benchmark passages."""
+    import corpus_pipeline
+    from test_copies import brute_groups
+
+    from corpusforge.llm import toxicity
+    from corpusforge.llm._common import remainder
+
+    r = random.Random(21)
+    words = [a + b for a in ("ka", "lo", "mi", "ne", "su", "tor") for b in ("da", "fen", "gul", "pra", "x", "zim")]
+    bench = [(i, " ".join(r.choices(words, k=14))) for i in range(6)]
+    rows, labels = [], []
+    for i in range(420):
+        ws = r.choices(words, k=r.randrange(15, 60))
+        toxic = i % 5 == 1
+        if toxic:
+            for _ in range(6):
+                ws[r.randrange(len(ws))] = r.choice(["vileword", "grimword", "foulword"])
+        if i % 17 == 2:
+            ws[4:4] = bench[i % 6][1].split()
+        if i % 11 == 3:
+            ws.insert(3, "|")
+        rows.append((i, " ".join(ws), r.choice(["en", "en", "de"]), r.choice(["a", "a", "b", "c"])))
+        labels.append((i, 1, int(toxic)))
+    rows += [(500 + k, rows[k * 9][1] + (" more" if k % 2 else ""), "en", "a") for k in range(30)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, marks.where(remainder("doc_id", 5) != 0))
+    score = lambda t: model.score(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    left = [x for x in rows if score(x[1]) < 0.5]
+    counts = [len(rows), len(left)]
+    groups = brute_groups([x[:2] for x in left])
+    left = [x for x in left if groups[x[0]][2]]
+    counts.append(len(left))
+    hits = brute_hits([x[:2] for x in left], bench)
+    left = [x for x in left if hits[x[0]][1] == 0]
+    counts.append(len(left))
+    kept = plain_mix(left)
+    left = [x for x in left if x[0] in kept]
+    counts.append(len(left))
+    assert all(a > b for a, b in zip(counts, counts[1:])) and counts[-1] > 50
+    signed = spark.createDataFrame([x[:2] for x in left], "doc_id long, text string").select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(False), (F.octet_length("text") + 1).cast("long"), F.crc32(F.col("text").cast("binary"))).alias("key")).collect()
+    want = brute_ring([((x.key & (1 << 64) - 1) >> 48, x.key, x.doc_id) for x in signed], 8)
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {x.doc_id: (x.shard, x.slot) for x in got} == want
