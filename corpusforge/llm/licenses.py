@@ -254,11 +254,15 @@ def _confirmable(paragraph: Column, model: LicenceModel) -> Column:
     """Whether a paragraph holds enough pairs of any template."""
     marks = "|".join(marking_words([p for _, _, p in model.templates]))
     every = F.array(*[F.lit(q) for q in sorted(set().union(*(p for _, _, p in model.templates)))])
-    v = F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z0-9]+"), F.lit(0))
-    two = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(v, i + 1, F.lit(2))))
+    words = F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z0-9]+"), F.lit(0))
+
+    def two(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(v, i + 1, F.lit(2))))
+
     rows = json.dumps([{"p": sorted(p), "k": least_pairs(p)} for _, _, p in model.templates])
     templates = F.from_json(F.lit(rows), "array<struct<p:array<string>,k:int>>")
-    enough = F.exists(F.array(F.array_intersect(two, every)), lambda have: F.exists(templates, lambda t: F.size(F.array_intersect(have, t["p"])) >= t["k"]))
+    # The words are a variable, else they would be taken anew for each pair of a text.
+    enough = F.exists(F.array(words), lambda v: F.exists(F.array(F.array_intersect(two(v), every)), lambda have: F.exists(templates, lambda t: F.size(F.array_intersect(have, t["p"])) >= t["k"])))
     return F.when(F.lower(paragraph).rlike(f"(?<![a-z0-9])(?:{marks})(?![a-z0-9])"), enough).otherwise(False)
 
 
