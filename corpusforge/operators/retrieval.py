@@ -55,10 +55,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     have = store(have.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi"), "postings")
     n_docs, avg_tokens = F.lit(seen.get["n"]), F.lit(max(seen.get["avg"] or 0.0, 1.0))
     df = document_frequency(have)
-    weighed = wanted.join(F.broadcast(df) if small else df, "token")
+    weighed = wanted.join(F.broadcast(df) if small else df, "token").select("query_id", "token", idf(n_docs, F.col("df")).alias("idf"))
+    # A token counts once in a document, so a pair's score is the sum of its tokens' idf by the document's own length.
     hits = have.join(F.broadcast(weighed) if small else weighed, "token")
     norm = 1 + K1 * (1 - B + B * F.col("n_tokens") / avg_tokens)
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(idf(n_docs, F.col("df")) * (K1 + 1) / norm).alias("score"))
+    scored = hits.groupBy("query_id", "doc_id", "n_tokens").agg(F.sum("idf").alias("idf")).select("query_id", "doc_id", (F.col("idf") * (K1 + 1) / norm).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
