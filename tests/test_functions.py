@@ -398,3 +398,13 @@ def test_moved_spans_with_and_without_parity():
     spans = [{"start": text.index("dé"), "end": text.index("dé") + 2, "type": "topic"}]
     assert udfs.remap_spans(text, spans) == ("a bc & dé", [{"start": 7, "end": 9, "type": "topic", "surface": "dé"}])
     assert udfs.remap_spans(text, spans, parity=True)[1][0]["start"] == 9  # two lost blanks further on
+
+
+def test_trees_of_any_depth_and_cycles(spark):
+    from corpusforge.operators import catalog
+
+    chain = [(str(i), str(i - 1) if i else None, f"n {i}") for i in range(60)] + [("x", "nowhere", "lost"), ("y", "x", "lost too")]
+    got = {r.id: (r.depth, r.path_id) for r in catalog.tree_paths(spark, spark.createDataFrame(chain, "id string, parent string, name string")).collect()}
+    assert got == {str(i): (i, "/".join(f"n_{k}" for k in range(i + 1))) for i in range(60)}
+    with pytest.raises(ValueError, match="cycle"):
+        catalog.tree_paths(spark, spark.createDataFrame([("a", "b", "a"), ("b", "a", "b"), ("r", None, "r")], "id string, parent string, name string"))
