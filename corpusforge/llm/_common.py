@@ -106,6 +106,18 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 2
             i = min(j, n)
 
 
+def blocks(rows: DataFrame, most: int) -> Iterator[list]:
+    """The ``rows`` of a stored table in blocks of about ``most`` by their hashes, each on the driver in its turn only."""
+    many = -(-rows.count() // most)
+    if many <= 1:
+        yield rows.collect()
+        return
+    path = shared_dir(rows.sparkSession, "blocks")
+    rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns), F.lit(many)).cast("int")).repartition(min(many, 200), "_block").write.partitionBy("_block").parquet(path)
+    for b in range(many):
+        yield rows.sparkSession.read.schema(rows.schema.add("_block", "int")).parquet(path).where(F.col("_block") == b).collect()
+
+
 def crc32_utf8(col):
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 

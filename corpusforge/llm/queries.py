@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, minhash, mixing, mtree, sharding, substring, toxicity, warc
+from . import audit, decontaminate, langid, licenses, minhash, mixing, mtree, negatives, sharding, substring, toxicity, urlrules, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_top_k": mtree.query,
     "op9_license_scan": licenses.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_url_rules": urlrules.query,
+    "op12_filter_audit": audit.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +27,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing_weights": mixing.ORACLE_SQL,
     "op8_exact_top_k": mtree.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_url_rules": urlrules.ORACLE_SQL,
+    "op12_filter_audit": audit.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }

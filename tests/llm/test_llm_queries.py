@@ -15,6 +15,9 @@ COLUMNS = {
     "op6": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op8": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op10": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op11": "page_id bigint, host string, path string, rule string, verdict string",
+    "op12": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op13": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
@@ -33,7 +36,7 @@ def test_query(spark, sf, name):
         return
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = con.sql(ORACLE_SQL[name]).df()
     cols = sorted(df.columns)
