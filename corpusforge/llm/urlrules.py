@@ -66,7 +66,7 @@ def compiled(rules: DataFrame) -> DataFrame:
     x = x.withColumn("verdict", F.when(bad, F.raise_error(F.concat(F.lit("not a rule: "), F.col("host"), F.col("path"), F.lit(" "), F.coalesce("verdict", F.lit("null"))))).otherwise(F.col("verdict")))
     literal = lambda c: F.regexp_replace(c, f"([{_SEPARATORS}])", r"\\$1")
     host = F.when(F.col("host") == "", F.lit("[^/]*")).otherwise(F.concat(F.lit(r"(?:[^/]*\.)?"), literal(F.col("host"))))
-    path = F.when(F.col("path") == "", F.lit("(?![^/])")).otherwise(F.replace(literal(F.col("path")), F.lit(r"\*"), F.lit(".*")))
+    path = F.concat(F.lit("(?![^/])"), F.replace(literal(F.col("path")), F.lit(r"\*"), F.lit(".*")))
     # The host's end is the end of a token; the end of a path is not.
     text = F.concat("host", F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")))
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<=^|[{_PLAIN}]){TOKEN}(?=[{_PLAIN}])"), F.lit(0)))
