@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,8 +115,9 @@ def blocks(rows: DataFrame, most: int) -> Iterator[list]:
         return
     path = shared_dir(rows.sparkSession, "blocks")
     rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns), F.lit(many)).cast("int")).repartition(min(many, 200), "_block").write.partitionBy("_block").parquet(path)
+    schema = StructType([*rows.schema.fields, StructField("_block", IntegerType())])
     for b in range(many):
-        yield rows.sparkSession.read.schema(rows.schema.add("_block", "int")).parquet(path).where(F.col("_block") == b).collect()
+        yield rows.sparkSession.read.schema(schema).parquet(path).where(F.col("_block") == b).collect()
 
 
 def crc32_utf8(col):

@@ -9,7 +9,8 @@ page holds its vectors with their distances to the routing vector. A query takes
 page with the least possible distance from a heap; a page or vector whose stored distances
 already put it beyond the k-th best by the triangle inequality is passed over without
 computing its own. A task goes on from tree to tree with the best found so far and gives
-up only k rows a query. Scores are exact integers of any size. Queries are taken in blocks.
+up only k rows a query. Scores are exact integers of any size. Queries are taken in blocks; the rows
+found for one are written before the next is fetched.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_map, grouped, pick, store, table
+from ._common import arrow_map, blocks, grouped, pick, shared_dir, store, table
 
 K = 5
 #: Vectors of one M-tree at most, and at least where there are cores for more trees.
@@ -40,18 +41,18 @@ QUERY_EVERY = 50
 _SLACK, _MORE_SLACK = 1e-9, 1e-6
 _LONG = (1 << 63) - 1
 _PAGES = "route array<int>, radius array<double>, parent array<double>, kids_from array<int>, kids_to array<int>, rows_from array<int>, rows_to array<int>"
-_TREE = f"size int, shard int, ids array<long>, x array<double>, far array<double>, {_PAGES}"
-_FOUND = "query_id long, vec_id long, score long, key binary, pages long, distances long, avoided long"
+_TREE = f"size int, shard int, ids array<long>, copies array<long>, x array<double>, far array<double>, {_PAGES}"
+_FOUND = "query int, query_id long, copies long, vec_id long, score long, key binary, pages long, distances long, avoided long"
+_OUT = "query_id long, rank int, vec_id long, score long, pages long, distances long, avoided long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, x``: the vectors as doubles. Those that are null or hold null or
-    non-finite components, and rows without an id, are left out; of rows with one id the
-    least vector counts."""
+    """``vec_id, x, copies``: the vectors as doubles, equal rows as one with their number. Those that are null or
+    hold null or non-finite components, and rows without an id, are left out."""
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     ok = pick(vectors, "vec_id", "embedding").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    return ok.groupBy("vec_id").agg(F.min("x").alias("x"))
+    return ok.groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def _metric(y: np.ndarray) -> tuple[np.ndarray, float]:
 def build(ids: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """The pages of one M-tree over quantised vectors ``y``, and the ``order`` of rows in which
     those of a leaf lie together, by id."""
-    order = np.argsort(ids)
+    order = np.argsort(ids, kind="stable")
     metric, _ = _metric(y[order])
     pages: list[dict] = []
     rows_of: list[tuple[np.ndarray, np.ndarray]] = []
@@ -136,29 +137,31 @@ def build(ids: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class MTree:
-    """A tree over quantised vectors ``x``, open for searches: built, or from its stored pages. Counts
-    what searches read and what they passed over."""
+    """A tree over quantised vectors ``x``, open for searches: built, or from its stored pages, with the rows'
+    ``copies`` and unquantised vectors ``raw``. Counts what searches read and what they passed over."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pages: dict[str, np.ndarray] | None = None):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pages: dict[str, np.ndarray] | None = None, copies: np.ndarray | None = None, raw: np.ndarray | None = None):
         if pages is None:
             pages = build(ids, x)
             x = x[pages["order"]]
-        self.t, self.ids, self.x = pages, pages["ids"], x
+        self.t, self.ids, self.x, self.raw = pages, pages["ids"], x, raw
+        self.copies = np.ones(len(x), np.int64) if copies is None else copies
         self.metric, self.top = _metric(x)
         self.slack = (_SLACK if x.dtype != object else _MORE_SLACK) * (1 + 4 * self.top) ** 0.5 + 1e-6
         #: For each leaf page its rows and their distances to the routing vector.
         self.rows = [(np.arange(lo, hi), pages["far"][lo:hi]) if hi else None for lo, hi in zip(pages["rows_from"], pages["rows_to"], strict=True)]
         self.pages = self.distances = self.avoided = 0
 
-    def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-        """The ``k`` best (score, vec_id), ties to the smaller id, without ``own``. ``best``, what other trees
+    def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]] | None = None, raw: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """The ``k`` best (score, vec_id), ties to the smaller id, without the query's own row: that of the id ``own``
+        and the vector ``raw``, or all with that id if no vector is given. ``best``, what other trees
         gave, is a heap of (score, -vec_id) with the worst first, and made better."""
         best = [] if best is None else best
         if len(self.ids):
-            self._search(q, own, k, best)
+            self._search(q, own, k, best, raw)
         return [(s, -i) for s, i in sorted(best, key=lambda b: (-b[0], -b[1]))]
 
-    def _search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> None:
+    def _search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]], raw: np.ndarray | None) -> None:
         t, real = self.t, q.astype(np.float64)
         point = np.append(real, 0.0)
         whole = float(real @ real) + self.top if math.isfinite(self.top) else math.inf
@@ -191,13 +194,17 @@ class MTree:
                 if len(rows) > 4 * k:  # by score, then by id (a page's rows are in the order of ids)
                     cut = np.argsort(-score, kind="stable")[: k + 1]
                     rows, score = rows[cut], score[cut]
-                for i, s in zip(self.ids[rows].tolist(), score.tolist(), strict=True):
-                    if i != own:
-                        item = (int(s), -i)
+                for row, i, s in zip(rows.tolist(), self.ids[rows].tolist(), score.tolist(), strict=True):
+                    times, item = min(k + 1, int(self.copies[row])), (int(s), -i)
+                    if i == own:
+                        times -= 1 if raw is not None and np.array_equal(self.raw[row], raw) else times if raw is None else 0
+                    for _ in range(times):
                         if len(best) < k:
                             heapq.heappush(best, item)
                         elif item > best[0]:
                             heapq.heapreplace(best, item)
+                        else:
+                            break
                 limit = reach()
                 continue
             kids = np.arange(t["kids_from"][n], t["kids_to"][n])
@@ -217,47 +224,54 @@ def _plant(x: pa.RecordBatch) -> pa.RecordBatch:
     size = col["size"][0].as_py()
     flat = np.asarray(col["x"].flatten(), np.float64).reshape(x.num_rows, size)
     tree = build(np.asarray(col["vec_id"]), quantised(flat))
-    tree["x"] = flat[tree["order"]]
+    tree["x"], tree["copies"] = flat[tree["order"]], np.asarray(col["copies"])[tree["order"]]
     kinds = [(f.split()[0], pa.list_({"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[f.split("<")[1][:-1]])) for f in _TREE.split(", ")[2:]]
     lists = [pa.array([np.ravel(tree[n])], k) for n, k in kinds]
     return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([col["shard"][0].as_py()], pa.int32()), *lists], names=["size", "shard", *[n for n, _ in kinds]])
 
 
 def plant(vectors: DataFrame) -> DataFrame:
-    """The stored M-trees of ``vectors (vec_id, x)``, one row each: a table that any number of
+    """The stored M-trees of ``vectors (vec_id, x, copies)``, one row each: a table that any number of
     searches can read."""
     spark = vectors.sparkSession
     n = vectors.count()
     shards = max(1, -(-n // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
-    dealt = vectors.select("vec_id", "x", F.size("x").alias("size"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")).repartitionById(shards, F.col("shard"))
+    dealt = vectors.select("vec_id", "x", "copies", F.size("x").alias("size"), F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int").alias("shard")).repartitionById(shards, F.col("shard"))
     return store(grouped(dealt, ["size", "shard"], _plant, _TREE, dealt=True), "trees")
 
 
-def _searcher(queries: list[tuple[int, list[float]]], k: int):
+def _searcher(queries: list, k: int):
+    """Searches trees for ``queries (vec_id, x, copies)``, told apart by their places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size: dict[int, tuple[list[int], np.ndarray]] = {}
-        for size in {len(q) for _, q in queries}:
-            mine = [(i, q) for i, q in queries if len(q) == size]
-            by_size[size] = ([i for i, _ in mine], np.array([q for _, q in mine], np.float64).reshape(len(mine), size))
-        best: dict[int, list[tuple[int, int]]] = {i: [] for i, _ in queries}
-        counts = {i: [0, 0, 0] for i, _ in queries}
+        for size in {len(q["x"]) for q in queries}:
+            mine = [n for n, q in enumerate(queries) if len(q["x"]) == size]
+            by_size[size] = (mine, np.array([queries[n]["x"] for n in mine], np.float64).reshape(len(mine), size))
+        best: list[list[tuple[int, int]]] = [[] for _ in queries]
+        counts = [[0, 0, 0] for _ in queries]
         for batch in batches:
             for row in range(batch.num_rows):
                 size = batch.column(0)[row].as_py()
                 if size not in by_size:
                     continue
                 tree = {n: np.asarray(batch.column(c)[row].values) for c, n in enumerate(batch.schema.names) if c > 1}
-                ids, raw = by_size[size]
-                both = quantised(np.concatenate([tree["x"].reshape(len(tree["ids"]), size), raw]))
-                searched = MTree(tree["ids"], both[: len(tree["ids"])], tree)
-                for own, q in zip(ids, both[len(tree["ids"]) :], strict=True):
+                places, raw = by_size[size]
+                stored = tree["x"].reshape(len(tree["ids"]), size)
+                both = quantised(np.concatenate([stored, raw]))
+                searched = MTree(tree["ids"], both[: len(tree["ids"])], tree, tree["copies"], stored)
+                for n, q, x in zip(places, both[len(tree["ids"]) :], raw, strict=True):
                     searched.pages = searched.distances = searched.avoided = 0
-                    searched.search(q, own, k, best[own])
-                    for i, n in enumerate((searched.pages, searched.distances, searched.avoided)):
-                        counts[own][i] += n
-        found = [(own, -i, max(-_LONG - 1, min(_LONG, s)), order_key(s), *(counts[own] if n == 0 else (0, 0, 0))) for own, heap in best.items() for n, (s, i) in enumerate(heap)]
+                    searched.search(q, queries[n]["vec_id"], k, best[n], x)
+                    for i, c in enumerate((searched.pages, searched.distances, searched.avoided)):
+                        counts[n][i] += c
+        found = [
+            (n, queries[n]["vec_id"], queries[n]["copies"], -i, max(-_LONG - 1, min(_LONG, s)), order_key(s), *(counts[n] if at == 0 else (0, 0, 0)))
+            for n, heap in enumerate(best)
+            for at, (s, i) in enumerate(heap)
+        ]
         if found:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
     return run
@@ -275,24 +289,24 @@ def counted_top_k(vectors: DataFrame, is_query: Column, k: int = K, query_block:
     distances it computed and those that stored ones made needless (pages never reached not counted).
 
     Vectors of different lengths are not compared. Null vectors and those with null or non-finite
-    components take no part, nor do rows without an id; of rows with one id the least
-    vector counts. Fewer than ``k`` candidates give fewer rows; an empty table none. Scores are
+    components take no part, nor do rows without an id. Rows count as they are: of equal rows, or rows of
+    one id, each is a candidate for the others and, if it is a query, has results of its own.
+    Fewer than ``k`` candidates give fewer rows; an empty table none. Scores are
     compared whole; one beyond 64 bits is then given as the nearest long. Further columns are not read."""
+    spark = vectors.sparkSession
     x = store(usable(vectors), "vectors")
     trees = plant(x)
-    wanted = x.where(is_query)
-    blocks = max(1, -(-wanted.count() // query_block))
-    out = None
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)) == b)
-        queries = [(r["vec_id"], r["x"]) for r in part.select("vec_id", "x").toLocalIterator()]
-        found = arrow_map(trees, _searcher(queries, k), _FOUND)
-        out = found if out is None else out.unionByName(found)
-    own = Window.partitionBy("query_id")
+    own = Window.partitionBy("query")
     sums = {c: F.sum(c).over(own) for c in ("pages", "distances", "avoided")}
-    # At most k rows a query from each task.
-    ranked = out.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("key"), "vec_id")), **sums})
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *sums)
+    paths = []
+    for queries in blocks(x.where(is_query), query_block):
+        if queries:
+            # At most k rows a query from each task.
+            ranked = arrow_map(trees, _searcher(queries, k), _FOUND).withColumns({"rank": F.row_number().over(own.orderBy(F.desc("key"), "vec_id")), **sums})
+            ranked = ranked.where(F.col("rank") <= k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            paths.append(shared_dir(spark, "found"))
+            ranked.select("query_id", "rank", "vec_id", "score", *sums).write.parquet(paths[-1])
+    return spark.read.schema(_OUT).parquet(*paths) if paths else spark.createDataFrame([], _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,12 +315,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
