@@ -1,6 +1,7 @@
 """The registered queries of the subpackage against their SQL, and the shape of the others."""
 
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -44,3 +45,16 @@ def test_query(spark, sf, name):
     text = lambda v: "" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     none = lambda v: None if str(v) == "<NA>" else v
     assert sorted(tuple(text(r[c]) for c in cols) for r in rows) == sorted(tuple(text(none(v)) for v in r) for r in got[cols].itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", ["op8_exact_top_k", "op13_hard_negatives"])
+def test_searches_with_repeated_ids_equal_their_sql(spark, sf, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    x = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 300")
+    again = x.where("vec_id % 3 = 0").selectExpr("vec_id - vec_id % 100 AS vec_id", "embedding", "label")
+    x.unionByName(again).unionByName(x.where("vec_id < 120")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())
