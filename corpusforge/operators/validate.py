@@ -37,7 +37,8 @@ def validate_local(pairs: DataFrame, query: str = "ads_query") -> DataFrame:
 
 
 def query_hash(query: Column, version: str) -> Column:
-    return F.sha2(F.concat_ws(":", F.lit(version), qlang.canonicalize(query)), 256)
+    """The key of a query in a validation cache: caches of other tools can be read."""
+    return F.md5(F.concat(qlang.canonicalize(query), F.lit(f"::{version}")).cast("binary"))
 
 
 def validate_cached(pairs: DataFrame, cache: DataFrame | None, version: str, query: str = "ads_query") -> DataFrame:
