@@ -87,7 +87,7 @@ def rate_limited_validation(spark, sf):
     at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) / 1e6
     query = F.concat(F.lit("user:"), "user_id", F.lit(" k:"), F.col("event_id") % 7)
     events = spark.read.parquet(f"{sf}/events.parquet")
-    x = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet")
+    x = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")  # a pattern, as a stream takes no single file
     x = x.select(F.col("event_type").alias("account"), F.col("event_id").alias("id"), query.alias("query"), at.alias("at"))
     x = limits.validated(x, _RULED, {"rules": [["k:3", 400, 0, "k"], ["k:5", 200, 0, ""]]}, rate=0.001)
     out = shared_dir(spark, "validated")
@@ -95,16 +95,16 @@ def rate_limited_validation(spark, sf):
     return spark.read.parquet(out).select("account", "id", "tier", "from_cache", F.round("waited", 2).alias("waited"))
 
 
-_LIMIT_SQL = """WITH RECURSIVE e AS (SELECT event_type AS account, event_id AS id, user_id, event_id % 7 AS k, (epoch_us(ts) - 1704067200000000) / 1e6 AS at FROM events),
-  h AS (SELECT *, row_number() OVER (PARTITION BY account, user_id, k ORDER BY at, id) > 1 AS hit FROM e),
-  m AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY at, id) AS n FROM h WHERE NOT hit),
+_LIMIT_SQL = """WITH RECURSIVE e AS (SELECT event_type AS account, event_id AS id, user_id, event_id % 7 AS k, (epoch_us(ts) - 1704067200000000) / 1e6 AS due FROM events),
+  h AS (SELECT *, row_number() OVER (PARTITION BY account, user_id, k ORDER BY due, id) > 1 AS hit FROM e),
+  m AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY due, id) AS n FROM h WHERE NOT hit),
   b AS (
-    SELECT account, id, n, at, 9.0::DOUBLE AS tokens, at AS last FROM m WHERE n = 1
+    SELECT account, id, n, due, 9.0::DOUBLE AS tokens, due AS last FROM m WHERE n = 1
     UNION ALL
-    SELECT account, id, n, at, CASE WHEN t >= 1 THEN t - 1 ELSE 0 END, CASE WHEN t >= 1 THEN now ELSE now + (1 - t) / 0.001 END
-    FROM (SELECT m.account, m.id, m.n, m.at, greatest(m.at, b.last) AS now, least(10.0, b.tokens + (greatest(m.at, b.last) - b.last) * 0.001) AS t FROM b JOIN m ON m.account = b.account AND m.n = b.n + 1)
+    SELECT account, id, n, due, CASE WHEN t >= 1 THEN t - 1 ELSE 0 END, CASE WHEN t >= 1 THEN now ELSE now + (1 - t) / 0.001 END
+    FROM (SELECT m.account, m.id, m.n, m.due, greatest(m.due, b.last) AS now, least(10.0, b.tokens + (greatest(m.due, b.last) - b.last) * 0.001) AS t FROM b JOIN m ON m.account = b.account AND m.n = b.n + 1)
   )
-  SELECT h.account, h.id, CASE k WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 3 END AS tier, hit AS from_cache, round(coalesce(last - b.at, 0.0), 2) AS waited FROM h LEFT JOIN b ON h.account = b.account AND h.id = b.id"""
+  SELECT h.account, h.id, CASE k WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 3 END AS tier, hit AS from_cache, round(coalesce(last - b.due, 0.0), 2) AS waited FROM h LEFT JOIN b ON h.account = b.account AND h.id = b.id"""
 
 
 def hashed_shards(spark, sf):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import qlang
+from ..operators._stored import store
 
 PAGE_SCHEMA = "name string, query string, rank int, doc string"
 #: A page holds so many times the documents that are wanted, as some will be left out; so many pages are read.
@@ -267,7 +268,7 @@ def verdict(status: Column, found: Column, message: Column) -> Column:
 
 def remote_check(queries: DataFrame, transport: str, transport_options: dict | None = None, **how) -> DataFrame:
     """``id, query, valid, error, warning`` (F4): what the offline lint refuses isn't asked; the service decides on the rest."""
-    linted = queries.select("id", "query", qlang.lint(F.col("query")).alias("found"))
+    linted = store(queries.select("id", "query", qlang.lint(F.col("query")).alias("found")), "linted")
     bad = linted.where("size(found) > 0").select("id", "query", F.lit(False).alias("valid"), F.array_join("found", "; ").alias("error"), F.lit(None).cast("string").alias("warning"))
     said = replies(linted.where("size(found) = 0"), transport, transport_options, **how)
     return said.select("id", "query", verdict(F.col("status"), F.col("found"), F.col("message")).alias("v")).select("id", "query", "v.*").unionByName(bad)
