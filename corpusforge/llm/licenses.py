@@ -4,9 +4,11 @@ A paragraph is a line of a text, or a run of lines without a blank one between t
 notices are often wrapped: words of one notice count over line ends if they lie within
 ``REACH`` words, about twice the longest template. Its distinct word 1- to 3-grams are the features of a
 softmax regression over licence families and an unknown class, trained in numpy on
-perturbed templates and on look-alikes that name no licence. A temperature and a
-least probability, set on held-out examples, make a doubtful paragraph unknown, and a
-predicted family counts only if the paragraph holds enough of one of that family's
+perturbed templates and, as unknown, on look-alikes that name no licence, on notices of other licences, on
+notices whose name is another word and on negations. A temperature and a
+least probability, set on examples with other licences, names and negations than those, make a doubtful
+paragraph unknown, as does a name of the predicted family that is not there, or a negation before
+it; and a predicted family is confirmed only if the paragraph holds enough of one of that family's
 templates. A line with a trigger word is always scored; other lines, and runs of lines, are
 passed over before all their n-grams are made only if they hold too few word pairs of every
 template to be confirmed. Scoring is DataFrame operations only, once for each distinct paragraph.
@@ -14,6 +16,7 @@ template to be confirmed. Scoring is DataFrame operations only, once for each di
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -99,6 +102,56 @@ LOOK_ALIKES = [
     "licensed under the terms of the agreement version 2.0",
     "copyright 2020 example company",
 ]
+# Notices of licences that are none of the families; those of the second list are held out from training.
+OTHERS = [
+    "licensed under the eclipse public license 2.0",
+    "made available under the terms of the eclipse public license version 2.0",
+    "licensed under the gnu affero general public license version 3",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",
+    "released under the isc license",
+    "licensed under the artistic license 2.0",
+    "licensed under the european union public licence version 1.2",
+    "distributed under the boost software license version 1.0",
+    "licensed under cc by nd 4.0",
+    "this work is licensed under a creative commons attribution noderivatives 4.0 international license",
+    "licensed under the apache license version 1.1",
+    "distributed under the terms of the zlib license",
+    "spdx license identifier epl 2.0",
+    "spdx license identifier agpl 3.0 or later",
+]
+OTHERS_HELD_OUT = [
+    "licensed under the common development and distribution license version 1.0",
+    "released under the microsoft public license",
+    "licensed under the sil open font license version 1.1",
+    "distributed under the terms of the academic free license version 3.0",
+    "licensed under cc by nc nd 4.0",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license",
+    "licensed under the mozilla public license 1.1",
+    "made available under the universal permissive license",
+    "spdx license identifier upl 1.0",
+]
+# What a notice says instead of being one; the second list is held out from training.
+NEGATIONS = ["this project is not", "it is no longer", "the code was never", "files that are not"]
+NEGATIONS_HELD_OUT = ["this package isn t", "parts are not yet", "the data cannot be"]
+# How each family is named, as expressions over a paragraph's words with one blank between them.
+NAMES = {
+    "Apache-2.0": "apache (?:software )?(?:licen[cs]e )?(?:version |v )?v?2",
+    "BSD": "bsd (?:[0-9] clause |style |type )?licen[cs]e|bsd [0-9] clause|[0-9] clause bsd|redistribution and use in source and binary forms",
+    "CC-BY": "cc by(?! (?:nc|nd|sa))|creative commons attribution(?! (?:non ?commercial|no ?deriv|share ?alike))",
+    "CC-BY-NC": "cc by nc(?! (?:nd|sa))|creative commons attribution non ?commercial(?! (?:no ?deriv|share ?alike))",
+    "CC-BY-SA": "cc by sa|creative commons attribution share ?alike",
+    "CC0": "cc0|cc zero|waived all copyright and related|free and unencumbered software released into the public domain",
+    "GPL": "gnu general public licen[cs]e|gpl(?:v?[0-9])?",
+    "LGPL": "gnu (?:lesser|library) general public licen[cs]e|lgpl(?:v?[0-9])?",
+    "MIT": "mit (?:x11 )?licen[cs]e|licen[cs]e (?:identifier )?mit|under (?:the )?mit|permission is hereby granted free of charge",
+    "MPL-2.0": "mozilla public licen[cs]e (?:version |v )?v?2|mpl (?:version |v )?v?2",
+}
+_WHOLE = "(?<![a-z0-9])(?:{})(?![a-z])"
+#: A notice that is denied: a negation, perhaps some words between, what is done with a licence, and under it.
+DENIED = _WHOLE.format(
+    "(?:not|never|no longer|nor|isn t|aren t|wasn t|weren t|cannot|can t)(?: (?:be|been|being|yet|currently|now|longer|anymore|also|actually))*"
+    "(?: (?:re)?(?:licen[cs]ed|released|distributed|available|covered|governed|offered|provided|published|shared|subject))? (?:under|by|to)"
+)
 TRIGGER = r"(?i)licen[cs]|copyright|copyleft|permission|redistribut|creative commons|public domain|waived"
 UNKNOWN = "unknown"
 #: Share of a template's word pairs that a paragraph must hold.
@@ -126,6 +179,17 @@ def pairs(text: str) -> set[str]:
     return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
 
 
+def plain(text: str) -> str:
+    """The words of a text with one blank between them."""
+    return " ".join(_WORD.findall(text.lower()))
+
+
+def named(text: str, family: str) -> bool:
+    """Whether a text has the name of a family and doesn't deny it."""
+    words = plain(text)
+    return re.search(_WHOLE.format(NAMES[family]), words) is not None and re.search(DENIED, words) is None
+
+
 def least_pairs(template: set[str]) -> int:
     """So many of a template's pairs make a paragraph hold enough of it."""
     return next(k for k in range(len(template) + 1) if k / len(template) >= CONFIRM)
@@ -157,49 +221,58 @@ class LicenceModel:
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
         self.templates = [(f, t, pairs(t)) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
         r = np.random.default_rng(seed)
-        vocabulary = sorted(set().union(*(grams(t) for _, t, _ in self.templates), *(grams(t) for t in LOOK_ALIKES)))
+        unknown = [*LOOK_ALIKES, *OTHERS, *(f"{n} {t}" for n in NEGATIONS for t in ("licensed under", "released under", "distributed under", "available under"))]
+        vocabulary = sorted(set().union(*(grams(t) for _, t, _ in self.templates), *(grams(t) for t in unknown)))
         number = {g: i for i, g in enumerate(vocabulary)}
         fillers = sorted({w for t in LOOK_ALIKES for w in _WORD.findall(t)})
+        naming = set(_WORD.findall(" ".join(NAMES.values()))) & {"apache", "bsd", "cc0", "gnu", "gpl", "lgpl", "lesser", "mit", "mozilla", "mpl", "creative", "commons", "cc"}
 
-        def example(text: str) -> str:
-            words = [w for w in _WORD.findall(text) if r.random() > 0.08]
+        def example(text: str, drop: float = 0.08) -> str:
+            words = [w for w in _WORD.findall(text) if r.random() >= drop]
             extra = [str(w) for w in r.choice(fillers, r.integers(0, 5))]
             return " ".join([*extra[:2], *words, *extra[2:]])
 
-        def examples() -> tuple[np.ndarray, np.ndarray]:
-            x, y = [], []
-            sources = [(self.classes.index(f), t) for f, t, _ in self.templates] + [(len(self.classes) - 1, t) for t in LOOK_ALIKES]
-            for c, t in sources:
-                for _ in range(COPIES):
-                    row = np.zeros(len(vocabulary))
-                    row[[number[g] for g in grams(example(t)) if g in number]] = 1
-                    x.append(row)
-                    y.append(c)
+        def examples(others: list[str], negations: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+            texts, y, none = [], [], len(self.classes) - 1
+            for c, t in [(self.classes.index(f), t) for f, t, _ in self.templates] + [(none, t) for t in [*LOOK_ALIKES, *others]]:
+                # Another licence without one of its words can be one of the families.
+                texts += [example(t, 0.0 if t in others else 0.08) for _ in range(COPIES)]
+                y += [c] * COPIES
             for _ in range(10 * COPIES):  # templates' words out of order name nothing
                 _, t, _ = self.templates[r.integers(len(self.templates))]
-                row = np.zeros(len(vocabulary))
-                row[[number[g] for g in grams(" ".join(r.permutation(_WORD.findall(t))[:6])) if g in number]] = 1
-                x.append(row)
-                y.append(len(self.classes) - 1)
-            return np.array(x), np.array(y)
-
-        x, y = examples()
-        w, b = np.zeros((len(vocabulary), len(self.classes))), np.zeros(len(self.classes))
+                texts.append(" ".join(r.permutation(_WORD.findall(t))[:6]))
+                y.append(none)
+            for _, t, _ in self.templates:
+                words = _WORD.findall(t)
+                if naming & set(words):  # a notice of something else
+                    texts += [example(" ".join("?" if w in naming else w for w in words)) for _ in range(COPIES)]
+                    y += [none] * COPIES
+                if words[0] in ("licensed", "released", "distributed", "available"):
+                    texts += [f"{r.choice(negations)} {t}" for _ in range(COPIES // 2)]
+                    y += [none] * (COPIES // 2)
+            x = np.zeros((len(texts), len(vocabulary)), np.float32)
+            for i, t in enumerate(texts):
+                x[i, [number[g] for g in grams(t) if g in number]] = 1
+            return texts, x, np.array(y)
+
+        _, x, y = examples(OTHERS, NEGATIONS)
+        w, b = np.zeros((len(vocabulary), len(self.classes)), np.float32), np.zeros(len(self.classes), np.float32)
         for k in range(EPOCHS):
             p = self._softmax(x @ w + b)
             p[np.arange(len(y)), y] -= 1
-            rate = 8.0 / (1 + k / 100)
-            w -= rate * (x.T @ p / len(y) + 2e-5 * w)
+            rate = np.float32(8.0 / (1 + k / 100))
+            w -= rate * (x.T @ p / np.float32(len(y)) + np.float32(2e-5) * w)
             b -= rate * p.mean(0)
-        x, y = examples()
+        texts, x, y = examples(OTHERS_HELD_OUT, NEGATIONS_HELD_OUT)
         z = x @ w + b
-        # Calibration: the scale of least loss, then the least probability that keeps
-        # 99 in 100 unknown examples unknown.
+        # Calibration, on unknown examples of other kinds: the scale of least loss, then the
+        # least probability that, with the rule of names, keeps 99 in 100 of them unknown.
         scales = np.linspace(0.3, 3, 28)
         loss = [-np.log(np.maximum(self._softmax(s * z)[np.arange(len(y)), y], 1e-12)).mean() for s in scales]
         self.scale = float(scales[int(np.argmin(loss))])
         p = self._softmax(self.scale * z)
-        wrong = p[y == len(self.classes) - 1][:, :-1].max(1)
+        own, none = p[:, :-1].argmax(1), y == len(self.classes) - 1
+        wrong = [p[i, own[i]] if named(texts[i], self.classes[own[i]]) else 0.0 for i in np.flatnonzero(none)]
         self.least = float(min(0.9, max(0.5, np.quantile(wrong, 0.99))))
         self.weights = {g: [round(float(v), 6) for v in w[i]] for g, i in number.items()}
         self.bias = [round(float(v), 6) for v in b]
@@ -224,10 +297,16 @@ class LicenceModel:
         p = self._softmax(self.scale * z[None])[0]
         k = int(p[:-1].argmax())
         share = max((len(t & have) / len(t) for f, _, t in self.templates if f == self.classes[k]), default=0)
-        sure = p[k] >= self.least
+        sure = named(text, self.classes[k]) and p[k] >= self.least
         return (self.classes[k] if sure else UNKNOWN), float(p[k]), bool(sure and share >= CONFIRM)
 
 
+@functools.cache
+def trained() -> LicenceModel:
+    """The model of the templates, trained once in a process."""
+    return LicenceModel()
+
+
 def classify_paragraphs(lines: DataFrame, model: LicenceModel) -> DataFrame:
     """``paragraph, family, probability, confirmed`` for distinct non-null ``paragraph``s."""
     words = F.expr("regexp_extract_all(lower(paragraph), '[a-z0-9]+', 0)")
@@ -246,7 +325,9 @@ def classify_paragraphs(lines: DataFrame, model: LicenceModel) -> DataFrame:
     share = {f: F.greatest(*v) if len(v) > 1 else v[0] for f in model.classes[:-1] if (v := [F.col(f"h{i}") / F.lit(float(len(p))) for i, (g, _, p) in enumerate(model.templates) if g == f])}
     x = x.withColumn("best", best).withColumn("own", F.element_at(F.array(*[F.lit(f) for f in model.classes[:-1]]), (1 - F.col("best.i")).cast("int")))
     match = F.coalesce(*[F.when(F.col("own") == f, s) for f, s in share.items()])
-    sure = F.col("best.p") >= model.least
+    plainly = F.array_join(F.expr("regexp_extract_all(lower(paragraph), '[a-z0-9]+', 0)"), " ")
+    named = F.coalesce(*[F.when(F.col("own") == f, plainly.rlike(_WHOLE.format(NAMES[f]))) for f in share])
+    sure = (F.col("best.p") >= model.least) & named & ~plainly.rlike(DENIED)
     return x.select("paragraph", F.when(sure, F.col("own")).otherwise(UNKNOWN).alias("family"), F.col("best.p").alias("probability"), (sure & (match >= CONFIRM)).alias("confirmed"))
 
 
@@ -307,7 +388,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     none). Null and empty texts have no paragraph; rows that share a doc_id share their
     findings; a null doc_id has none. Ties between families go to the first by name. An empty
     table stays empty; further columns are not read."""
-    model = model or LicenceModel()
+    model = model or trained()
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     some = docs.where(F.col("doc_id").isNotNull() & (F.col("text").rlike(TRIGGER) | _confirmable(F.col("text"), model))).select("doc_id", F.split("text", "\n").alias("lines"))
     lines = some.select("doc_id", F.explode("lines").alias("paragraph"))
@@ -333,7 +414,9 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     )
     by_doc = store(by_doc, "licences")
     ids = docs.select("doc_id")
-    out = ids.join(by_doc, "doc_id", "left")
+    # Rows without an id have no findings: they are not sent to one task to learn that.
+    out = ids.where("doc_id is not null").join(by_doc, "doc_id", "left")
+    out = out.unionByName(ids.where("doc_id is null"), allowMissingColumns=True)
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_candidates", "n_confirmed", "n_unknown")}
     return out.withColumns(zero | {"families": F.coalesce("families", F.expr("cast(array() as array<string>)"))})
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm import audit, negatives, urlrules
+from corpusforge.llm import audit, licenses, negatives, urlrules
 
 RULES = "host string, path string, verdict string"
 
@@ -199,3 +199,51 @@ def test_hard_negatives_edges(spark):
     assert negatives.mine(against, F.col("vec_id") % 100 == 0).collect() == []
     zero = spark.createDataFrame([(0, 1, [1.0]), (1, 1, [0.0]), (2, 2, [0.0]), (3, 2, [0.5])], KIND)
     assert [tuple(x) for x in negatives.mine(zero, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 2, 0, 0)]
+
+
+#: Lines as people write them, none of which the model is trained on, with the family that they name.
+LINES = [
+    ("MIT", "Released under the MIT License (see LICENSE.txt for details)."),
+    ("MIT", "Copyright (c) 2020 Jane Doe. Licensed under the MIT license."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "This code is distributed under the terms of the Apache License 2.0, see NOTICE"),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"),
+    ("GPL", "Licensed under the GNU GPL, version 2"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published"),
+    ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY", "Except where noted, content on this site is licensed under CC BY 4.0."),
+    ("CC-BY-NC", "This article is licensed under CC BY-NC 4.0"),
+    ("CC-BY-SA", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."),
+    ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http"),
+    (None, "Licensed under the Eclipse Public License 2.0"),
+    (None, "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
+    (None, "Licensed under the GNU Affero General Public License version 3"),
+    (None, "This project is not licensed under the MIT license"),
+    (None, "This file isn't available under the GPL v3 license any more"),
+    (None, "Parts of it can't be licensed under the Apache License, Version 2.0"),
+    (None, "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    (None, "Licensed under the Mozilla Public License 1.1"),
+    (None, "Licensed under the Apache License, Version 1.1"),
+    (None, "Released under the PostgreSQL license"),
+    (None, "Licensed under the Python Software Foundation License Version 2"),
+    (None, "Licensed under the Example Corp Commercial License version 2.0"),
+    (None, "The MIT campus is open to the public, and no license is needed."),
+    (None, "Copyright 2021 The Authors. All rights reserved."),
+]
+
+
+def test_licence_lines_are_what_they_name_and_nothing_else(spark):
+    lines = [*LINES, *((None, t) for t in licenses.OTHERS_HELD_OUT), *((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
+    rows = [(i, f"Intro text.\n\n{t}\n\nMore text.") for i, (_, t) in enumerate(lines)]
+    rows += [(10_000 + i, "\n".join(re.findall(r"(?:\S+\s*){1,7}", t))) for i, (_, t) in enumerate(LINES)]  # the same, wrapped
+    rows += [(None, LINES[0][1])] * 5
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {x.doc_id: list(x.families) for x in got if x.doc_id is not None}
+    wrong = [(t, by[i]) for i, (f, t) in enumerate(lines) if by[i] != ([f] if f else [])]
+    wrong += [(t, by[10_000 + i]) for i, (f, t) in enumerate(LINES) if by[10_000 + i] != ([f] if f else [])]
+    assert wrong == []
+    assert [(x.n_candidates, x.n_confirmed, x.families) for x in got if x.doc_id is None] == [(0, 0, [])] * 5
