@@ -6,6 +6,7 @@ removal, callbacks on matches, edit distances. ``register`` gives them SQL names
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -374,28 +375,39 @@ def strip_marks(text: str | None) -> str | None:
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:[^>]*)?>", re.S)
 
 
+_MARKUP = re.compile(rf"(?P<tag>{_TAG.pattern})|(?P<entity>&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);)|(?P<blank>[ \t]+)", re.S)
+
+
 def clean_with_map(text: str, collapse: bool = True) -> tuple[str, list[int]]:
     """(clean text, for each of its characters the place in ``text`` that it comes from).
 
     Tags go, entities are decoded, runs of blanks become one, the ends are trimmed; the
     map follows all of these. Without ``collapse`` blanks stay as they are."""
-    chars: list[str] = []
+    pieces: list[str] = []
     places: list[int] = []
-    i = 0
-    while i < len(text):
-        if m := _TAG.match(text, i):
-            i = m.end()
-            continue
-        piece, step = text[i], 1
-        if piece == "&" and (m := re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);").match(text, i)):
-            piece, step = html.unescape(m[0]), len(m[0])
-        for c in piece:
-            if collapse and c in " \t" and chars and chars[-1] == " ":
-                continue
-            chars.append(" " if collapse and c in " \t" else c)
-            places.append(i)
-        i += step
-    joined = "".join(chars)
+    blank, at = False, 0  # whether the text so far ends with a blank
+
+    def put(piece: str, where) -> None:
+        nonlocal blank
+        if piece:
+            pieces.append(piece)
+            places.extend(where)
+            blank = piece[-1] == " "
+
+    for m in _MARKUP.finditer(text):
+        put(text[at : m.start()], range(at, m.start()))
+        at = m.end()
+        if m["blank"]:
+            if not collapse:
+                put(m[0], range(m.start(), at))
+            elif not blank:
+                put(" ", (m.start(),))
+        elif m["entity"]:
+            for c in html.unescape(m[0]):
+                if not (collapse and c in " \t" and blank):
+                    put(" " if collapse and c in " \t" else c, (m.start(),))
+    put(text[at:], range(at, len(text)))
+    joined = "".join(pieces)
     if not collapse:
         return joined, places
     lead = len(joined) - len(joined.lstrip())
@@ -411,9 +423,8 @@ def remap_spans(text: str, spans: list[dict], parity: bool = False) -> tuple[str
         places = clean_with_map(text, collapse=False)[1]
     out = []
     for s in spans or []:
-        inside = [k for k, p in enumerate(places) if s["start"] <= p < s["end"]]
-        if inside:
-            a, b = inside[0], inside[-1] + 1
+        a, b = bisect.bisect_left(places, s["start"]), bisect.bisect_left(places, s["end"])
+        if a < b:
             out.append({**s, "surface": clean[a:b], "start": a, "end": b})
     return clean, out
 

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Surfaces that a task holds at once.
-HELD_SURFACES = 200_000
+from ..functions import udfs
+
+#: Surfaces that a task holds at once, at about 600 bytes each.
+HELD_SURFACES = 1_000_000
 SPAN = "struct<surface:string,start:int,end:int,type:string,canonical_id:string>"
 
 
@@ -25,6 +27,7 @@ def keyword_index(entries: DataFrame, min_length: int = 4) -> DataFrame:
 
 
 _WORD = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[^\W_]+|[\W_]", re.S)
 _HIT = "doc_id long, surface_lc string, start int, len int, type string, canonical_id string, ord long, surface string"
 _SPANS = f"doc_id long, spans array<{SPAN}>"
 
@@ -36,24 +39,44 @@ def lowered(text: str) -> str:
 
 
 class Dictionary:
-    """Surfaces by the first run of letters and digits in them; those that have none apart."""
+    """Surfaces as a trie over tokens (runs of letters and digits, and single other letters), from the first run in each;
+    surfaces without such a run apart. A step of the trie is a number made of node and token, so that
+    a million surfaces are two tables of numbers, and a text is read once whatever their number."""
 
     def __init__(self, rows: list[tuple]):
-        #: (surface in lower case, letters before its first word, type, canonical_id, ord) by that word
-        self.by_word: dict[str, list[tuple]] = {}
+        self.token: dict[str, int] = {}
+        self.step: dict[int, int] = {}
+        #: (surface in lower case, letters before its first run, type, canonical_id, ord) by the node where it ends
+        self.ends: dict[int, list[tuple]] = {}
         self.signs: list[tuple] = []
         for surface, kind, ident, order in rows:
             m = _WORD.search(surface)
-            (self.by_word.setdefault(m[0], []) if m else self.signs).append((surface, m.start() if m else 0, kind, ident, order))
+            if not m:
+                self.signs.append((surface, 0, kind, ident, order))
+                continue
+            node = 0
+            for t in _TOKEN.findall(surface, m.start()):
+                step = node << 32 | self.token.setdefault(t, len(self.token))
+                node = self.step.setdefault(step, len(self.step) + 1)
+            self.ends.setdefault(node, []).append((surface, m.start(), kind, ident, order))
 
     def hits(self, text: str) -> list[tuple]:
         """(surface in lower case, start, end, type, canonical_id, ord) wherever one stands at word borders."""
         low, out = lowered(text), []
-        for m in _WORD.finditer(low):
-            for surface, before, *rest in self.by_word.get(m[0], ()):
-                a = m.start() - before
-                if a >= 0 and low.startswith(surface, a):
-                    out.append((surface, a, a + len(surface), *rest))
+        places = [m.start() for m in _TOKEN.finditer(low)]
+        numbers = [self.token.get(t, -1) for t in _TOKEN.findall(low)]
+        for i, first in enumerate(numbers):
+            node = self.step.get(first) if first >= 0 else None
+            if node is None:
+                continue
+            j = i
+            while node is not None:
+                for surface, before, *rest in self.ends.get(node, ()):
+                    a = places[i] - before
+                    if a >= 0 and low.startswith(surface, a):
+                        out.append((surface, a, a + len(surface), *rest))
+                j += 1
+                node = self.step.get(node << 32 | numbers[j]) if j < len(numbers) and numbers[j] >= 0 else None
         for surface, _, *rest in self.signs:
             a = low.find(surface)
             while a >= 0:
@@ -90,7 +113,7 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, surface_lc, start, len, type, canonical_id, ord, surface`` of every place where an indexed surface stands at
     word borders.
 
-    Texts are read once for each 200,000 surfaces, which every task holds; nothing is shuffled and
+    Texts are read once for each million surfaces, which every task holds; nothing is shuffled and
     no text is copied. Null texts have no place."""
     rows, out = _rows(index), None
     for part in [rows] if rows is not None else _parts(index):
@@ -111,7 +134,7 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, spans`` for every row of ``docs (doc_id, text)``: the longest surfaces first, then by index
     order and place; a span never overlaps one taken before it (J9, W9). One pass over the texts; an
-    index beyond 200,000 surfaces takes one for each so many and gathers a text's own matches."""
+    index beyond a million surfaces takes one for each so many and gathers a text's own matches."""
     rows = _rows(index)
     if rows is None:
         return _gathered(docs, candidates(docs, index))
@@ -136,6 +159,22 @@ def _gathered(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long")).join(x, "doc_id", "left").withColumn("spans", F.array_sort(F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")), lambda a, b: a["start"] - b["start"]))
 
 
+def remapped(docs: DataFrame, parity: bool = False) -> DataFrame:
+    """``doc_id, text, spans`` with the markup gone from the texts of ``docs (doc_id, text, spans (start, end, type))`` and the spans moved to
+    where they then are, with what stands there as ``surface``; those of which nothing is left go (X12). With ``parity`` places count
+    blanks that the clean text has lost (G9). A null text has no spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved = [(None, []) if t is None else udfs.remap_spans(t, s or [], parity) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            kind = pa.list_(pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in moved], pa.string()), pa.array([s for _, s in moved], kind)], names=["doc_id", "text", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
+    return docs.select("doc_id", "text", spans.alias("spans")).mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<surface:string,start:int,end:int,type:string>>")
+
+
 def offset_errors(text: Column, spans: Column, context: int = 20) -> Column:
     """Spans whose text isn't their surface, with what stands there and around it."""
     here = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,21 +33,50 @@ def span_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def overlaps(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of one type in one document with intersection over union of at least ``least``:
-    ``doc_id, type, p_ord, g_ord, iou``; both sides have ``ord`` (J11)."""
-    g = gold.select("doc_id", "type", F.col("start").alias("g0"), F.col("end").alias("g1"), F.col("ord").alias("g_ord"))
-    x = pred.withColumnRenamed("ord", "p_ord").join(g, ["doc_id", "type"]).where("start < g1 and g0 < end")
+    ``doc_id, type, p_ord, g_ord, iou``; both sides have ``ord`` (J11).
+
+    Two such spans differ in length by the factor ``least`` at most and start near one another. A gold span lies
+    in one cell of a grid by the power of two of its length; a prediction looks into the few cells of the few powers that it can match, so
+    pairs are made of near spans of like length only, however many a document has."""
+    g = gold.where("end > start").select("doc_id", "type", F.col("start").alias("g0"), F.col("end").alias("g1"), F.col("ord").alias("g_ord"))
+    power = lambda n: F.floor(F.log2(n) + 1e-9).cast("int")
+    g = g.withColumn("power", power(F.col("g1") - F.col("g0"))).withColumn("cell", F.floor(F.col("g0") / F.pow(F.lit(2.0), "power")))
+    n = F.col("end") - F.col("start")
+    x = pred.where("end > start").select("doc_id", "type", "start", "end", F.col("ord").alias("p_ord"))
+    x = x.withColumn("power", F.explode(F.sequence(F.greatest(power(n * least), F.lit(0)), power(n / least))))
+    size = F.pow(F.lit(2.0), "power")
+    away = (1 - least) * F.greatest(n, 2 * size)
+    x = x.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - away) / size), F.floor((F.col("start") + away) / size))))
+    x = x.join(g, ["doc_id", "type", "power", "cell"]).where("start < g1 and g0 < end")
     inter = F.least("end", "g1") - F.greatest("start", "g0")
     iou = inter / (F.col("end") - F.col("start") + F.col("g1") - F.col("g0") - inter)
     return x.select("doc_id", "type", "p_ord", "g_ord", F.round(iou, 6).alias("iou")).where(F.col("iou") >= least)
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's candidate pairs in order those of which both sides are free."""
+    for batch in batches:
+        rows, kept = [], []
+        for i, pairs in enumerate(batch.column(1).to_pylist()):
+            p_seen, g_seen = set(), set()
+            for c in pairs:
+                if c["p_ord"] not in p_seen and c["g_ord"] not in g_seen:
+                    p_seen.add(c["p_ord"])
+                    g_seen.add(c["g_ord"])
+                    rows.append(i)
+                    kept.append(c)
+        kind = batch.column(1).type.value_type
+        p, g = (pa.array([c[n] for c in kept], kind.field(n).type) for n in ("p_ord", "g_ord"))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), p, g], names=["doc_id", "p_ord", "g_ord"])
+
+
 def partial_matches(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one matches among ``overlaps``, predictions in their order each taking the first
-    free gold span (J11): a fold over a document's own candidate pairs."""
-    x = overlaps(pred, gold, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p_ord", "g_ord"))).alias("c"))
-    free = lambda acc, s: ~F.exists(acc, lambda t: (t["p_ord"] == s["p_ord"]) | (t["g_ord"] == s["g_ord"]))
-    taken = F.aggregate("c", F.expr("filter(c, x -> false)"), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return x.select("doc_id", F.explode(taken).alias("m")).select("doc_id", "m.p_ord", "m.g_ord")
+    free gold span (J11): one pass over a document's own candidate pairs."""
+    x = overlaps(pred, gold, least)
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in ("doc_id", "p_ord", "g_ord"))
+    x = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p_ord", "g_ord"))).alias("c"))
+    return x.mapInArrow(_greedy, kinds)
 
 
 def verdict(now: Column, base: Column) -> Column:

@@ -1,8 +1,14 @@
-"""BM25 retrieval as explode, join on the token, aggregate and top-k window."""
+"""BM25 retrieval: matrix products over batches of documents, and the k best of each task before any shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,8 +16,11 @@ from ..functions.text import tokens
 from ._stored import store
 
 K1, B = 1.5, 0.75
-#: Rows of a query-side table that are broadcast at most; beyond, the join shuffles.
+#: Query tokens that every task holds at most; beyond, they are joined with the documents'.
 BROADCAST_ROWS = 500_000
+#: Queries that are scored together, and numbers of a matrix that a task makes at once.
+QUERY_BLOCK = 512
+SCORED_AT_ONCE = 4_000_000
 
 
 def token_rows(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -42,26 +51,114 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
 
     ``queries (query_id, text)``, ``docs (doc_id, text)``. A token counts once in a
     document; ties go to the smaller doc_id; only positive scores are ranked. Documents are tokenised
-    once: what meets a query token is written as rows, and the corpus size is observed on the way.
-    Query tokens are few, so they are what is broadcast, after a count; the document side is
-    never shuffled before its rows have met a query token."""
+    once: the query tokens of each are written as their numbers, beside its length.
+    Queries are then scored in blocks: a task holds the idf of a block's tokens by query as a matrix, multiplies
+    batches of documents with it and keeps ``k`` documents for each query, so what is shuffled are
+    ``k`` rows a query and task, whatever a token's frequency. Too many query tokens to be held
+    are joined instead. Documents without an id count in the corpus and aren't ranked."""
     wanted = store(token_rows(queries, "query_id", F.col("text")).select(F.col("id").alias("query_id"), "token"), "query-tokens")
-    vocabulary = wanted.select("token").distinct()
-    small = wanted.count() <= BROADCAST_ROWS
-    seen = Observation()
-    have = docs.select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("n_tokens", F.size("ts"))
-    have = have.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
+    if wanted.count() > BROADCAST_ROWS:
+        return _joined(wanted, docs, k)
+    vocabulary, kind = sorted(r[0] for r in wanted.select("token").distinct().collect()), docs.schema["doc_id"].dataType.simpleString()
+    have = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
+    have = store(have.mapInArrow(_numbered(vocabulary), f"doc_id {kind}, n_tokens int, ts array<int>"), "postings")
+    df = {r["t"]: r["n"] for r in have.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_docs, avg_tokens = have.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
+    avg_tokens = max(avg_tokens or 0.0, 1.0)
+    place = {t: i for i, t in enumerate(vocabulary)}
+    by_query: dict = {}
+    for r in wanted.collect():
+        by_query.setdefault(r["query_id"], []).append(place[r["token"]])
+    names, out = sorted(by_query), None
+    for at in range(0, len(names), QUERY_BLOCK):
+        mine = names[at : at + QUERY_BLOCK]
+        used = sorted({t for q in mine for t in by_query[q] if t in df})
+        if not used:
+            continue
+        column = {t: i for i, t in enumerate(used)}
+        weight = np.zeros((len(used), len(mine)))
+        for j, q in enumerate(mine):
+            for t in by_query[q]:
+                if t in df:
+                    weight[column[t], j] = math.log((n_docs - df[t] + 0.5) / (df[t] + 0.5) + 1)
+        number = np.full(len(vocabulary), -1, np.int32)
+        number[used] = np.arange(len(used))
+        part = have.mapInArrow(_scorer(number, weight, avg_tokens, k), f"q int, doc_id {kind}, score double")
+        part = part.join(F.broadcast(_named(queries, mine)), "q")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, doc_id {kind}, score double")
+    top = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    ranked = out.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+def _named(queries: DataFrame, ids: list) -> DataFrame:
+    """``q, query_id`` of the queries of a block."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.sparkSession.createDataFrame(list(enumerate(ids)), f"q int, query_id {kind}")
+
+
+def _numbered(vocabulary: list[str]):
+    """Which of the vocabulary a document's tokens are, and how many it has in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            known_sizes = lists.value_lengths()  # null for a null text, which has no part in the mean
+            sizes = np.asarray(known_sizes.fill_null(0))
+            found = pc.index_in(lists.flatten().cast(pa.string()), known)
+            row = np.repeat(np.arange(batch.num_rows), sizes)[np.asarray(found.is_valid())]
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), known_sizes.cast(pa.int32()), pa.ListArray.from_arrays(pa.array(at), found.drop_null().cast(pa.int32()))], names=["doc_id", "n_tokens", "ts"])
+
+    return run
+
+
+def _scorer(number: np.ndarray, weight: np.ndarray, avg_tokens: float, k: int):
+    """The ``k`` best documents of a task for each query of a block."""
+    rows = max(1, SCORED_AT_ONCE // max(weight.shape))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = weight.shape[1]
+        best, names, kind = np.zeros((n, 0)), None, None
+        for whole in batches:
+            whole = whole.filter(whole.column(0).is_valid())
+            kind = whole.column(0).type
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                ids, sizes, lists = np.array(batch.column(0).to_pylist()), np.asarray(batch.column(1).fill_null(0)), batch.column(2)
+                term = number[np.asarray(lists.flatten())]
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[term >= 0]
+                x = np.zeros((batch.num_rows, len(weight)))
+                x[row, term[term >= 0]] = 1.0
+                score = x @ weight * ((K1 + 1) / (1 + K1 * (1 - B + B * sizes / avg_tokens)))[:, None]
+                ids = np.broadcast_to(ids, (n, len(ids)))
+                best, names = np.concatenate([best, score.T], 1), ids if names is None else np.concatenate([names, ids], 1)
+                # As ranks go: by the score to six places, then by id.
+                order = np.lexsort((names, -np.floor(best * 1e6 + 0.5)))[:, :k]
+                best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+        q, j = np.nonzero(best > 0)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(names[q, j].tolist(), kind), pa.array(best[q, j])], names=["q", "doc_id", "score"])
+
+    return run
+
+
+def _joined(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``bm25`` by joins on tokens, for more query tokens than a task can hold."""
+    have = store(docs.select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("n_tokens", F.size("ts")), "tokens")
+    n, avg = have.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
+    n_docs, avg_tokens = F.lit(n), F.lit(max(avg or 0.0, 1.0))
     have = have.select("doc_id", "n_tokens", F.explode_outer("ts").alias("token"))
-    have = store(have.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi"), "postings")
-    n_docs, avg_tokens = F.lit(seen.get["n"]), F.lit(max(seen.get["avg"] or 0.0, 1.0))
-    df = document_frequency(have)
-    weighed = wanted.join(F.broadcast(df) if small else df, "token").select("query_id", "token", idf(n_docs, F.col("df")).alias("idf"))
+    have = store(have.join(wanted.select("token").distinct(), "token", "left_semi"), "postings")
+    weighed = wanted.join(document_frequency(have), "token").select("query_id", "token", idf(n_docs, F.col("df")).alias("idf"))
     # A token counts once in a document, so a pair's score is the sum of its tokens' idf by the document's own length.
-    hits = have.join(F.broadcast(weighed) if small else weighed, "token")
     norm = 1 + K1 * (1 - B + B * F.col("n_tokens") / avg_tokens)
-    scored = hits.groupBy("query_id", "doc_id", "n_tokens").agg(F.sum("idf").alias("idf")).select("query_id", "doc_id", (F.col("idf") * (K1 + 1) / norm).alias("score"))
+    scored = have.join(weighed, "token").groupBy("query_id", "doc_id", "n_tokens").agg(F.sum("idf").alias("idf")).select("query_id", "doc_id", (F.col("idf") * (K1 + 1) / norm).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    ranked = scored.where("score > 0 and doc_id is not null").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 

@@ -163,15 +163,17 @@ _GOLDEN_SQL = (
 
 def curate_years(spark, sf):
     """Pairs whose query names years that the request doesn't, by century and by year."""
-    p = base.pairs(spark, sf)
+    last = F.regexp_extract("ads_query", r"TO (\d{4})", 1)
+    nl = F.when(F.col("id") % 3 == 0, F.concat("natural_language", F.lit(" until "), last)).otherwise(F.col("natural_language"))
+    p = base.pairs(spark, sf).withColumn("natural_language", nl)
     over = lambda whole: F.exists(curate.problems(F.col("natural_language"), F.col("ads_query"), whole), lambda i: i["issue"] == "over_inference")
     return p.groupBy(over(False).alias("by_century"), over(True).alias("by_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
     "golden_cases": (golden_cases, _GOLDEN_SQL),
-    # A request names the first year of a range that ends two years later.
-    "curate_years": (curate_years, "WITH " + PAIRS_SQL + " SELECT y < 2000 AND y + 2 >= 2000 AS by_century, true AS by_year, count(*) AS n FROM intents GROUP BY ALL"),
+    # A request names the first year of a range that ends two years later, every third one the last as well.
+    "curate_years": (curate_years, "WITH " + PAIRS_SQL + " SELECT id % 3 > 0 AND y < 2000 AND y + 2 >= 2000 AS by_century, id % 3 > 0 AS by_year, count(*) AS n FROM intents GROUP BY ALL"),
     "pair_label_records": (pair_label_records, _LABELLED_SQL),
     "parsed_abstracts": (parsed_abstracts, _ABSTRACTS_SQL),
     "syntax_findings": (syntax_findings, _FINDINGS_SQL),

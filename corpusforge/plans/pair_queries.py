@@ -150,11 +150,13 @@ _CATEGORIZE_SQL = "WITH " + PAIRS_SQL + """ SELECT 'author' AS log_category, CAS
 
 
 def canonicalize_queries(spark, sf):
+    """Queries with blanks, quotes and parentheses as people type them, brought into one form."""
     messy = F.regexp_replace(F.regexp_replace("ads_query", r"\(", "  ( "), r"\)", " ) ")
-    x = base.pairs(spark, sf).select("id", qlang.canonicalize(messy).alias("query"), qlang.canonicalize(F.col("ads_query")).alias("plain"))
-    return x.select("id", "query", (F.col("query") == F.col("plain")).alias("same"))
+    messy = F.concat(F.lit("  "), messy, F.when(F.col("id") % 2 == 0, "  full:\u201cbig  data\u201d  OR(a  )").otherwise(" title:  ( it\u2019s(b)) "))
+    return base.pairs(spark, sf).select("id", qlang.canonicalize(messy).alias("query"))
 
 
+_CANON_SQL = "WITH " + PAIRS_SQL + """ SELECT id, ads_query || CASE WHEN id % 2 = 0 THEN ' full:"big data" OR (a)' ELSE ' title:(it''s (b))' END AS query FROM pairs"""
 
 
 def curate_actions(spark, sf):
@@ -229,10 +231,26 @@ def strict_fixes(spark, sf):
 
 
 def semantic_matches(spark, sf):
-    """How many repaired queries still say what the sound ones said."""
-    u = udfs.register(spark)
-    a, b = base.pairs(spark, sf).withColumnRenamed("ads_query", "want"), base.faulty(spark, sf).select("id", u["constrain_query"]("ads_query").alias("have"))
-    return a.join(b, "id").groupBy("category", qlang.semantic_match(F.col("want"), F.col("have")).alias("match")).agg(F.count(F.lit(1)).alias("n"))
+    """How many changed queries still say half of what the first ones said: in capitals, with other names, with other years, or only the author left."""
+    q, k = F.col("ads_query"), F.col("id") % 4
+    have = F.when(k == 0, F.upper(q)).when(k == 1, F.regexp_replace(q, '"[^"]*"', '"nobody"')).when(k == 2, F.regexp_replace(q, "[0-9]{4}", "1900")).otherwise(F.regexp_extract(q, 'author:"[^"]*"', 0))
+    return base.pairs(spark, sf).groupBy("category", k.alias("change"), qlang.semantic_match(q, have).alias("match")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parts_sql(query: str) -> str:
+    found = [rf"""regexp_extract_all(lower({query}), '(\w+):(?:"([^"]+)"|(\S+))', {i})""" for i in (1, 2, 3)]
+    calls = rf"list_transform(regexp_extract_all(lower({query}), '({'|'.join(vocab.CALLS)})\s*\(', 1), lambda o: 'op:' || o)"
+    return f"list_distinct(list_concat(list_transform(list_zip({', '.join(found)}), lambda x: x[1] || ':' || coalesce(x[2], '') || coalesce(x[3], '')), {calls}))"
+
+
+_SEMANTIC_SQL = (
+    "WITH "
+    + PAIRS_SQL
+    + f""", h AS (SELECT category, id % 4 AS change, ads_query AS w, CASE id % 4 WHEN 0 THEN upper(ads_query) WHEN 1 THEN regexp_replace(ads_query, '"[^"]*"', '"nobody"', 'g')
+    WHEN 2 THEN regexp_replace(ads_query, '[0-9]{{4}}', '1900', 'g') ELSE regexp_extract(ads_query, 'author:"[^"]*"') END AS a FROM pairs),
+  p AS (SELECT category, change, {_parts_sql('w')} AS w, {_parts_sql('a')} AS a FROM h)
+  SELECT category, change, 2 * len(list_intersect(w, a)) >= len(w) AS match, count(*) AS n FROM p GROUP BY ALL"""
+)
 
 
 def intent_pipeline(spark, sf):
@@ -326,7 +344,7 @@ QUERIES = {
     "coverage_audit": (coverage_audit, _COVERAGE_SQL),
     "coverage_compare": (coverage_compare, _COMPARE_SQL),
     "categorize_queries": (categorize_queries, _CATEGORIZE_SQL),
-    "canonicalize_queries": (canonicalize_queries, "WITH " + PAIRS_SQL + " SELECT id, ads_query AS query, true AS same FROM pairs"),
+    "canonicalize_queries": (canonicalize_queries, _CANON_SQL),
     "curate_actions": (curate_actions, _CURATE_SQL),
     "skip_rules": (skip_rules, _SKIP_SQL),
     "dedup_two_key": (dedup_two_key, _DEDUP2_SQL),
@@ -334,8 +352,7 @@ QUERIES = {
     "constrained_queries": (constrained_queries, _CONSTRAINED_SQL),
     "repair_native": (repair_native, _REPAIR_SQL),
     "strict_fixes": (strict_fixes, _STRICT_SQL),
-    # No fault of the table changes what a query asks for by more than half of a component.
-    "semantic_matches": (semantic_matches, "WITH " + PAIRS_SQL + " SELECT category, true AS match, count(*) AS n FROM pairs GROUP BY category"),
+    "semantic_matches": (semantic_matches, _SEMANTIC_SQL),
     "intent_pipeline": (intent_pipeline, _INTENT_SQL),
     "eval_summary": (eval_summary, _EVAL_SQL),
     "benchmark_rollup": (benchmark_rollup, _ROLLUP_SQL),

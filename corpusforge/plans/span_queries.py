@@ -52,9 +52,32 @@ _IOU_SQL = f"""WITH {_WORDS}, {_PRED}, x AS (SELECT p.doc_id, p.type, p.ord AS p
   SELECT doc_id, type, p_ord, g_ord, round(i / (a + b - i), 6) AS iou FROM x WHERE i / (a + b - i) >= 0.5"""
 
 
+def _phrases(spark, sf):
+    """Phrases of one to five words from every word on, so that they nest and cross, and guesses that begin or end a word off."""
+    g = _words(spark, sf).select("doc_id", "ord", "start", "end")
+    last = g.select("doc_id", F.col("ord").alias("last"), F.col("end").alias("last_end"))
+    p = g.withColumn("last", F.col("ord") + F.col("ord") % 5).join(last, ["doc_id", "last"])
+    gold = p.select("doc_id", "ord", "start", F.col("last_end").alias("end"), F.when(F.col("ord") % 7 < 4, "x").otherwise("y").alias("type"))
+    guess = gold.where("ord % 6 <> 5").withColumn("start", F.when(F.col("ord") % 4 == 1, F.greatest(F.col("start") - 6, F.lit(0))).otherwise(F.col("start")))
+    return guess.withColumn("end", F.when(F.col("ord") % 3 == 1, F.col("end") + 5).otherwise(F.col("end"))), gold
+
+
 def span_iou_match(spark, sf):
-    g = _words(spark, sf)
-    return evaluate.partial_matches(_predicted(g), g)
+    return evaluate.partial_matches(*_phrases(spark, sf), 0.4)
+
+
+_MATCH_SQL = f"""WITH RECURSIVE {_WORDS}, gold AS (SELECT a.doc_id, a.ord, a.start, b."end", CASE WHEN a.ord % 7 < 4 THEN 'x' ELSE 'y' END AS type FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.ord = a.ord + a.ord % 5),
+  guess AS (SELECT doc_id, ord, CASE WHEN ord % 4 = 1 THEN greatest(start - 6, 0) ELSE start END AS start, CASE WHEN ord % 3 = 1 THEN "end" + 5 ELSE "end" END AS "end", type FROM gold WHERE ord % 6 <> 5),
+  x AS (SELECT p.doc_id, p.ord AS p_ord, g.ord AS g_ord, least(p."end", g."end") - greatest(p.start, g.start) AS i, p."end" - p.start + g."end" - g.start AS total
+    FROM guess p JOIN gold g ON p.doc_id = g.doc_id AND p.type = g.type AND p.start < g."end" AND g.start < p."end"),
+  c AS (SELECT doc_id, p_ord, list(g_ord ORDER BY g_ord) AS gs, row_number() OVER (PARTITION BY doc_id ORDER BY p_ord) AS n FROM x WHERE round(i / (total - i), 6) >= 0.4 GROUP BY doc_id, p_ord),
+  f AS (
+    SELECT doc_id, 0::BIGINT AS n, -1::BIGINT AS p_ord, NULL::BIGINT AS g_ord, []::BIGINT[] AS taken FROM (SELECT DISTINCT doc_id FROM c)
+    UNION ALL
+    SELECT doc_id, n, p_ord, free[1], CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END
+    FROM (SELECT c.doc_id, c.n, c.p_ord, f.taken, list_filter(c.gs, lambda v: NOT list_contains(f.taken, v)) AS free FROM f JOIN c ON c.doc_id = f.doc_id AND c.n = f.n + 1)
+  )
+  SELECT doc_id, p_ord, g_ord FROM f WHERE g_ord IS NOT NULL"""
 
 
 def bio_islands(spark, sf):
@@ -120,8 +143,13 @@ _CASCADE = """c AS (SELECT span_id, CASE WHEN type = 'topic' AND lower(surface)
 
 
 def link_cascade(spark, sf):
-    x = link.link_cascade(_mentions(spark, sf), link.linking_index(_entries(spark, sf)))
-    return x.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("first_span"))
+    return link.link_cascade(_mentions(spark, sf), link.linking_index(_entries(spark, sf))).select("span_id", "canonical_id", "match_type")
+
+
+#: What is like a name without its first letter is that name more than any other.
+_CASCADE_SQL = f"""WITH {_MENTIONS}, {_CASCADE}, f AS (SELECT s, min(ord) AS ord FROM x GROUP BY s), o AS (SELECT p_partkey AS span_id, e.ord FROM part JOIN e USING (p_name))
+  SELECT c.span_id, CASE match_type WHEN 'exact' THEN 'uat:' || f.ord WHEN 'fuzzy' THEN 'uat:' || o.ord END AS canonical_id, match_type
+  FROM c JOIN m ON c.span_id = m.span_id JOIN o ON o.span_id = c.span_id LEFT JOIN f ON f.s = lower(m.surface)"""
 
 
 def embed_argmax(spark, sf):
@@ -261,13 +289,13 @@ QUERIES = {
     "span_prf_by_type": (span_prf_by_type, _PRF_SQL),
     "span_iou_candidates": (span_iou_candidates, _IOU_SQL),
     # Words don't overlap, so a word's own span is the only one that can be its match.
-    "span_iou_match": (span_iou_match, f"SELECT doc_id, p_ord, g_ord FROM ({_IOU_SQL}) WHERE p_ord = g_ord"),
+    "span_iou_match": (span_iou_match, _MATCH_SQL),
     "bio_islands": (bio_islands, _BIO_SQL),
     "token_metrics": (token_metrics, _TOKEN_SQL),
     "reannotation_delta": (reannotation_delta, _SPANS + """, g AS (SELECT doc_id, count(*)::INTEGER AS b, count(*) FILTER (length(w) >= 10)::INTEGER AS a FROM s GROUP BY doc_id)
   SELECT doc_id, coalesce(b, 0) AS before, coalesce(a, 0) AS after, coalesce(b - a, 0) AS removed, round(coalesce(100.0 * (b - a) / b, 0), 4) AS reduction_pct FROM documents LEFT JOIN g USING (doc_id)"""),
     "link_exact": (link_exact, f"WITH {_MENTIONS} SELECT span_id, 'uat:' || min(ord) AS canonical_id, 'exact' AS match_type FROM m JOIN x ON lower(surface) = s WHERE type = 'topic' GROUP BY span_id"),
-    "link_cascade": (link_cascade, f"WITH {_MENTIONS}, {_CASCADE} SELECT match_type, count(*) AS n, min(span_id) AS first_span FROM c GROUP BY match_type"),
+    "link_cascade": (link_cascade, _CASCADE_SQL),
     "embed_argmax": (embed_argmax, _EMBED_SQL),
     "alias_expand": (alias_expand, _ALIAS_SQL),
     "name_forms": (name_forms, f"""WITH w AS (SELECT doc_id, text AS t FROM documents), p AS (SELECT *, list_filter(string_split_regex(trim(t), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ('a', 'an', 'and', 'the', 'of', 'for', 'in', 'on', 'at', 'to', 'by')) AS ws FROM w)

@@ -148,10 +148,23 @@ def span_offsets_valid(spark, sf):
 
 
 def span_remap(spark, sf):
-    """Clean texts of pages by the exact scan and by expressions, compared."""
-    u = udfs.register(spark)
-    p = table(spark, sf, "pages")
-    return p.select("page_id", F.length(u["clean_html"]("html")).alias("chars"))
+    """Every third word of the benchmark, marked up, and where it is in the clean text."""
+    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    before = F.when(F.col("i") % 4 == 0, "<i class='a'>").when(F.col("i") % 4 == 1, "&lt;&nbsp;").otherwise("")
+    piece = F.concat(before, "w", F.when(F.col("i") % 4 == 0, "</i>").otherwise(""), F.when(F.col("i") % 5 == 0, "  \t ").otherwise(" "))
+    b = b.select("item_id", "i", "w", F.length(before).alias("n"), piece.alias("piece"))
+    at = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("item_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 6
+    b = b.select("item_id", "i", "piece", F.struct((at + F.col("n")).cast("int").alias("start"), (at + F.col("n") + F.length("w")).cast("int").alias("end"), F.lit("word").alias("type")).alias("s"))
+    b = b.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("i", "piece", "s"))).alias("p"))
+    text = F.concat(F.lit(" <p>\t "), F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.lit("</p>"))
+    x = annotate.remapped(b.select(F.col("item_id").alias("doc_id"), text.alias("text"), F.transform(F.filter("p", lambda x: x["i"] % 3 == 0), lambda x: x["s"]).alias("spans")))
+    return x.select(F.col("doc_id").alias("item_id"), F.length("text").alias("chars"), F.explode("spans").alias("s")).select("item_id", "chars", "s.surface", "s.start", "s.end")
+
+
+_REMAP_SQL = """WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM benchmark),
+  p AS (SELECT *, CASE WHEN i % 4 = 1 THEN 2 ELSE 0 END AS more FROM w),
+  s AS (SELECT *, sum(length(w) + more + 1) OVER (PARTITION BY item_id ORDER BY i) - length(w) - 1 AS start, sum(length(w) + more + 1) OVER (PARTITION BY item_id) - 1 AS chars FROM p)
+  SELECT item_id, chars::INTEGER AS chars, w AS surface, start::INTEGER AS start, (start + length(w))::INTEGER AS "end" FROM s WHERE i % 3 = 0"""
 
 
 def overlap_metrics(spark, sf):
@@ -210,7 +223,7 @@ QUERIES = {
     "span_annotate": (span_annotate, _SPANS + """, g AS (SELECT doc_id, count(*)::INTEGER AS n, string_agg(start || ':' || surface, '|' ORDER BY start) AS a FROM s GROUP BY doc_id)
   SELECT doc_id, coalesce(n, 0) AS n_spans, md5(coalesce(a, '')) AS digest FROM documents LEFT JOIN g USING (doc_id)"""),
     "span_offsets_valid": (span_offsets_valid, _SPANS + " SELECT count(*) AS spans, 0::BIGINT AS errors FROM s"),
-    "span_remap": (span_remap, f"SELECT page_id, length({_STRIP.replace('(html,', _DECODED)})::INTEGER AS chars FROM pages"),
+    "span_remap": (span_remap, _REMAP_SQL),
     "overlap_metrics": (overlap_metrics, _OVERLAP_SQL),
     "pagination": (pagination, "SELECT doc_id, n_chars FROM documents WHERE source = 'src0' ORDER BY doc_id LIMIT 10 OFFSET 10"),
     "hash_sample": (hash_sample, "SELECT doc_id, lang FROM documents WHERE ('0x' || substr(md5('42|' || doc_id), 1, 12))::BIGINT / 281474976710656.0 < 0.3"),
