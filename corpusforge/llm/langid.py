@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _words as w
 from ._common import arrow_map, pick, pieces, remainder, table, text_buffers
@@ -102,8 +103,8 @@ class LanguageModel:
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """A model of the labelled rows of ``docs (doc_id, text, lang)``; None if there are none.
 
-    At most ``sample`` texts of each language, by a hash of the id, are taken to the driver, three
-    windows of each, spread over the whole text."""
+    At most ``sample`` texts of each language, by a hash of the id, then of the text, are taken to the driver, three
+    windows of each, spread over the whole text. Every language has one at least, whatever the ids are."""
     docs = docs.where("lang is not null and text is not null and octet_length(text) > 0")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
@@ -113,7 +114,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / counts[k]))]), F.col("lang"))
     step = F.greatest(F.lit(0), (F.length("text") - WINDOW) / (WINDOWS_OF_ONE - 1))
     cuts = [F.expr("substring(text, {}, {})".format("1 + cast(step * %d as int)" % i, WINDOW)) for i in range(WINDOWS_OF_ONE)]
-    rows = docs.where(u < share).withColumn("step", step).select("lang", F.explode(F.array_distinct(F.array(*cuts))).alias("x")).orderBy("lang", "x").collect()
+    cut = docs.withColumn("step", step).select("lang", F.array_distinct(F.array(*cuts)).alias("cuts"), u.alias("u"), share.alias("share"), F.xxhash64("text").alias("t"))
+    # Rows with one id, or none, are all below the share or all not: the rank bounds them, and the least row stands in for none.
+    some = cut.where("u < share").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("u", "t"))).where(F.col("nth") <= sample)
+    rows = some.select("lang", F.explode("cuts").alias("x")).orderBy("lang", "x").collect()
+    if lost := sorted(set(langs) - {r["lang"] for r in rows}):
+        least = cut.where(F.col("lang").isin(lost)).groupBy("lang").agg(F.min_by("cuts", F.struct("u", "t")).alias("cuts"))
+        rows += least.select("lang", F.explode("cuts").alias("x")).orderBy("lang", "x").collect()
     number = {k: i for i, k in enumerate(langs)}
     texts, y, random = [], [], np.random.default_rng(7)
     for r in rows:

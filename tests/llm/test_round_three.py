@@ -247,3 +247,16 @@ def test_licence_lines_are_what_they_name_and_nothing_else(spark):
     wrong += [(t, by[10_000 + i]) for i, (f, t) in enumerate(LINES) if by[10_000 + i] != ([f] if f else [])]
     assert wrong == []
     assert [(x.n_candidates, x.n_confirmed, x.families) for x in got if x.doc_id is None] == [(0, 0, [])] * 5
+
+
+def test_the_language_sample_is_bounded_whatever_the_ids_are(spark, monkeypatch):
+    from corpusforge.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid.ConvNet, "train", lambda self, texts, y, epochs: seen.append(len(y)))
+    monkeypatch.setattr(langid.ConvNet, "forget", lambda self: None)
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.col("id")):
+        docs = spark.range(400).select(ids.alias("doc_id"), F.format_string("text number %s", "id").alias("text"), F.when(F.col("id") < 5, "x").otherwise("y").alias("lang"))
+        for sample in (350, 20):
+            model = langid.train(docs, sample=sample)
+            assert model.langs == ["x", "y"] and 2 * 2 <= seen.pop() <= 2 * (sample + 5)
