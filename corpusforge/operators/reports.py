@@ -78,16 +78,16 @@ def apply_reviews(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def until_enough(make: Callable[[int], DataFrame], key: str, least_total: int, least_each: int, most_rounds: int = 20) -> DataFrame:
-    """Rounds of generation by seed until the total and each value of ``key`` suffice.
-    Each round's table should be stored by ``make``."""
+    """Rounds of generation by seed until the total and each value of ``key`` suffice (W14, Z14); an error
+    if ``most_rounds`` don't. Each round's table should be stored by ``make``."""
     out = None
     for seed in range(most_rounds):
         x = make(seed)
         out = x if out is None else out.unionByName(x)
         n, least = out.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.min("n")).first()
         if (n or 0) >= least_total and (least or 0) >= least_each:
-            break
-    return out
+            return out
+    raise RuntimeError(f"{most_rounds} rounds gave {n or 0} rows, the rarest {key} {least or 0}: {least_total} and {least_each} were wanted")
 
 
 def spot_check(records: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:

@@ -1,4 +1,4 @@
-"""BM25 retrieval: matrix products over batches of documents, and the k best of each task before any shuffle."""
+"""BM25 retrieval: sums of weights over batches of documents, and the k best of each task before any shuffle."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ from ._stored import store
 K1, B = 1.5, 0.75
 #: Query tokens that every task holds at most; beyond, they are joined with the documents'.
 BROADCAST_ROWS = 500_000
-#: Queries that are scored together, and numbers of a matrix that a task makes at once.
+#: Queries that are scored together, and weights that a task adds up at once.
 QUERY_BLOCK = 512
-SCORED_AT_ONCE = 4_000_000
+SCORED_AT_ONCE = 2_000_000
 
 
 def token_rows(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -52,8 +52,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     ``queries (query_id, text)``, ``docs (doc_id, text)``. A token counts once in a
     document; ties go to the smaller doc_id; only positive scores are ranked. Documents are tokenised
     once: the query tokens of each are written as their numbers, beside its length.
-    Queries are then scored in blocks: a task holds the idf of a block's tokens by query as a matrix, multiplies
-    batches of documents with it and keeps ``k`` documents for each query, so what is shuffled are
+    Queries are then scored in blocks: a task holds the idf of a block's tokens by query as a matrix, adds up its
+    rows for the tokens of each document and keeps ``k`` documents for each query, so what is shuffled are
     ``k`` rows a query and task, whatever a token's frequency. Too many query tokens to be held
     are joined instead. Documents without an id count in the corpus and aren't ranked."""
     wanted = store(token_rows(queries, "query_id", F.col("text")).select(F.col("id").alias("query_id"), "token"), "query-tokens")
@@ -118,27 +118,31 @@ def _numbered(vocabulary: list[str]):
 
 def _scorer(number: np.ndarray, weight: np.ndarray, avg_tokens: float, k: int):
     """The ``k`` best documents of a task for each query of a block."""
-    rows = max(1, SCORED_AT_ONCE // max(weight.shape))
+    n = weight.shape[1]
+    most = max(1, SCORED_AT_ONCE // n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = weight.shape[1]
         best, names, kind = np.zeros((n, 0)), None, None
-        for whole in batches:
-            whole = whole.filter(whole.column(0).is_valid())
-            kind = whole.column(0).type
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                ids, sizes, lists = np.array(batch.column(0).to_pylist()), np.asarray(batch.column(1).fill_null(0)), batch.column(2)
-                term = number[np.asarray(lists.flatten())]
-                row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[term >= 0]
-                x = np.zeros((batch.num_rows, len(weight)))
-                x[row, term[term >= 0]] = 1.0
-                score = x @ weight * ((K1 + 1) / (1 + K1 * (1 - B + B * sizes / avg_tokens)))[:, None]
-                ids = np.broadcast_to(ids, (n, len(ids)))
-                best, names = np.concatenate([best, score.T], 1), ids if names is None else np.concatenate([names, ids], 1)
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            kind = batch.column(0).type
+            ids, sizes, lists = np.array(batch.column(0).to_pylist()), np.asarray(batch.column(1).fill_null(0)), batch.column(2)
+            term = number[np.asarray(lists.flatten())]
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[term >= 0]
+            term = term[term >= 0]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+            at = 0
+            while at < len(first):  # documents with about ``most`` tokens of the block
+                end = max(at + 1, int(np.searchsorted(first, first[at] + most)))
+                lo, hi = first[at], first[end] if end < len(first) else len(row)
+                docs = row[first[at:end]]
+                score = np.add.reduceat(weight[term[lo:hi]], first[at:end] - lo) * ((K1 + 1) / (1 + K1 * (1 - B + B * sizes[docs] / avg_tokens)))[:, None]
+                mine = np.broadcast_to(ids[docs], (n, len(docs)))
+                best, names = np.concatenate([best, score.T], 1), mine if names is None else np.concatenate([names, mine], 1)
                 # As ranks go: by the score to six places, then by id.
                 order = np.lexsort((names, -np.floor(best * 1e6 + 0.5)))[:, :k]
                 best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+                at = end
         q, j = np.nonzero(best > 0)
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(names[q, j].tolist(), kind), pa.array(best[q, j])], names=["q", "doc_id", "score"])
