@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import qlang, udfs, vocab
-from ..operators import curate, evaluate, generate, reports, stats
+from ..operators import curate, evaluate, fixers, generate, reports, stats
 from . import base
 from .base import FAULTY_SQL, PAIRS_SQL, sql_list
 
@@ -334,7 +334,31 @@ _INTENT_SQL = (
 )
 
 
+def archive_fixes(spark, sf):
+    """Pairs with one of six faults each, fixed, and which fixers did it (R9, Z24). A query that begins with a call has quotes
+    where parentheses were."""
+    q, k = F.col("ads_query"), F.col("id") % 6
+    author = F.regexp_extract(q, 'author:"([^"]*)"', 1)
+    faulty = F.when(k == 0, F.replace(q, F.lit("author:"), F.lit("Authors:"))).when(k == 1, F.concat(q, F.lit(" bibstem:ApJ"))).when(k == 2, F.concat(q, F.lit(" abs:(dust OR Orion nebula OR of)")))
+    faulty = faulty.when(k == 3, F.concat(F.lit("citations(abs:cosmology) "), q)).when(k == 4, F.concat(q, F.lit(' (abs:"x'))).otherwise(F.replace(q, author, F.lit("Smith, J. K.")))
+    nl = F.when(k == 5, F.lit("papers by Smith")).otherwise(F.col("natural_language"))
+    x = base.pairs(spark, sf).select("id", nl.alias("natural_language"), faulty.alias("ads_query"), F.when(F.col("id") % 2 == 0, "unfielded").otherwise(F.col("category")).alias("category"))
+    return fixers.fix(x).select("id", "ads_query", "category", F.array_join("fixes", ",").alias("fixes"))
+
+
+_FIXES_SQL = (
+    "WITH "
+    + PAIRS_SQL
+    + """ SELECT id, CASE id % 6 WHEN 1 THEN ads_query || ' bibstem:"ApJ"' WHEN 2 THEN ads_query || CASE WHEN operator IS NULL THEN ' abs:(Orion nebula AND dust)' ELSE ' abs:"Orion nebula AND dust"' END WHEN 3 THEN 'citations(abs:"cosmology") ' || ads_query
+    WHEN 4 THEN ads_query || ' (abs:"x")' WHEN 5 THEN replace(ads_query, author, 'Smith') ELSE ads_query END AS ads_query,
+  CASE WHEN id % 2 = 1 THEN pairs.category WHEN operator IS NOT NULL THEN 'operator' ELSE 'author' END AS category,
+  CASE id % 6 WHEN 0 THEN 'fields' WHEN 1 THEN 'bibstems' WHEN 2 THEN 'alternatives' || CASE WHEN operator IS NULL THEN '' ELSE ',arguments' END WHEN 3 THEN 'arguments' WHEN 4 THEN 'balance' ELSE 'surnames' END || CASE WHEN id % 2 = 0 THEN ',category' ELSE '' END AS fixes
+  FROM pairs JOIN intents USING (id)"""
+)
+
+
 QUERIES = {
+    "archive_fixes": (archive_fixes, _FIXES_SQL),
     "assemble_queries": (assemble_queries, "WITH " + PAIRS_SQL + " SELECT id, natural_language, ads_query, category FROM pairs"),
     "lint_queries": (lint_queries, _LINT_SQL + " SELECT id, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS valid FROM e"),
     "lint_error_counts": (lint_error_counts, _LINT_SQL + ", u AS (SELECT unnest(errors) AS error FROM e) SELECT error, count(*) AS n FROM u GROUP BY error"),
