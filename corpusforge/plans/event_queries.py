@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import generate, stats
+from ..operators._stored import shared_dir
 from ..streaming import streams
 from .base import table
 
@@ -79,7 +80,29 @@ def weighted_domains(spark, sf):
 
 _U = "('0x' || substr(md5('42|' || o_orderkey), 1, 12))::BIGINT / 281474976710656.0"
 
+def latency_sketches(spark, sf):
+    """Quantiles from the sketches of a stream's hours, merged by day and then in all, and whether their ranks are as near as promised."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    out = shared_dir(spark, "sketches")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parque[t]")
+    # What a late hour still gets is written when the watermark passes it; a run that ends gives what there is.
+    streams.run_to_table(streams.latency_sketches(stream), out, shared_dir(spark, "sketches-state"), mode="complete", each=lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    at = (0.5, 0.95, 0.99)
+    got = streams.merged_quantiles(spark.read.parquet(out), at=at)
+    x = stats.ranked(e, "event_type", "value").join(got.select("event_type", "windows", "quantiles"), "event_type")
+    reached = [F.max(F.when(F.col("value") <= F.col("quantiles")[i], F.col("upto") / F.col("x.n"))) for i in range(len(at))]
+    below = [F.coalesce(F.max(F.when(F.col("value") < F.col("quantiles")[i], F.col("upto") / F.col("x.n"))), F.lit(0.0)) for i in range(len(at))]
+    near = [((low <= p + _RANK_ERROR) & (up >= p - _RANK_ERROR)).alias(f"near_p{int(p * 100)}") for p, up, low in zip(at, reached, below, strict=True)]
+    return x.alias("x").groupBy("event_type").agg(F.max("n").alias("n"), F.max("windows").alias("windows"), *near)
+
+
+#: How far a quantile's rank may be off, as a share of all values.
+_RANK_ERROR = 0.005
+_SKETCH_SQL = """SELECT event_type, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS windows, true AS near_p50, true AS near_p95, true AS near_p99 FROM events WHERE value IS NOT NULL GROUP BY event_type"""
+
+
 QUERIES = {
+    "latency_sketches": (latency_sketches, _SKETCH_SQL),
     "latency_percentiles": (latency_percentiles, _LATENCY_SQL),
     "latency_exclusive": (latency_exclusive, _EXCLUSIVE_SQL),
     "load_report": (load_report, "SELECT date_trunc('hour', ts) AS hour, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM events GROUP BY 1"),

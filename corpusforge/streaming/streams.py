@@ -39,6 +39,24 @@ def first_seen(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
     return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+#: Numbers that a level of a quantile sketch keeps; the rank of its quantiles is off by about 1.7 / SKETCH_K (99 in 100 times).
+SKETCH_K = 800
+
+
+def latency_sketches(events: DataFrame, by: str = "event_type", value: str = "value", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """``start, by, n, sketch`` of each window of a stream or table: a quantile sketch of some kilobytes instead of the
+    values, so that state stays small, and that merges with others (A12 to A15). Nulls and values that aren't numbers don't count."""
+    x = _timed(events, late).where(F.col(value).isNotNull() & ~F.isnan(value))
+    x = x.groupBy(F.window("ts", size), by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch"))
+    return x.select(F.col("window.start").alias("start"), by, "n", "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, by: str = "event_type", at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """``by, n, windows, quantiles`` over all windows of ``latency_sketches``: the sketches of any part of them can be merged."""
+    x = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("windows"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("s"))
+    return x.select(by, "n", "windows", F.array(*[F.kll_sketch_get_quantile_double("s", F.lit(p)) for p in at]).alias("quantiles"))
+
+
 def linted(queries: DataFrame) -> DataFrame:
     return queries.withColumn("errors", qlang.lint(F.col("query"))).withColumn("valid", F.size("errors") == 0)
 

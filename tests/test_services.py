@@ -266,3 +266,22 @@ def test_rdfxml_goes_on_in_pieces(monkeypatch):
     head = f'<rdf:RDF xmlns:rdf="{R}" xmlns:o="{O}">'
     pieces = list(rdfxml.parse((head + body + "</rdf:RDF>").encode()))
     assert len(pieces) > 15 and max(map(len, pieces)) < 20 and [t for p in pieces for t in p] == [(f"u:é{i}", O + "p", str(i)) for i in range(200)]
+
+
+# ---- sketches ------------------------------------------------------------------
+
+
+def test_sketches_merge_to_quantiles_of_a_stated_rank(spark, tmp_path):
+    events = spark.range(60_000).select(F.timestamp_seconds(1_704_067_200 + F.col("id")).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("event_type"), F.pow(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 1000.0, F.lit(2.0)).alias("value"))
+    events = events.withColumn("value", F.when(F.col("value") > 9000, None).when(F.col("value") < 1, float("nan")).otherwise(F.col("value")))
+    sketches = streams.latency_sketches(events)
+    assert sketches.count() == 2 * 17 and max(len(r.sketch) for r in sketches.collect()) < 20_000
+    got = {r.event_type: r for r in streams.merged_quantiles(sketches, at=(0.1, 0.5, 0.99)).collect()}
+    for kind in "ab":
+        values = sorted(r.value for r in events.where((F.col("event_type") == kind) & F.col("value").isNotNull() & ~F.isnan("value")).collect())
+        assert got[kind].n == len(values) and got[kind].windows == 17
+        for p, q in zip((0.1, 0.5, 0.99), got[kind].quantiles, strict=True):
+            assert abs(sum(v <= q for v in values) / len(values) - p) < 0.006
+    halves = [streams.latency_sketches(events.where(c)) for c in ("ts < '2024-01-01 08:30:00'", "ts >= '2024-01-01 08:30:00'")]
+    again = {r.event_type: r.n for r in streams.merged_quantiles(halves[0].unionByName(halves[1])).collect()}
+    assert again == {k: r.n for k, r in got.items()}
