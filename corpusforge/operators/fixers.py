@@ -1,4 +1,4 @@
-"""Fixers of a pair's query as ordered rules, all of them Columns.
+"""Fixers of a pair's query as ordered rules, all of them Columns.
 
 A rule that rewrites the inside of a clause cuts the query into clauses and what is between them, rewrites
 the clauses that it knows and joins the pieces again; what no rule knows stays letter for letter.
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+
 # Words that tell nothing of a title.
 TITLE_STOPWORDS = (
     "the", "a", "an", "of", "in", "on", "at", "to", "for", "with",
@@ -55,6 +57,23 @@ FIELD_WORDS = (
     "gaia", "alma", "vlt", "hst", "eso", "nasa",
     "cloudy", "simbad", "astrometry", "photometry", "spectroscopy",
 )
+# Words that hardly tell what a text is about: small ones, those of titles, and of phrases.
+SMALL_WORDS = ("the", "a", "an", "of", "in", "on", "at", "to", "for", "with", "by", "from", "and", "or")
+TITLE_DULL = (
+    "the", "a", "an", "of", "in", "on", "at", "to", "for", "with", "by", "from", "and", "or", "is", "are", "was", "were", "be",
+    "its", "their", "this", "that", "these", "those", "as", "into", "observations", "properties", "characteristics", "nature",
+    "evidence", "detection", "discovery", "search", "finding", "new", "recent", "first", "toward", "towards", "failed",
+    "blue", "red", "large", "small", "high", "low",
+)
+PHRASE_DULL = (
+    "the", "a", "an", "of", "in", "on", "at", "to", "for", "with", "by", "from", "and", "or", "is", "are", "was", "were", "be",
+    "its", "their", "this", "that", "these", "those", "as", "into", "observations", "properties", "characteristics", "nature",
+    "evidence", "detection", "discovery", "search", "finding", "new", "recent", "first", "toward", "towards", "failed",
+    "blue", "red", "large", "small", "high", "low", "studies", "research", "analysis", "data", "results", "survey", "study",
+    "using", "based", "between", "among", "within", "early", "late", "young", "old", "bright", "faint", "massive",
+)
+# Words of which a title has several.
+TITLE_MARKS = ("the", "of", "in", "a", "an", "for", "with", "by", "to")
 # Calls whose arguments are mended.
 CALLS = ("citations", "trending", "useful", "reviews", "similar", "references")
 # Misspelt fields and what they are.
@@ -102,6 +121,76 @@ def _capitals(t: Column) -> Column:
     return (F.upper(t) == t) & t.rlike("[A-Z]")
 
 
+def _clause(*fields: str) -> str:
+    """A clause of one of the fields: with a list in parentheses, a quoted or a bare value."""
+    return rf'\b(?:{"|".join(fields)}):(?:\s*(?:\([^)]+\)|"[^"]*")|[^\s()"]+)'
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _listed(p: Column) -> Column:
+    """What a clause has in parentheses; empty if it has none."""
+    return F.regexp_extract(p, r"(?s)^\w+:\s*\((.+)\)\z", 1)
+
+
+def _quoted(p: Column) -> Column:
+    return F.regexp_extract(p, r'(?s)^\w+:\s*"(.*)"\z', 1)
+
+
+def _dullness(word: Column, dull: tuple[str, ...]) -> Column:
+    """0: tells what a text is about; 1: may do if nothing else does; 2: only if it must; 3: hardly a word."""
+    telling = (F.length(word) > 3) & ~word.rlike(r"^\d+$") & ~F.lower(word).isin(*dull)
+    return F.when(F.length(word) <= 2, 3).when(telling, 0).when(F.lower(word).isin(*SMALL_WORDS), 2).otherwise(1)
+
+
+def allowed_only(query: Column, *fields: str) -> Column:
+    """``query`` without values that are not allowed in the closed fields given, or in all of them (R2)."""
+    closed = {f: [v.lower() for v in vocab.ENUMS[f]] for f in fields or tuple(vocab.ENUMS)}
+
+    def change(p: Column) -> Column:
+        field = F.lower(F.regexp_extract(p, r"^(\w+):", 1))
+        good = lambda v: F.coalesce(*[F.when(field == f, F.lower(v).isin(*values)) for f, values in closed.items()], F.lit(False))
+        kept = F.filter(F.transform(F.split(_listed(p), r"(?i)\s+OR\s+"), lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")), lambda v: good(F.regexp_replace(v, r'^"+|"+$', "")))
+        values = F.array_join(kept, " OR ")
+        some = F.when(F.size(kept) == 0, "").when(F.size(kept) == 1, F.concat(field, F.lit(":"), values)).otherwise(F.concat(field, F.lit(":("), values, F.lit(")")))
+        one = F.when(p.rlike(r'(?s)^\w+:\s*"'), _quoted(p)).otherwise(F.regexp_extract(p, r"(?s)^\w+:(.*)\z", 1))
+        return F.when(_listed(p) != "", some).otherwise(F.when(good(one), p).otherwise(""))
+
+    return rewritten(query, "(?i:" + _clause(*closed) + ")", change)
+
+
+def shorter_phrases(query: Column, max_words: int = 2, most: int = 3) -> Column:
+    """Long quoted phrases of a text field as up to ``most`` distinctive terms (R6): the least dull words at whose dullness there are two."""
+
+    def change(p: Column) -> Column:
+        words = _words(_quoted(p))
+        under = lambda n: F.filter(words, lambda w: _dullness(w, PHRASE_DULL) <= n)
+        first = F.slice(F.when(F.size(under(2)) > 0, under(2)).otherwise(words), 1, 1)
+        terms = F.when(F.size(under(0)) > 1, F.slice(under(0), 1, most)).when(F.size(under(1)) > 0, F.slice(under(1), 1, most)).otherwise(first)
+        field = F.regexp_extract(p, r"^(\w+):", 1)
+        joined = F.array_join(terms, " AND ")
+        return F.when(F.size(words) <= max_words, p).otherwise(F.concat(field, F.lit(":"), F.when(F.size(terms) > 1, F.concat(F.lit("("), joined, F.lit(")"))).otherwise(joined)))
+
+    return rewritten(query, _clause("abs", "title"), change)
+
+
+def title_conjunctions(query: Column, most: int = 3) -> Column:
+    """``abs:(what reads like a title)`` as a conjunction of distinctive terms."""
+
+    def change(p: Column) -> Column:
+        inside = _listed(p)
+        words = _words(inside)
+        marks = F.size(F.filter(words, lambda w: F.lower(w).isin(*TITLE_MARKS)))
+        good = F.slice(F.filter(words, lambda w: _dullness(w, TITLE_DULL) == 0), 1, most)
+        like_title = (F.size(words) > 5) | ((F.size(words) > 2) & (marks > 1))
+        plain = ~inside.rlike(r'(?s)^".*"\z') & ~inside.rlike(r"(?i)\b(?:AND|OR|NOT)\b")
+        return F.when(like_title & (F.size(good) >= 2) & plain, F.concat(F.lit("abs:("), F.array_join(good, " AND "), F.lit(")"))).otherwise(p)
+
+    return rewritten(query, _clause("abs"), change)
+
+
 def quoted_bibstems(query: Column) -> Column:
     return F.regexp_replace(query, r"""bibstem:(?!["'])([a-zA-Z0-9&\.]+)""", 'bibstem:"$1"')
 

@@ -222,12 +222,11 @@ _REPAIR_SQL = "WITH " + PAIRS_SQL + " SELECT id, ads_query AS fixed, ads_query |
 
 def strict_fixes(spark, sf):
     """Pairs with bibcodes go; the others get a type, distinctive terms and sound text fields."""
-    u = udfs.register(spark)
     title = F.concat(F.lit('abs:"a survey of '), F.split_part("natural_language", F.lit(" about "), F.lit(2)), F.lit(' observations in clusters" abs:(the '), "category", F.lit(" of the brightest and the largest galaxies)"))
     x = base.pairs(spark, sf).withColumn("ads_query", F.when(F.col("id") % 3 == 0, title).when(F.col("id") % 17 == 1, "2022A&A...658L..10L").otherwise(F.col("ads_query")))
     x = x.where(~F.col("ads_query").rlike(curate.BIBCODE))
     typed = F.when(curate.mentions_papers(F.col("natural_language")), qlang.add_article(F.col("ads_query"))).otherwise(F.col("ads_query"))
-    return x.select("id", u["title_to_terms"](u["break_phrase"](typed)).alias("fixed"))
+    return x.select("id", fixers.title_conjunctions(fixers.shorter_phrases(typed)).alias("fixed"))
 
 
 def semantic_matches(spark, sf):
@@ -321,7 +320,7 @@ _STRICT_SQL = (
     "WITH "
     + PAIRS_SQL
     + f""", k AS (SELECT id, category, ads_query, list_filter(string_split('a survey of ' || split_part(natural_language, ' about ', 2) || ' observations in clusters', ' '),
-    lambda w: length(w) > 3 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({sql_list(udfs._PHRASE_DULL)}, w))[1:3] AS ws FROM pairs WHERE id % 3 = 0 OR id % 17 <> 1)
+    lambda w: length(w) > 3 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({sql_list(fixers.PHRASE_DULL)}, w))[1:3] AS ws FROM pairs WHERE id % 3 = 0 OR id % 17 <> 1)
   SELECT id, CASE WHEN id % 3 = 0 THEN 'abs:(' || array_to_string(ws, ' AND ') || ') abs:(the ' || category || ' of the brightest and the largest galaxies) doctype:article'
     ELSE ads_query || CASE WHEN contains(ads_query, 'doctype:') THEN '' ELSE ' doctype:article' END END AS fixed FROM k"""
 )
@@ -357,7 +356,21 @@ _FIXES_SQL = (
 )
 
 
+def allowed_values(spark, sf):
+    """Queries without the values that their closed fields don't have (R2)."""
+    more = F.when(F.col("id") % 4 == 0, ' bibgroup:("HST" or none OR Chandra) Doctype:"Article"').when(F.col("id") % 4 == 1, ' property:"nonsense" doctype:(memo OR note)').when(F.col("id") % 4 == 2, " property:(refereed OR nonsense) x:(doctype:memo)").otherwise("")
+    return base.pairs(spark, sf).select("id", fixers.allowed_only(F.concat("ads_query", more)).alias("fixed"))
+
+
+_ALLOWED_SQL = (
+    "WITH "
+    + PAIRS_SQL
+    + """ SELECT id, ads_query || CASE id % 4 WHEN 0 THEN ' bibgroup:("HST" OR Chandra) Doctype:"Article"' WHEN 1 THEN '  ' WHEN 2 THEN ' property:refereed x:()' ELSE '' END AS fixed FROM pairs"""
+)
+
+
 QUERIES = {
+    "allowed_values": (allowed_values, _ALLOWED_SQL),
     "archive_fixes": (archive_fixes, _FIXES_SQL),
     "assemble_queries": (assemble_queries, "WITH " + PAIRS_SQL + " SELECT id, natural_language, ads_query, category FROM pairs"),
     "lint_queries": (lint_queries, _LINT_SQL + " SELECT id, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS valid FROM e"),

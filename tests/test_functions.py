@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusforge.functions import qlang, text, udfs, vocab
-from corpusforge.operators import alias, annotate, catalog, curate, enrich, evaluate, generate, link, stats
+from corpusforge.operators import alias, annotate, catalog, curate, enrich, evaluate, fixers, generate, link, stats
 
 
 def one(spark, value, f, kind="string"):
@@ -114,8 +114,8 @@ def test_intent_values_and_topics():
         ('abs:"a of it"', "abs:a"),
     ],
 )
-def test_break_phrase(query, fixed):
-    assert udfs.break_phrase(query) == fixed
+def test_break_phrase(spark, query, fixed):
+    assert spark.range(1).select(fixers.shorter_phrases(F.lit(query))).first()[0] == fixed
 
 
 @pytest.mark.parametrize(
@@ -127,8 +127,17 @@ def test_break_phrase(query, fixed):
         ("abs:(dark matter)", "abs:(dark matter)"),
     ],
 )
-def test_title_to_terms(query, fixed):
-    assert udfs.title_to_terms(query) == fixed
+def test_title_to_terms(spark, query, fixed):
+    assert spark.range(1).select(fixers.title_conjunctions(F.lit(query))).first()[0] == fixed
+
+
+def test_allowed_values_as_expressions_and_as_scan(spark):
+    r = random.Random(1)
+    pieces = ["doctype:article", "doctype:memo", "Doctype:(article OR memo)", 'property:("refereed" or x)', 'bibgroup:"HST"', 'bibgroup: "none"', "doctype:", "abs:(doctype:memo)", "(", ")", " OR ", "xdoctype:memo", 'property:( refereed  OR  "openaccess" )', "é\n", "doctype:()"]
+    queries = [r.choice(["", " "]).join(r.choices(pieces, k=r.randrange(0, 8))) for _ in range(400)]
+    for fields in ((), ("doctype",)):
+        got = [x[0] for x in spark.createDataFrame(list(enumerate(queries)), "i int, q string").orderBy("i").select(fixers.allowed_only(F.col("q"), *fields)).collect()]
+        assert got == [udfs.keep_allowed(q, *fields) for q in queries]
 
 
 @pytest.mark.parametrize("q, skip", [("citations(abs:x)", True), ('full:"1234"', True), ("abs:x year:16", True), ("abs:x year:2016", False), ("a OR b OR c OR d OR e", True), ("a OR b OR c OR d", False), ("abs:my diary", True), ("*:*", True), ("abs:dust", False)])
