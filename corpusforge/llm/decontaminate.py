@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as w
-from ._common import arrow_map, pick, pieces, table, text_buffers
+from ._common import arrow_map, pick, pieces, store, table, text_buffers
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton (about 45 bytes of memory for each); only a
@@ -161,21 +161,23 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     item of fewer than ``window`` words is one pattern; repeated items count once.
     An empty benchmark leaves all documents clean. Other columns are not read. The
     benchmark is taken to the driver in blocks of ``block_bytes`` and each block is one
-    automaton and one pass, whose hits join those before."""
+    automaton and one pass, whose hits join those before; what a pass gives is written before the next
+    block is fetched, so that one is held at a time."""
     out = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first_word:int,end_word:int,first_byte:bigint,end_byte:bigint>>)").alias("spans"))
-    for items, name in _blocks(benchmark, window, block_bytes):
+    for items, name, last in _blocks(benchmark, window, block_bytes):
         out = arrow_map(out, _scan(items, window, name), _OUT)
+        out = out if last else store(out, "scanned")
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], str]]:
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], str, bool]]:
     bench = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(F.col("item_id").cast("string"), "text").distinct().collect()
         items = sorted(tuple(r) for r in part)
-        yield items, hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
+        yield items, hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest(), b == blocks - 1
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -193,8 +195,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
         return run
 
-    for items, name in _blocks(benchmark, window, block_bytes):
+    for items, name, last in _blocks(benchmark, window, block_bytes):
         docs = arrow_map(docs, dropper(items, name), docs.schema)
+        docs = docs if last else store(docs, "clean")
     return docs
 
 
