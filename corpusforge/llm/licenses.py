@@ -348,26 +348,34 @@ def _confirmable(paragraph: Column, model: LicenceModel) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """``paragraph, head, tail`` of every run of two lines or more within reach: its words,
-    without those of its last line, and without those of its first."""
+    """``paragraph, head, tail, before`` of every run of two lines or more within reach: its words,
+    without those of its last line, and without those of its first; and the line before it."""
     word = F.lit("[a-z0-9]+")
     v = F.transform(lines, lambda t: F.regexp_extract_all(F.lower(t), word, F.lit(0)))
     v = F.transform(v, lambda w: F.struct(F.size(w).alias("n"), F.concat_ws(" ", F.slice(w, F.lit(1), F.lit(REACH))).alias("first"), F.concat_ws(" ", F.slice(w, F.greatest(F.size(w) - (REACH - 1), F.lit(1)), F.lit(REACH))).alias("last")))
-    none = F.expr("cast(array() as array<struct<paragraph:string,head:string,tail:string>>)")
+    none = F.expr("cast(array() as array<struct<paragraph:string,head:string,tail:string,before:string>>)")
 
     def step(a: Column, x: Column) -> Column:
         goes_on = a["open"] & (x["n"] > 0) & (a["n"] < REACH)
         text, tail = F.concat_ws(" ", a["text"], x["first"]), F.concat_ws(" ", a["tail"], x["first"])
-        run = F.struct(text.alias("paragraph"), a["text"].alias("head"), tail.alias("tail"))
-        return F.when(goes_on, F.struct(F.lit(True).alias("open"), (a["n"] + x["n"]).alias("n"), text.alias("text"), tail.alias("tail"), F.concat(a["out"], F.array(run)).alias("out"))).otherwise(F.struct(F.lit(False).alias("open"), a["n"].alias("n"), a["text"].alias("text"), a["tail"].alias("tail"), a["out"].alias("out")))
+        run = F.struct(text.alias("paragraph"), a["text"].alias("head"), tail.alias("tail"), a["before"].alias("before"))
+        return F.when(goes_on, F.struct(F.lit(True).alias("open"), (a["n"] + x["n"]).alias("n"), text.alias("text"), tail.alias("tail"), a["before"].alias("before"), F.concat(a["out"], F.array(run)).alias("out"))).otherwise(F.struct(F.lit(False).alias("open"), a["n"].alias("n"), a["text"].alias("text"), a["tail"].alias("tail"), a["before"].alias("before"), a["out"].alias("out")))
 
     def of(v: Column) -> Column:
-        start = lambda x: F.struct((x["n"] > 0).alias("open"), F.lit(0).alias("n"), x["last"].alias("text"), F.lit(None).cast("string").alias("tail"), none.alias("out"))
-        return F.flatten(F.transform(v, lambda x, i: F.aggregate(F.slice(v, i + 2, F.lit(REACH)), start(x), step, lambda a: a["out"])))
+        start = lambda x, i: F.struct((x["n"] > 0).alias("open"), F.lit(0).alias("n"), x["last"].alias("text"), F.lit(None).cast("string").alias("tail"), F.get(v, i - 1)["last"].alias("before"), none.alias("out"))
+        return F.flatten(F.transform(v, lambda x, i: F.aggregate(F.slice(v, i + 2, F.lit(REACH)), start(x, i), step, lambda a: a["out"])))
 
     return F.flatten(F.transform(F.array(v), of))
 
 
+def _denied_before(paragraph: Column, before: Column) -> Column:
+    """Whether the line before ends with a denial, or with one that goes on in the paragraph."""
+    words = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    last, first = F.regexp_extract(words(before), r"(?:[a-z0-9]+ ){0,9}[a-z0-9]+$", 0), F.regexp_extract(words(paragraph), "^(?:[a-z0-9]+ ){0,5}", 0)
+    goes_on = F.concat(last, F.lit(" "), first).rlike(DENIED) & ~last.rlike(DENIED) & ~first.rlike(DENIED)
+    return F.coalesce(last.rlike(f"{DENIED}(?: the| a| an| terms| of)*$") | goes_on, F.lit(False))
+
+
 def _beside(lines: DataFrame, known: DataFrame, key: str, how: str, few: bool) -> DataFrame:
     """``lines`` joined with the distinct paragraphs of ``known``. Beyond a broadcast each of those goes to every
     part of its key, as a third of all documents may hold one and the same notice."""
@@ -391,15 +399,18 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     model = model or trained()
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     some = docs.where(F.col("doc_id").isNotNull() & (F.col("text").rlike(TRIGGER) | _confirmable(F.col("text"), model))).select("doc_id", F.split("text", "\n").alias("lines"))
-    lines = some.select("doc_id", F.explode("lines").alias("paragraph"))
-    lines = lines.select("doc_id", "paragraph", *[F.lit(None).cast("string").alias(c) for c in ("head", "tail")], F.col("paragraph").rlike(TRIGGER).alias("named"))
+    lines = some.select("doc_id", F.explode(F.transform("lines", lambda t, i: F.struct(t.alias("paragraph"), F.get("lines", i - 1).alias("before")))).alias("r")).select("doc_id", "r.*")
+    lines = lines.select("doc_id", "paragraph", *[F.lit(None).cast("string").alias(c) for c in ("head", "tail")], "before", F.col("paragraph").rlike(TRIGGER).alias("named"))
     lines = lines.where(F.col("named") | _confirmable(F.col("paragraph"), model))
     runs = some.select("doc_id", F.explode(_runs(F.col("lines"))).alias("r")).select("doc_id", "r.*", F.lit(False).alias("named")).where(_confirmable(F.col("paragraph"), model))
-    lines = store(lines.unionByName(runs).groupBy("doc_id", "paragraph", "head", "tail", "named").agg(F.count(F.lit(1)).alias("times")), "paragraphs")
+    lines = lines.unionByName(runs).withColumn("denied", _denied_before(F.col("paragraph"), F.col("before"))).drop("before")
+    lines = store(lines.groupBy("doc_id", "paragraph", "head", "tail", "named", "denied").agg(F.count(F.lit(1)).alias("times")), "paragraphs")
     scored = lines.select(F.explode(F.array_distinct(F.array_compact(F.array("paragraph", "head", "tail")))).alias("paragraph")).distinct()
     known = store(classify_paragraphs(scored, model), "families")
     few = known.count() <= BROADCAST_PARAGRAPHS
     found = _beside(lines, known, "paragraph", "inner", few)
+    # What the line before denies names nothing.
+    found = found.withColumns({"confirmed": F.col("confirmed") & ~F.col("denied"), "family": F.when(F.col("denied"), UNKNOWN).otherwise(F.col("family"))}).drop("denied")
     for c in ("head", "tail"):
         sure = known.where("confirmed").select(F.col("paragraph").alias(c), F.col("family").alias(f"{c}_family"))
         found = _beside(found, sure, c, "left", few)
