@@ -76,6 +76,13 @@ PHRASE_DULL = (
 TITLE_MARKS = ("the", "of", "in", "a", "an", "for", "with", "by", "to")
 # Calls whose arguments are mended.
 CALLS = ("citations", "trending", "useful", "reviews", "similar", "references")
+# Patterns of what is mended: a bare journal, a bare and a bracketed argument, long contents, a surname in a request, initials after it.
+BARE_BIBSTEM = r"""bibstem:(?!["'])([a-zA-Z0-9&\.]+)"""
+BARE_ARGUMENT = r"""abs:(?!["'])([a-zA-Z0-9_]+)"""
+BRACKETED_ARGUMENT = r"abs:\(([^)]+)\)"
+LONG_CONTENT = r'abs:\s*(?:\([^)]{50,}\)|"[^"]{50,}")'
+SURNAME = r"\bby\s+([A-Z][a-z]+(?:-[A-Z][a-z]+)?)\b(?!\s+[A-Z]\.)"
+INITIALS = r'(?:-[A-Za-z]+)?,\s*[A-Z]\.?\s*[A-Z]?\.?"'
 # Misspelt fields and what they are.
 MISSPELT = {"authors": "author", "abstracts": "abs", "abstract": "abs", "years": "year", "documents": "doctype", "properties": "property", "database": "collection"}
 # The category of an unsorted pair by what stands in its query or request, the first that fits.
@@ -192,7 +199,7 @@ def title_conjunctions(query: Column, most: int = 3) -> Column:
 
 
 def quoted_bibstems(query: Column) -> Column:
-    return F.regexp_replace(query, r"""bibstem:(?!["'])([a-zA-Z0-9&\.]+)""", 'bibstem:"$1"')
+    return F.regexp_replace(query, BARE_BIBSTEM, 'bibstem:"$1"')
 
 
 def title_terms(query: Column, most: int = 4) -> Column:
@@ -209,7 +216,7 @@ def title_terms(query: Column, most: int = 4) -> Column:
         terms = F.transform(F.slice(_best(words, score), 1, most), lambda s: s["t"])
         return F.when(inside.rlike(r"\b(OR|AND)\b"), p).otherwise(_joined(terms, p))
 
-    return rewritten(query, r'abs:\s*(?:\([^)]{50,}\)|"[^"]{50,}")', change)
+    return rewritten(query, LONG_CONTENT, change)
 
 
 def alternatives_joined(query: Column, most: int = 3) -> Column:
@@ -236,16 +243,16 @@ def alternatives_joined(query: Column, most: int = 3) -> Column:
 def quoted_arguments(query: Column) -> Column:
     """Values of ``abs`` within calls in quotes instead of parentheses or nothing."""
     calls = "|".join(CALLS)
-    q = F.when(query.rlike(rf"^(?:{calls})\("), F.regexp_replace(query, r"abs:\(([^)]+)\)", 'abs:"$1"')).otherwise(query)
-    return rewritten(q, rf"(?:{calls})\([^)]+\)", lambda p: F.regexp_replace(p, r"""abs:(?!["'])([a-zA-Z0-9_]+)""", 'abs:"$1"'))
+    q = F.when(query.rlike(rf"^(?:{calls})\("), F.regexp_replace(query, BRACKETED_ARGUMENT, 'abs:"$1"')).otherwise(query)
+    return rewritten(q, rf"(?:{calls})\([^)]+\)", lambda p: F.regexp_replace(p, BARE_ARGUMENT, 'abs:"$1"'))
 
 
 def plain_surnames(query: Column, request: Column) -> Column:
     """Initials of authors that the request doesn't give are taken out."""
-    named = F.regexp_extract_all(request, F.lit(r"\bby\s+([A-Z][a-z]+(?:-[A-Z][a-z]+)?)\b(?!\s+[A-Z]\.)"), F.lit(1))
+    named = F.regexp_extract_all(request, F.lit(SURNAME), F.lit(1))
 
     def without(q: Column, name: Column) -> Column:
-        pattern = F.concat(F.lit(r'(?i)(author:\s*"\^?)'), name, F.lit(r'(?:-[A-Za-z]+)?,\s*[A-Z]\.?\s*[A-Z]?\.?"'))
+        pattern = F.concat(F.lit(r'(?i)(author:\s*"\^?)'), name, F.lit(INITIALS))
         return F.regexp_replace(q, pattern, F.concat(F.lit("$1"), name, F.lit('"')))
 
     return F.aggregate(F.coalesce(named, F.array().cast("array<string>")), query, without)
