@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import qlang
 from .validate import bare_values, invalid_values
@@ -66,9 +67,12 @@ def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def examples_for_report(df: DataFrame, good: Column, order: str, n: int = 5) -> DataFrame:
-    """The first ``n`` rows of either kind (W18): the feature is the limit."""
-    pick = lambda c: df.where(c).orderBy(order).limit(n)
-    return pick(good).withColumn("good", F.lit(True)).unionByName(pick(~good).withColumn("good", F.lit(False)))
+    """The first ``n`` rows of either kind (W18): the feature is the limit. The rows are read once, and each
+    task keeps its own first rows of a kind before they meet."""
+    nth = F.row_number().over(Window.partitionBy("good").orderBy(order))
+    x = df.withColumn("good", good).withColumn("_n", nth).where(F.col("_n") <= n)
+    # A row that is neither good nor bad is no example; said of its place, as a test of ``good`` would be moved below the window and computed twice.
+    return x.where(F.when(F.col("good").isNotNull(), F.col("_n")) <= n).drop("_n")
 
 
 def apply_reviews(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
