@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.functions import qlang, vocab
-from corpusforge.operators import reports
+from corpusforge.operators import reports, validate
 from corpusforge.plans import registry
 
 
@@ -42,3 +42,53 @@ def test_values_of_a_closed_field_are_those_of_a_loop(spark, q):
     row = spark.createDataFrame([(q,)], "q string").select(qlang.enum_values(F.col("q"), "doctype").alias("v"), qlang.wrong_values(F.col("q"), "doctype").alias("w")).first()
     allowed = {v.lower() for v in vocab.ENUMS["doctype"]}
     assert row.v == want and row.w == (None if q is None else [v for v in want if v.lower() not in allowed])
+
+
+def test_skip_rules_take_no_customers_number_for_a_date(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con, keys = duckdb.connect(), (1, 9999, 99999999, 100001)
+    rows = {
+        "orders": spark.createDataFrame([(i + 2, k) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").withColumn("o_orderdate", F.lit("1997-05-05").cast("date")),
+        "customer": spark.createDataFrame([(k, f"Customer#{k:09d}") for k in keys], "c_custkey long, c_name string"),
+        "part": spark.createDataFrame([(k, "hot gizmo", "LARGE TIN", 4) for k in keys], "p_partkey long, p_name string, p_type string, p_size int"),
+    }
+    for name, df in rows.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE_SQL["skip_rules"]).fetchall())
+    assert sorted(tuple(r) for r in registry.QUERIES["skip_rules"](spark, str(tmp_path)).collect()) == want
+
+
+def test_resolution_pairs_no_hint_with_every_title_that_shares_a_word(spark):
+    hints = [(i, h) for i, h in enumerate(["red ring", "Ring red, ring", "ring", "big blue ring", "no such ring", "a b", None])]
+    papers = [(i, t, i % 7) for i, t in enumerate(["red ring", "the red old ring", "ring", "blue ring big", "red", None, "ring of red"] * 40)] + [(3, "blue ring big", 3)]
+    h = spark.createDataFrame(hints * 30, "id long, hint string")
+    x = validate.resolve(h, spark.createDataFrame(papers, "bibcode long, title string, citation_count int"))
+    words = lambda t: set(re.findall("[a-z0-9]{3,}", (t or "").lower()))
+    want = {}
+    for i, hint in hints:
+        fit = [(c, b) for b, t, c in papers if words(hint) and words(hint) <= words(t)]
+        if fit:
+            want[i] = max(fit)[1]
+    assert {r.id: r.bibcode for r in x.collect()} == want and 0 in want and 4 not in want
+    assert "max_by" not in plan(x) and "array_except" in plan(x)
+
+
+def test_calls_of_a_query_are_looked_up_once_for_all_phrases(spark):
+    x = spark.createDataFrame([("popular papers like these", "similar(trending(x))"), (None, "similar(x)"), ("popular", "")], "nl string, q string")
+    x = x.select(validate.trigger_phrases(F.col("nl"), qlang.calls(F.col("q"))).alias("t"))
+    assert [[tuple(p) for p in r.t] for r in x.collect()] == [[("trending", "popular"), ("similar", "like")], [], []]
+    assert plan(x).count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("q", ['a:"b c" d:e f:', 'a:"" b:"x', 'a:"b"c d:""e"', 'citations(a:b) x:"y', 'a:\n"b', "", 'A:"B" \u2028c:d'])
+def test_parts_that_a_semantic_match_compares(spark, q):
+    low = q.lower()
+    want = [n + ":" + a + b for n, a, b in re.findall(r'(\w+):(?:"([^"]+)"|([^ \t\n\x0b\f\r]+))', low, re.A)] + ["op:" + o for o in re.findall("(" + "|".join(vocab.CALLS) + r")[ \t\n]*\(", low)]
+    want = list(dict.fromkeys(want))
+    for n in range(len(want) + 1):
+        # A text that has n of the parts, written so that each is one.
+        have = " ".join(f"{p[3:]}(" if p.startswith("op:") else f'{p.split(":", 1)[0]}:"{p.split(":", 1)[1]}"' if " " in p else p for p in want[:n])
+        kept = len(set(want) & set([m[0] + ":" + m[1] + m[2] for m in re.findall(r'(\w+):(?:"([^"]+)"|(\S+))', have, re.A)] + ["op:" + o for o in re.findall("(" + "|".join(vocab.CALLS) + r")\s*\(", have)]))
+        got = spark.createDataFrame([(q, have)], "e string, a string").select(qlang.semantic_match(F.col("e"), F.col("a")).alias("m")).first().m
+        assert got == (not want or 2 * kept >= len(want))
