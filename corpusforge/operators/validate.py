@@ -178,12 +178,20 @@ def paper_hint(text: Column) -> Column:
 
 def resolve(hints: DataFrame, papers: DataFrame) -> DataFrame:
     """``id, bibcode`` of the most cited paper with all of a hint's words in its title (N10, the part without a model).
-    ``hints (id, hint)``, ``papers (bibcode, title, citation_count)``; words are joined, then counted."""
-    h = hints.select("id", F.array_distinct(F.regexp_extract_all(F.lower("hint"), F.lit(r"([a-z0-9]{3,})"), F.lit(1))).alias("w")).where("size(w) > 0")
-    h = h.select("id", F.size("w").alias("need"), F.explode("w").alias("word"))
-    p = papers.select("bibcode", "citation_count", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"([a-z0-9]{3,})"), F.lit(1)))).alias("word"))
-    x = p.join(h, "word").groupBy("id", "need", "bibcode", "citation_count").agg(F.count(F.lit(1)).alias("n")).where("n = need")
-    return x.groupBy("id").agg(F.max_by("bibcode", F.struct("citation_count", "bibcode")).alias("bibcode"))
+    ``hints (id, hint)``, ``papers (bibcode, title, citation_count)``.
+
+    Hints of the same words are looked up once, of titles of the same words only the most cited paper counts, and a
+    hint meets the titles that have its rarest word, so no table of all pairs with a common word is made."""
+    words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]{3,})"), F.lit(1))))
+    h = hints.select("id", words("hint").alias("w")).where("size(w) > 0")
+    p = papers.select("bibcode", "citation_count", words("title").alias("t")).where("size(t) > 0")
+    p = p.groupBy("t").agg(F.max(F.struct("citation_count", "bibcode")).alias("best")).select("best", "t", F.explode("t").alias("word"))
+    titles = p.groupBy("word").agg(F.count(F.lit(1)).alias("titles"))
+    # A word of no title is the rarest of all; its hint meets nothing.
+    rare = h.select("w").distinct().select("w", F.explode("w").alias("word")).join(titles, "word", "left")
+    rare = rare.groupBy("w").agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "word")).alias("r")).select("w", F.col("r.word").alias("word"))
+    found = rare.join(p, "word").where(F.size(F.array_except("w", "t")) == 0).groupBy("w").agg(F.max("best").alias("best"))
+    return h.join(found, "w").groupBy("id").agg(F.max("best").alias("best")).select("id", "best.bibcode")
 
 
 def bare_values(query: Column) -> Column:
@@ -205,12 +213,16 @@ TRIGGERS = {
 
 def trigger_phrases(nl: Column, ops: Column) -> Column:
     """``operator, phrase``: the first match of each pattern of the operators in a query."""
-    found = []
-    for op, patterns in TRIGGERS.items():
-        for p in patterns:
-            m = F.regexp_extract(F.lower(nl), f"({p})", 1)
-            found.append(F.when(F.array_contains(ops, op) & (m != ""), F.struct(F.lit(op).alias("operator"), m.alias("phrase"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    def of(s: Column) -> Column:
+        found = []
+        for op, patterns in TRIGGERS.items():
+            for p in patterns:
+                m = F.regexp_extract(s["nl"], f"({p})", 1)
+                found.append(F.when(F.array_contains(s["ops"], op) & (m != ""), F.struct(F.lit(op).alias("operator"), m.alias("phrase"))))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return qlang.once(F.struct(F.lower(nl).alias("nl"), ops.alias("ops")), of)
 
 
 def syntax_counters(pairs: DataFrame, query: str = "ads_query") -> DataFrame:
