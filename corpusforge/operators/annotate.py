@@ -14,6 +14,8 @@ from ..functions import udfs
 
 #: Surfaces that a task holds at once, at about 600 bytes each.
 HELD_SURFACES = 1_000_000
+#: Texts whose spans a task holds at once.
+HELD_TEXTS = 64
 SPAN = "struct<surface:string,start:int,end:int,type:string,canonical_id:string>"
 
 
@@ -109,6 +111,13 @@ def _parts(index: DataFrame) -> list[list[tuple]]:
     return [_rows(index.where(F.pmod(F.xxhash64("surface_lc"), F.lit(parts)) == k)) or [] for k in range(parts)]
 
 
+def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces: what is found in a text takes far more memory than the text, so a task holds that of few texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD_TEXTS):
+            yield batch.slice(at, HELD_TEXTS)
+
+
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, surface_lc, start, len, type, canonical_id, ord, surface`` of every place where an indexed surface stands at
     word borders.
@@ -120,7 +129,7 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
 
         def find(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             known = Dictionary(part)
-            for batch in batches:
+            for batch in _some_rows(batches):
                 found = [(doc, surface, a, b - a, kind, ident, order, text[a:b]) for doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) if text for surface, a, b, kind, ident, order in known.hits(text)]
                 if found:
                     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -141,9 +150,9 @@ def annotate(docs: DataFrame, index: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(rows)
-        for batch in batches:
+        kind = pa.list_(pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("canonical_id", pa.string())]))
+        for batch in _some_rows(batches):
             spans = [known.spans(t) if t else [] for t in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("canonical_id", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SPANS)

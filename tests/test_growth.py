@@ -92,3 +92,13 @@ def test_parts_that_a_semantic_match_compares(spark, q):
         kept = len(set(want) & set([m[0] + ":" + m[1] + m[2] for m in re.findall(r'(\w+):(?:"([^"]+)"|(\S+))', have, re.A)] + ["op:" + o for o in re.findall("(" + "|".join(vocab.CALLS) + r")\s*\(", have)]))
         got = spark.createDataFrame([(q, have)], "e string, a string").select(qlang.semantic_match(F.col("e"), F.col("a")).alias("m")).first().m
         assert got == (not want or 2 * kept >= len(want))
+
+
+def test_annotation_holds_the_spans_of_few_texts(spark):
+    import pyarrow as pa
+
+    from corpusforge.operators import annotate
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["a"] * 1000)], names=["doc_id", "text"])
+    pieces = list(annotate._some_rows(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in pieces) <= 64 and [i for p in pieces for i in p.column(0).to_pylist()] == list(range(1000))
