@@ -66,20 +66,28 @@ class _Validator(StatefulProcessor):
             return False, None, f"parse error: {reply.message or 'Unknown parse error'}"
         return False, None, {401: "Invalid API key", 429: "API rate limit exceeded", 408: "API timeout", 0: f"API request error: {reply.message}"}.get(reply.status, f"API error: HTTP {reply.status}")
 
+    def _cached(self, query: str, seen: dict[str, tuple]) -> bool:
+        """Whether the account has an answer, which then is in ``seen``. Answers that expire are looked up each time."""
+        if query in seen and self.keep_ms is None:
+            return True
+        if hit := self.cache.containsKey((query,)):
+            seen[query] = tuple(self.cache.getValue((query,)))
+        return hit
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         state = self.bucket.get() if self.bucket.exists() else None
         bucket = Bucket(self.rate, self.burst, *(state or ()))
         out = []
+        seen: dict[str, tuple] = {}  # answers of this batch and those that it read, as a look into the state takes long
         for id_, query, at in zip(x["id"], x["query"], x["at"], strict=True):
-            hit = self.cache.containsKey((query,))
-            if hit:
-                (valid, results, error), sent = self.cache.getValue((query,)), at
+            if hit := self._cached(query, seen):
+                (valid, results, error), sent = seen[query], at
             else:
                 sent = bucket.take(float(at))
                 if self.pace:
                     time.sleep(max(0.0, sent - time.time()))
-                valid, results, error = self._answer(query)
+                valid, results, error = seen[query] = self._answer(query)
                 self.cache.updateValue((query,), (valid, results, error))
             out.append((key[0], id_, query, valid, tier(valid, results), results, error, hit, float(sent - at), float(sent)))
         self.bucket.update((bucket.tokens, bucket.last))

@@ -102,3 +102,36 @@ def test_annotation_holds_the_spans_of_few_texts(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["a"] * 1000)], names=["doc_id", "text"])
     pieces = list(annotate._some_rows(iter([batch, batch.slice(0, 0)])))
     assert max(p.num_rows for p in pieces) <= 64 and [i for p in pieces for i in p.column(0).to_pylist()] == list(range(1000))
+
+
+def test_a_batch_looks_for_each_query_in_the_state_once():
+    import pandas as pd
+
+    from corpusforge.streaming import limits
+
+    class State(dict):
+        looks = 0
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self["bucket"] = value
+
+        def containsKey(self, key):
+            State.looks += 1
+            return key in self
+
+        def getValue(self, key):
+            State.looks += 1
+            return self[key]
+
+        updateValue = dict.__setitem__
+
+    v = limits._Validator("", {}, 1.0, 2, None, False)
+    v.bucket, v.cache, asked = State(), State({("old",): (True, 1, None)}), []
+    v._answer = lambda q: asked.append(q) or (True, 0, None)
+    rows = pd.DataFrame({"id": range(90), "query": ["old", "new", "b"] * 30, "at": [float(i) for i in range(90)]})
+    (out,) = v.handleInputRows(("a",), iter([rows]), None)
+    assert asked == ["new", "b"] and State.looks == 4
+    assert out["from_cache"].tolist() == [True, False, False] + [True] * 87 and out["tier"].tolist() == [3, 2, 2] * 30
