@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.qlang import once
+
 
 def distribution(df: DataFrame, by: str) -> DataFrame:
     """``by, n, pct`` (A1)."""
@@ -61,10 +63,13 @@ def latency_exclusive(df: DataFrame, by: str, value: str, quantiles: tuple[float
 
 def overlap(expected: Column, found: Column) -> Column:
     """``jaccard, precision, recall`` of two sets; both empty: 1, one empty: 0."""
-    both, union = F.size(F.array_intersect(expected, found)), F.size(F.array_union(expected, found))
-    e, f = F.size(F.array_distinct(expected)), F.size(F.array_distinct(found))
-    part = lambda n: F.when((e == 0) & (f == 0), 1.0).when((e == 0) | (f == 0), 0.0).otherwise(F.round(both / n, 6))
-    return F.struct(part(union).alias("jaccard"), part(f).alias("precision"), part(e).alias("recall"))
+    sizes = lambda s: F.struct(F.size(F.array_intersect(s["e"], s["f"])).alias("both"), F.size(F.array_union(s["e"], s["f"])).alias("union"), F.size(F.array_distinct(s["e"])).alias("e"), F.size(F.array_distinct(s["f"])).alias("f"))
+
+    def scores(n: Column) -> Column:
+        part = lambda of: F.when((n["e"] == 0) & (n["f"] == 0), 1.0).when((n["e"] == 0) | (n["f"] == 0), 0.0).otherwise(F.round(n["both"] / of, 6))
+        return F.struct(part(n["union"]).alias("jaccard"), part(n["f"]).alias("precision"), part(n["e"]).alias("recall"))
+
+    return once(once(F.struct(expected.alias("e"), found.alias("f")), sizes), scores)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
