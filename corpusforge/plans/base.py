@@ -11,6 +11,8 @@ from ..functions.vocab import RETRIEVAL_STOPWORDS
 
 #: Tables whose rows take long to work on.
 HEAVY = ("documents", "orders", "pages")
+#: Rows of a task that works on assembled queries; each row takes some 0.1 ms.
+PAIRS_PER_TASK = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +36,16 @@ def tokens_sql(text: str) -> str:
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A structured request for each order: author, topic, years, operator, closed values (some wrong)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
+    """A structured request for each order: author, topic, years, operator, closed values (some wrong).
+
+    Rows are few bytes and much work, so joins that go by bytes leave them in as many tasks as there are cores; they are
+    dealt out by their number, and a larger table has more tasks, not longer ones."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-o.count() // PAIRS_PER_TASK))
+    o = o.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("o_custkey"), "p_name", "p_type", "p_size")
-    x = o.join(c, "o_custkey").join(p, "o_custkey")
+    x = o.join(c, "o_custkey").join(p, "o_custkey").repartition(tasks, "o_orderkey")
     k = F.col("o_orderkey")
     doctypes = F.when(k % 5 == 0, F.array(F.lit("article"))).when(k % 5 == 1, F.array(F.lit("journal"), F.lit("eprint"))).when(k % 5 == 2, F.array(F.lit("PhDThesis"), F.lit("article"))).when(k % 5 == 3, F.array(F.lit("memo"))).otherwise(F.expr("cast(array() as array<string>)"))
     properties = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("Refereed"))).otherwise(F.expr("cast(array() as array<string>)"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import qlang, vocab
 from corpusforge.operators import reports, validate
-from corpusforge.plans import registry
+from corpusforge.plans import base, registry
 
 
 def plan(df):
@@ -135,3 +135,17 @@ def test_a_batch_looks_for_each_query_in_the_state_once():
     (out,) = v.handleInputRows(("a",), iter([rows]), None)
     assert asked == ["new", "b"] and State.looks == 4
     assert out["from_cache"].tolist() == [True, False, False] + [True] * 87 and out["tier"].tolist() == [3, 2, 2] * 30
+
+
+def test_assembled_queries_have_more_tasks_and_not_longer_ones(spark, sf, monkeypatch):
+    want = sorted(map(tuple, base.pairs(spark, sf).collect()))
+    monkeypatch.setattr(base, "PAIRS_PER_TASK", 100)
+    x = base.pairs(spark, sf)
+    rows = [r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) > 8 and max(rows) < 200 and sorted(map(tuple, x.collect())) == want
+
+
+def test_marks_of_a_text_are_looked_for_one_by_one_only_if_it_has_any(spark):
+    x = spark.createDataFrame([("papers by: x",), ("Author:x abstracts: DATABASE:y",), ("[a TO b] ^x: abs",), (None,)], "t string").select(qlang.nl_issues(F.col("t")).alias("i"))
+    assert "contains" in plan(x).lower().split("author", 1)[0]
+    assert [r.i for r in x.collect()] == [[], ["contains 'author:'", "contains 'collection:'"], ["contains range syntax [X TO Y]", "contains ^ prefix (first author syntax)"], []]
