@@ -149,3 +149,8 @@ def test_marks_of_a_text_are_looked_for_one_by_one_only_if_it_has_any(spark):
     x = spark.createDataFrame([("papers by: x",), ("Author:x abstracts: DATABASE:y",), ("[a TO b] ^x: abs",), (None,)], "t string").select(qlang.nl_issues(F.col("t")).alias("i"))
     assert "contains" in plan(x).lower().split("author", 1)[0]
     assert [r.i for r in x.collect()] == [[], ["contains 'author:'", "contains 'collection:'"], ["contains range syntax [X TO Y]", "contains ^ prefix (first author syntax)"], []]
+
+
+def test_a_query_that_is_wrapped_in_a_call_is_assembled_once(spark):
+    x = spark.range(3).select(qlang.wrap(F.md5(F.col("id").cast("string")), F.when(F.col("id") > 0, "similar")).alias("q"))
+    assert plan(x).split("\n\n")[0].count("md5(") == 1 and [r.q[:8] == "similar(" for r in x.collect()] == [False, True, True]
