@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import vocab
 from .text import quote_if_needed, strings
 
-FIELD = r"(?<![.\d])(\^?[a-z_]{2,}):"
+FIELD = r"(?<![.\d])(\^?[a-z_]{2,}+):"
 _BOOLEAN = "(AND|OR|NOT)"
 
 
@@ -113,12 +113,12 @@ def _lint(q: Column) -> Column:
         up = F.upper(r)
         bad = F.concat(F.lit("Invalid pubdate range syntax: ["), r, F.lit("] (missing 'TO')"))
         many = F.concat(F.lit("Invalid pubdate range: ["), r, F.lit("]"))
-        return F.when(~F.contains(up, F.lit(" TO ")), bad).when(F.size(F.split(up, " TO ")) != 2, many)
+        return F.when(~F.contains(up, F.lit(" TO ")), bad).when(_without(up, " TO ") != F.length(up) - 4, many)
 
     first = issues(
         (_count(q, '"') % 2 != 0, "Unbalanced quotes"),
-        (_count(q, "(") != _count(q, ")"), "Unbalanced parentheses"),
-        (_count(q, "[") != _count(q, "]"), "Unbalanced brackets"),
+        (_without(q, "(") != _without(q, ")"), "Unbalanced parentheses"),
+        (_without(q, "[") != _without(q, "]"), "Unbalanced brackets"),
     )
     last = issues(
         (q.rlike(r"(?i)^\s*(AND|OR)\s+"), "Query cannot start with AND/OR"),

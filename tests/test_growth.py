@@ -154,3 +154,10 @@ def test_marks_of_a_text_are_looked_for_one_by_one_only_if_it_has_any(spark):
 def test_a_query_that_is_wrapped_in_a_call_is_assembled_once(spark):
     x = spark.range(3).select(qlang.wrap(F.md5(F.col("id").cast("string")), F.when(F.col("id") > 0, "similar")).alias("q"))
     assert plan(x).split("\n\n")[0].count("md5(") == 1 and [r.q[:8] == "similar(" for r in x.collect()] == [False, True, True]
+
+
+@pytest.mark.parametrize("r", ["a TO b", "a to b", "a TO b TO c", " TO ", " TO  TO ", " TO TO ", "aTOb", "\u00df TO b"])
+def test_a_range_has_one_to(spark, r):
+    x = spark.createDataFrame([(f"pubdate:[{r}]",)], "q string").select(qlang.lint(F.col("q")).alias("e"))
+    wrong = "Invalid pubdate range syntax" if " TO " not in r.upper() else "Invalid pubdate range:" if len(r.upper().split(" TO ")) != 2 else None
+    assert [e[: len(wrong or "")] for e in x.first().e] == ([wrong] if wrong else []) and "split(" not in plan(x)
