@@ -161,3 +161,23 @@ def test_a_range_has_one_to(spark, r):
     x = spark.createDataFrame([(f"pubdate:[{r}]",)], "q string").select(qlang.lint(F.col("q")).alias("e"))
     wrong = "Invalid pubdate range syntax" if " TO " not in r.upper() else "Invalid pubdate range:" if len(r.upper().split(" TO ")) != 2 else None
     assert [e[: len(wrong or "")] for e in x.first().e] == ([wrong] if wrong else []) and "split(" not in plan(x)
+
+
+def test_only_synonyms_that_stand_in_a_text_are_replaced(monkeypatch):
+    from corpusforge.functions import udfs
+
+    class Never:
+        def subn(self, *_):
+            raise AssertionError
+
+    known = {k: [(s, p if s in ("papers", "paper", "phd", "phd thesis", "thesis") else Never(), v) for s, p, v in udfs._synonyms(k)] for k in ("property", "doctype", "bibgroup", "collection")}
+    monkeypatch.setattr(udfs, "_synonyms", known.get)
+    got = udfs.intent("Papers by Smith about phd thesis rings since 1998", 2026)
+    assert (got["doctype"], got["authors"], got["year_from"], got["free_text_terms"]) == (["article", "phdthesis"], ["Smith"], 1998, ["rings"])
+
+
+@pytest.mark.parametrize("text, operator", [("KEY papers on x", "useful"), ("ſources cited by x", "references"), ("keypapers", None), ("works like it", "similar"), ("", None)])
+def test_phrases_of_either_case_are_found_in_small_letters(text, operator):
+    from corpusforge.functions import udfs
+
+    assert udfs.take_operator(text)[0] == operator and udfs._says_any_phrase(text) == (operator is not None)
