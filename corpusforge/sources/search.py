@@ -31,7 +31,8 @@ LEAST_ABSTRACT = 100
 #: Seconds between the requests of one task, and before the first repetition of a request.
 DELAY, BACK_OFF = 0.5, 1.0
 RETRIES = 3
-_AGAIN = {429, 500, 502, 503, 504}
+#: Statuses after which a request is made again; 0 and 408 are those of a service that didn't answer.
+_AGAIN = frozenset({0, 408, 429, 500, 502, 503, 504})
 
 
 @dataclass
@@ -147,7 +148,7 @@ def asked(ask: Transport, query: str, start: int, rows: int, sort: str, retries:
             reply = Reply(408, message=str(e))
         except OSError as e:
             reply = Reply(0, message=str(e))
-        if reply.status not in _AGAIN | {0, 408} or n == retries:
+        if reply.status not in _AGAIN or n == retries:
             return reply
         time.sleep(back_off * 2**n if reply.wait is None else reply.wait)
     raise AssertionError
@@ -237,7 +238,8 @@ def _each(transport_name: str, options: dict, rows: int, sort: str, retries: int
             for query in batch.column(1).to_pylist():
                 reply = Reply(400, message="no query") if query is None else asked(ask, query, 0, rows, sort, retries, back_off)
                 said.append((reply.status, reply.found, reply.message, [str(d["bibcode"]) for d in reply.docs if "bibcode" in d]))
-                time.sleep(delay)
+                if delay:
+                    time.sleep(delay)
             status, found, message, ids = zip(*said, strict=True) if said else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.int32()), pa.array(found, pa.int64()), pa.array(message, pa.string()), pa.array(ids, pa.list_(pa.string()))], names=["id", "query", "status", "found", "message", "ids"])
 

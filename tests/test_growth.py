@@ -181,3 +181,17 @@ def test_phrases_of_either_case_are_found_in_small_letters(text, operator):
     from corpusforge.functions import udfs
 
     assert udfs.take_operator(text)[0] == operator and udfs._says_any_phrase(text) == (operator is not None)
+
+
+def test_a_service_without_a_delay_is_asked_without_a_pause(monkeypatch):
+    import pyarrow as pa
+
+    from corpusforge.sources import search
+
+    def never(_):
+        raise AssertionError
+
+    monkeypatch.setattr(search.time, "sleep", never)
+    ask = search._each("corpusforge.sources.search:ruled", {"rules": [["a", 400, 0, "no"]]}, 0, "", 1, 0.0, 0.0)
+    (out,) = ask(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a", "b", None])], names=["id", "query"])]))
+    assert out.column(2).to_pylist() == [400, 200, 400] and out.column(4).to_pylist() == ["no", "", "no query"]
