@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import qlang, vocab
 
 # Words that tell nothing of a title.
 TITLE_STOPWORDS = (
@@ -109,8 +109,13 @@ STUDIES = {"infrared astronomy": ("infrared", "astronomy"), "string theory": ("s
 
 def rewritten(query: Column, clause: str, change: Callable[[Column], Column]) -> Column:
     """``query`` with each match of ``clause``, from the left and without overlaps, replaced by ``change`` of it."""
-    pieces = F.regexp_extract_all(query, F.lit(rf"(?s)(?:{clause})|(?:(?!{clause}).)+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^(?:{clause})\z"), change(p)).otherwise(p)), "")
+
+    def joined(q: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(q, F.lit(f"(?s){clause}"), F.lit(0)), change)
+        # Before each match, and after the last: one piece more than there are matches.
+        return F.array_join(F.zip_with(F.split(q, f"(?s){clause}"), found, lambda kept, new: F.concat(kept, F.coalesce(new, F.lit("")))), "")
+
+    return qlang.once(query, joined)
 
 
 def _joined(terms: Column, otherwise: Column) -> Column:

@@ -183,6 +183,12 @@ def test_phrases_of_either_case_are_found_in_small_letters(text, operator):
     assert udfs.take_operator(text)[0] == operator and udfs._says_any_phrase(text) == (operator is not None)
 
 
+def test_bibcodes_are_sought_in_the_dealt_tasks(spark, sf):
+    x = plan(registry.QUERIES["strict_fixes"](spark, sf)).split("\n\n")[0]
+    above, below = x.split("hashpartitioning(o_orderkey", 1)
+    assert "RLIKE" in above and "RLIKE" not in below and "(?!" not in above
+
+
 def test_a_service_without_a_delay_is_asked_without_a_pause(monkeypatch):
     import pyarrow as pa
 
