@@ -243,8 +243,9 @@ def canonicalize(query: Column) -> Column:
     operator, curly quotes straight (X7; G1 as it was meant)."""
     x = F.trim(F.regexp_replace(F.translate(query, "“”‘’", "\"\"''"), " +", " "))
     x = F.regexp_replace(F.regexp_replace(x, r"\(\s+", "("), r"\s+\)", ")")
-    x = F.regexp_replace(F.regexp_replace(x, r"(\S)\((?!\()", "$1 ("), r"(\w): \(", "$1:(")
-    return F.rtrim(F.regexp_replace(x, rf"({_CALLS}) \(", "$1("))
+    # What stands before a parenthesis is looked at where there is one, not sought in the whole text.
+    x = F.regexp_replace(F.regexp_replace(x, r"\((?<=\S\()(?!\()", " ("), r": \((?<=\w: \()", ":(")
+    return F.rtrim(F.regexp_replace(x, rf" \((?<=(?:{_CALLS}) \()", "("))
 
 
 def unfielded(query: Column) -> Column:

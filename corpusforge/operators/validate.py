@@ -38,7 +38,12 @@ def validate_local(pairs: DataFrame, query: str = "ads_query") -> DataFrame:
 
 def query_hash(query: Column, version: str) -> Column:
     """The key of a query in a validation cache: caches of other tools can be read."""
-    return F.md5(F.concat(qlang.canonicalize(query), F.lit(f"::{version}")).cast("binary"))
+    return canonical_hash(qlang.canonicalize(query), version)
+
+
+def canonical_hash(canonical: Column, version: str) -> Column:
+    """``query_hash`` of a query in its one form: keys for several versions need that form once."""
+    return F.md5(F.concat(canonical, F.lit(f"::{version}")).cast("binary"))
 
 
 def validate_cached(pairs: DataFrame, cache: DataFrame | None, version: str, query: str = "ads_query") -> DataFrame:

@@ -201,3 +201,15 @@ def test_a_service_without_a_delay_is_asked_without_a_pause(monkeypatch):
     ask = search._each("corpusforge.sources.search:ruled", {"rules": [["a", 400, 0, "no"]]}, 0, "", 1, 0.0, 0.0)
     (out,) = ask(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a", "b", None])], names=["id", "query"])]))
     assert out.column(2).to_pylist() == [400, 200, 400] and out.column(4).to_pylist() == ["no", "", "no query"]
+
+
+def test_a_cache_of_several_versions_is_made_in_one_pass(spark, sf):
+    assert plan(registry.QUERIES["cached_validation"](spark, sf)).split("\n\n")[0].count("FileScan parquet") == 6
+
+
+@pytest.mark.parametrize("q", ["a((b(c", "x: (y) citations ((z)", "pos (a) title: (b)(c", "\u00e9: (x", "(a", "a(b(c): (d similar (("])
+def test_parentheses_of_a_query_in_its_one_form(spark, q):
+    want = re.sub(r"\s+\)", ")", re.sub(r"\(\s+", "(", q))
+    want = re.sub(r"(?a)(\w): \(", r"\1:(", re.sub(r"(\S)\((?!\()", r"\1 (", want))
+    want = re.sub(rf"({qlang._CALLS}) \(", r"\1(", want)
+    assert spark.createDataFrame([(q,)], "q string").select(qlang.canonicalize(F.col("q")).alias("c")).first().c == want
